@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,26 +35,21 @@ def trimmed(text: Column) -> Column:
 def match_contexts(text: Column, pattern: str, width: int = 20) -> Column:
     """All matches of ``pattern`` with up to ``width`` characters on both sides, as an array of strings.
 
-    The pieces between matches come from ``split`` and the matches from ``regexp_extract_all``; the running sum of
-    their lengths gives each match's offset.
+    A look-behind catches the characters before a match and a look-ahead the match with the ones after it. Neither
+    uses up text, so contexts may overlap. The work is linear in the number of matches.
     """
-    regex = F.lit(FLAGS + pattern)
-    found = F.regexp_extract_all(text, regex, F.lit(0))
-    gap_lengths = F.transform(F.split(text, FLAGS + pattern, -1), F.length)
-    hit_lengths = F.transform(found, F.length)
-    spans = F.arrays_zip(
-        F.slice(gap_lengths, F.lit(1), F.size(hit_lengths)).alias("gap"), hit_lengths.alias("hit")
+    inner = re.compile(pattern).groups
+    regex = (
+        rf"(?={pattern_group(pattern)})(?<=(\A(?s:.){{0,{width - 1}}}|(?s:.){{{width}}}))"
+        rf"(?=({pattern_group(pattern)}(?s:.){{0,{width}}})){pattern_group(pattern)}"
     )
-    zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("out"))
+    before = F.regexp_extract_all(text, F.lit(FLAGS + regex), F.lit(inner + 1))
+    after = F.regexp_extract_all(text, F.lit(FLAGS + regex), F.lit(inner + 2))
+    return F.zip_with(before, after, lambda a, b: F.concat(a, b))
 
-    def step(acc: Column, span: Column) -> Column:
-        start = acc["end"] + span["gap"]
-        stop = start + span["hit"]
-        left = F.greatest(start - width, F.lit(0))
-        piece = F.substring(text, left + 1, stop + width - left)
-        return F.struct(stop.alias("end"), F.array_append(acc["out"], piece).alias("out"))
 
-    return F.aggregate(spans, zero, step, lambda acc: acc["out"])
+def pattern_group(pattern: str) -> str:
+    return f"(?:{pattern})"
 
 
 def fixed_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
