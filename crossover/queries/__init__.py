@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["validation"]
+AREAS = ["validation", "inventory"]
 
 
 def _load():
