@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["validation", "inventory"]
+AREAS = ["validation", "inventory", "text"]
 
 
 def _load():
