@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["validation", "inventory", "text"]
+AREAS = ["validation", "inventory", "text", "scores"]
 
 
 def _load():
