@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["validation", "inventory", "text", "scores", "mapping", "logs"]
+AREAS = ["validation", "inventory", "text", "scores", "mapping", "logs", "load", "sync"]
 
 
 def _load():
