@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,10 @@ LINE_ENDS = r"\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}"
 BLANKS = "".join(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace())
 
 
+# Letters outside ASCII that equal an ASCII letter when case is ignored: long s, Kelvin sign, dotted and dotless i.
+ODD_LETTERS = "[\u017f\u212a\u0130\u0131]"
+
+
 def matches(text: Column, pattern: str) -> Column:
     return text.rlike(FLAGS + pattern)
 
@@ -23,9 +28,24 @@ def match_count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(FLAGS + pattern))
 
 
+def with_word_search(df: DataFrame, text: str) -> DataFrame:
+    """Add the lower-case text and whether it has letters that lower case does not fold, for :func:`may_match`."""
+    return df.withColumns({"_low": F.lower(text), "_odd": F.col(text).rlike(ODD_LETTERS)})
+
+
+def may_match(words: list[str] | None) -> Column:
+    """False only for texts that cannot match a pattern whose every match holds one of ``words``.
+
+    A search for a plain word costs a fraction of a Unicode regex, and most texts hold none of the words.
+    """
+    if not words:
+        return F.lit(True)
+    return reduce(lambda a, b: a | b, [F.col("_low").contains(w) for w in words], F.col("_odd"))
+
+
 def lines_of_code(text: Column) -> Column:
     """Lines that hold more than blanks: a match starts at the first visible character and eats the rest of the line."""
-    return F.regexp_count(text, F.lit(rf"(?U)[^\s\x1c-\x1f][^{LINE_ENDS}]*"))
+    return F.regexp_count(text, F.lit(f"[^{BLANKS}][^{LINE_ENDS}]*"))
 
 
 def trimmed(text: Column) -> Column:
@@ -63,6 +83,11 @@ def lookup(mapping: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
-def present(*conditional: Column) -> Column:
-    """Array of the given columns without the NULL ones; explode it to get one row per rule that applies."""
-    return F.filter(F.array(*conditional), lambda x: x.isNotNull())
+def rows_of(df: DataFrame, keep: list, *conditional: Column) -> DataFrame:
+    """One row per conditional struct that is not NULL, next to the columns to ``keep``.
+
+    The plain array stays inside generated code, and its NULLs are dropped row by row after it is unfolded. Filtering
+    the array itself would leave generated code, and the optimizer would evaluate it once more to test its size.
+    """
+    rows = df.select(*keep, F.explode(F.array(*conditional)).alias("_row")).where(F.col("_row").isNotNull())
+    return rows.select(*rows.columns[:-1], "_row.*")

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossover.functions.constants import (
-    FUNCTION_MAP, FUNCTIONS_TO_REDESIGN, MYSQL_QUERY_RULES, MYSQL_QUERY_RULES_STRICT, TSQL_PATTERNS, UNSUPPORTED_FUNCTIONS,
+    FUNCTION_MAP, FUNCTIONS_TO_REDESIGN, MYSQL_QUERY_RULES, MYSQL_QUERY_RULES_STRICT, TSQL_PATTERNS, TSQL_WORDS, UNSUPPORTED_FUNCTIONS,
 )
-from crossover.functions.text import lines_of_code, lookup, match_contexts, match_count, matches, present, trimmed
+from crossover.functions.text import lines_of_code, lookup, match_contexts, match_count, matches, may_match, rows_of, trimmed, with_word_search
 
 OBJECT = ["source_id", "kind", "schema_name", "name"]
 
@@ -20,23 +20,29 @@ def object_name() -> Column:
     return F.concat("schema_name", F.lit("."), "name")
 
 
+def _words(patterns: dict[str, str] | None) -> dict[str, list[str]]:
+    """The search words belong to the default patterns; others are matched without a search."""
+    return TSQL_WORDS if patterns is None else {}
+
+
 def scan_features(modules: DataFrame, patterns: dict[str, str] | None = None, width: int = 20) -> DataFrame:
     """One row per match with its surroundings. The contexts are only worked out for texts that match at all."""
-    text = F.col("definition")
-    hits = present(*[
-        F.when(matches(text, p), F.struct(F.lit(name).alias("pattern_name"), match_contexts(text, p, width).alias("contexts")))
-        for name, p in (patterns or TSQL_PATTERNS).items()])
-    return (modules.select("source_id", F.col("kind").alias("object_type"), object_name().alias("object_name"), F.inline(hits))
-            .select("source_id", "object_type", "object_name", "pattern_name", F.explode("contexts").alias("matched_text")))
+    text, words = F.col("definition"), _words(patterns)
+    hits = [F.when(may_match(words.get(name)) & matches(text, p),
+                   F.struct(F.lit(name).alias("pattern_name"), match_contexts(text, p, width).alias("contexts")))
+            for name, p in (patterns or TSQL_PATTERNS).items()]
+    keep = ["source_id", F.col("kind").alias("object_type"), object_name().alias("object_name")]
+    found = rows_of(with_word_search(modules, "definition"), keep, *hits)
+    return found.select("source_id", "object_type", "object_name", "pattern_name", F.explode("contexts").alias("matched_text"))
 
 
 def feature_counts(modules: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
     """Number of matches per object and pattern, without contexts."""
-    text = F.col("definition")
-    counted = F.array(*[F.struct(F.lit(name).alias("pattern_name"), match_count(text, p).cast("long").alias("match_count"))
-                        for name, p in (patterns or TSQL_PATTERNS).items()])
-    return modules.select("source_id", F.col("kind").alias("object_type"), object_name().alias("object_name"),
-                          F.inline(F.filter(counted, lambda x: x["match_count"] > 0)))
+    text, words = F.col("definition"), _words(patterns)
+    counted = [F.when(may_match(words.get(name)), F.struct(F.lit(name).alias("pattern_name"), match_count(text, p).cast("long").alias("match_count")))
+               for name, p in (patterns or TSQL_PATTERNS).items()]
+    keep = ["source_id", F.col("kind").alias("object_type"), object_name().alias("object_name")]
+    return rows_of(with_word_search(modules, "definition"), keep, *counted).where("match_count > 0")
 
 
 def feature_totals(counts: DataFrame) -> DataFrame:
@@ -64,19 +70,18 @@ def _rules(strict: bool) -> list[tuple]:
 def query_issues(log: DataFrame, rules: list[tuple] | None = None, strict: bool = False) -> DataFrame:
     """One row per statement and construct. Placeholders count as the number 1."""
     text = F.replace("digest_text", F.lit("?"), F.lit("1"))
-    hits = present(*[
-        F.when(matches(text, p), F.struct(F.lit(c).alias("construct"), F.lit(sev).alias("severity"), F.lit(advice).alias("advice")))
-        for c, p, sev, advice in (rules or _rules(strict))])
-    return statements(log).select("source_id", "digest_id", "digest_text", F.inline(hits))
+    hits = [F.when(matches(text, p), F.struct(F.lit(c).alias("construct"), F.lit(sev).alias("severity"), F.lit(advice).alias("advice")))
+            for c, p, sev, advice in (rules or _rules(strict))]
+    return rows_of(statements(log), ["source_id", "digest_id", "digest_text"], *hits)
 
 
 def query_issues_mssql(log: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
     """As above for T-SQL. A statement that cannot be rewritten (``transpile_ok`` is false) makes its issues blockers."""
-    text = trimmed(F.col("digest_text"))
-    hits = present(*[F.when(matches(text, p), F.lit(name)) for name, p in (patterns or TSQL_PATTERNS).items()])
-    severity = F.when(F.coalesce("transpile_ok", F.lit(True)), "warning").otherwise("blocker")
-    return statements(log).select("source_id", "digest_id", F.substring(text, 1, 240).alias("query_snippet"),
-                                  severity.alias("severity"), F.explode(hits).alias("construct"))
+    text, words = F.col("digest_text"), _words(patterns)
+    hits = [F.when(may_match(words.get(name)) & matches(text, p), F.struct(F.lit(name).alias("construct"))) for name, p in (patterns or TSQL_PATTERNS).items()]
+    severity = F.when(F.coalesce("transpile_ok", F.lit(True)), "warning").otherwise("blocker").alias("severity")
+    keep = ["source_id", "digest_id", F.substring(trimmed(text), 1, 240).alias("query_snippet"), severity]
+    return rows_of(with_word_search(statements(log), "digest_text"), keep, *hits)
 
 
 def unmodified_share(log: DataFrame, rules: list[tuple] | None = None) -> DataFrame:
@@ -101,13 +106,23 @@ COMPLEXITY = {
     "nested_calls": [r"\bCALL\b"],
     "transaction_statements": [r"\bSTART\s+TRANSACTION\b", r"\bCOMMIT\b", r"\bROLLBACK\b", r"\bSAVEPOINT\b"],
 }
+COMPLEXITY_WORDS = {
+    "cursor_count": ["cursor"], "dynamic_sql_count": ["prepare", "execute"], "temp_table_count": ["temporary"],
+    "control_flow_count": ["if", "while", "loop", "case"], "nested_calls": ["call"],
+    "transaction_statements": ["transaction", "commit", "rollback", "savepoint"],
+}
+
+
+def _count_if_any(text: Column, pattern: str, words: list[str]) -> Column:
+    return F.when(may_match(words), match_count(text, pattern)).otherwise(0)
 
 
 def module_complexity(modules: DataFrame) -> DataFrame:
     """Lines of code and keyword counts per object. Patterns of one counter never overlap, so one alternation counts all."""
     text = F.coalesce("definition", F.lit(""))
-    return modules.select(*OBJECT, lines_of_code(text).alias("loc"),
-                          *[match_count(text, "|".join(ps)).alias(name) for name, ps in COMPLEXITY.items()])
+    return with_word_search(modules, "definition").select(
+        *OBJECT, lines_of_code(text).alias("loc"),
+        *[_count_if_any(text, "|".join(ps), COMPLEXITY_WORDS[name]).alias(name) for name, ps in COMPLEXITY.items()])
 
 
 def difficulty_counts(complexity: DataFrame) -> DataFrame:
@@ -136,12 +151,12 @@ def difficulty_keyword(modules: DataFrame) -> DataFrame:
 def difficulty_tsql(modules: DataFrame) -> DataFrame:
     """Weighted T-SQL difficulty with the points it costs."""
     text = F.coalesce("definition", F.lit(""))
-    counted = modules.select(
+    counted = with_word_search(modules, "definition").select(
         *OBJECT, lines_of_code(text).alias("loc"),
-        match_count(text, r"\bDECLARE\s+\w+\s+CURSOR\b").alias("cursors"),
-        match_count(text, r"\bsp_executesql\b|\bEXEC\s*\(").alias("dynamic"),
-        match_count(text, r"#\w+").alias("temp_tables"),
-        match_count(text, r"\bEXEC\s+\w+\.\w+").alias("nested"))
+        _count_if_any(text, r"\bDECLARE\s+\w+\s+CURSOR\b", ["cursor"]).alias("cursors"),
+        _count_if_any(text, r"\bsp_executesql\b|\bEXEC\s*\(", ["exec"]).alias("dynamic"),
+        _count_if_any(text, r"#\w+", ["#"]).alias("temp_tables"),
+        _count_if_any(text, r"\bEXEC\s+\w+\.\w+", ["exec"]).alias("nested"))
     weight = (F.least(F.floor(F.col("loc") / 10), F.lit(10)) + F.col("cursors") * 5 + F.col("dynamic") * 3
               + F.least(F.col("temp_tables") * 2, F.lit(6)) + F.col("nested") * 3)
     rated = counted.withColumn("weight", weight.cast("int"))

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from crossover.functions.constants import (
     ACCEPTED_COLLATION, COMPATIBLE_TYPES, FEATURE_TO_RULE, MSSQL_BLOCKERS, MSSQL_SPATIAL_TYPES, MSSQL_STRICT_WARNINGS,
-    MSSQL_WARNINGS, MYSQL_RULES, MYSQL_SPATIAL_TYPES, TIER_RULES, UNSUPPORTED_COLLATIONS,
+    MSSQL_WARNINGS, MYSQL_RULES, MYSQL_SPATIAL_TYPES, TIER_RULES, TSQL_PATTERNS, TSQL_WORDS, UNSUPPORTED_COLLATIONS,
 )
-from crossover.functions.text import fixed_rows, lookup, match_count, matches, present
+from crossover.functions.text import fixed_rows, lookup, match_count, matches, may_match, rows_of, with_word_search
 from crossover.operators.features import object_name
 
 BLOCKER, WARNING, INFO = "blocker", "warning", "info"
@@ -39,7 +39,7 @@ def _mssql(rule: str, obj: Column) -> Column:
 
 def rows_for(df: DataFrame, *issues: Column) -> DataFrame:
     """One row per issue that applies; the frame is read once whatever the number of rules."""
-    return df.select("source_id", F.inline(present(*issues)))
+    return rows_of(df, ["source_id"], *issues)
 
 
 def table_path(*more: str) -> Column:
@@ -190,12 +190,14 @@ def feature_issues(usages: DataFrame) -> DataFrame:
                        lookup({r: texts[r] for r in set(FEATURE_TO_RULE.values())}, F.col("type")).alias("message"))
 
 
-def feature_issues_from_text(modules: DataFrame, patterns: dict[str, str]) -> DataFrame:
+def feature_issues_from_text(modules: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
     """The same issues straight from the texts: a count per pattern, repeated, with no contexts built."""
-    text = F.col("definition")
-    hits = [F.array_repeat(_mssql(rule, object_name()), match_count(text, patterns[name]))
+    text, words = F.col("definition"), TSQL_WORDS if patterns is None else {}
+    patterns = TSQL_PATTERNS if patterns is None else patterns
+    hits = [F.when(may_match(words.get(name)), F.struct(_mssql(rule, object_name()).alias("issue"), match_count(text, patterns[name]).alias("n")))
             for name, rule in FEATURE_TO_RULE.items() if name in patterns]
-    return modules.where("definition is not null").select("source_id", F.inline(F.flatten(F.array(*hits))))
+    found = rows_of(with_word_search(modules, "definition"), ["source_id"], *hits).where("n > 0")
+    return found.select("source_id", "issue.*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_i")).drop("_i")
 
 
 def collation_issues(meta: DataFrame) -> DataFrame:
@@ -223,7 +225,7 @@ def tier_issues(totals: DataFrame, meta: DataFrame, tier: str) -> DataFrame:
 
 
 def assess_mssql(modules: DataFrame, objects: DataFrame, jobs: DataFrame, tables: DataFrame, columns: DataFrame,
-                 indexes: DataFrame, meta: DataFrame, totals: DataFrame, patterns: dict[str, str], tier: str = "starter",
+                 indexes: DataFrame, meta: DataFrame, totals: DataFrame, patterns: dict[str, str] | None = None, tier: str = "starter",
                  strict: bool = False) -> DataFrame:
     parts = [module_issues_mssql(modules, strict), server_issues(objects, jobs), table_issues(tables, strict),
              column_issues(columns, strict), index_issues(indexes), feature_issues_from_text(modules, patterns),

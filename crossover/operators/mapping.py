@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crossover.functions.constants import COLLATION_MAP, DEFAULT_COLLATION, MYSQL_SPATIAL_TYPES, TYPE_MAP, UNSUPPORTED_COLLATIONS
-from crossover.functions.text import lookup, present
+from crossover.functions.text import lookup, rows_of
 
 NATIONAL = ["nchar", "nvarchar"]  # the catalog gives their length in bytes, two per character
 
@@ -78,7 +79,7 @@ def map_mysql(columns: DataFrame, default_collation: str = DEFAULT_COLLATION) ->
     return columns.select(
         "*", F.when(spatial, "json").otherwise(F.col("data_type")).alias("target_type"),
         F.when(bad, default_collation).otherwise(F.col("collation_name")).alias("target_collation"),
-        F.array_join(present(F.when(spatial, F.lit("spatial to json")), F.when(bad, F.lit("collation replaced"))), "; ").alias("notes"))
+        F.concat_ws("; ", F.when(spatial, "spatial to json"), F.when(bad, "collation replaced")).alias("notes"))
 
 
 def map_engines(tables: DataFrame, default_collation: str = DEFAULT_COLLATION) -> DataFrame:
@@ -170,13 +171,11 @@ def conform(df: DataFrame, fields: list[Field]) -> tuple[DataFrame, DataFrame]:
     Casts never abort the job.
     """
     tested = {f.name: _problem(df, f) for f in fields}
-    faults = present(*[
-        F.when(bad.isNotNull(), F.struct(F.lit(n).alias("column_name"), F.col(f"`{n}`").cast("string").alias("value"), bad.alias("reason")))
-        for n, (_, bad) in tested.items()])
-    fits = F.size(faults) == 0
+    faults = [F.when(bad.isNotNull(), F.struct(F.lit(n).alias("column_name"), F.col(f"`{n}`").cast("string").alias("value"), bad.alias("reason")))
+              for n, (_, bad) in tested.items()]
+    fits = reduce(lambda a, b: a & b, [bad.isNull() for _, bad in tested.values()])
     good = df.where(fits).select(*[out.alias(n) for n, (out, _) in tested.items()])
-    rejects = df.where(~fits).select("*", F.inline(faults))
-    return good, rejects
+    return good, rows_of(df, df.columns, *faults)
 
 
 SPARK_TYPES = {

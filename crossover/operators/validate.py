@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crossover.functions.hashing import checksum_aggregates, plain_columns, row_hash
-from crossover.functions.text import present
+from crossover.functions.text import rows_of
 
 MISSING, EXTRANEOUS, MISMATCHED = "missing", "extraneous", "mismatched"
 
@@ -108,10 +108,8 @@ def compare_columns(
         for field, label in (("ordinal_position", "column_order"), ("is_nullable", "nullability")):
             if field in keep:
                 checks.append(F.when(present_both & (F.col(f"s.{field}") != F.col(f"t.{field}")), F.lit(label)))
-    return pairs.select(
-        *key, F.col("s.data_type").alias("source_type"), F.col("t.data_type").alias("target_type"),
-        F.explode(present(*checks)).alias("issue"),
-    )
+    keep = [*key, F.col("s.data_type").alias("source_type"), F.col("t.data_type").alias("target_type")]
+    return rows_of(pairs, keep, *[F.when(c.isNotNull(), F.struct(c.alias("issue"))) for c in checks])
 
 
 # ---- keyed row diff -----------------------------------------------------------------------------------------------
@@ -151,7 +149,7 @@ def diff_rows(
         n = F.col(f"rows_{status}")
         return F.when(n > 0, F.struct(F.lit(status).alias("status"), n.alias("row_count")))
 
-    return classes.select(*keys, F.inline(present(case(MISSING), case(EXTRANEOUS), case(MISMATCHED))))
+    return rows_of(classes, keys, case(MISSING), case(EXTRANEOUS), case(MISMATCHED))
 
 
 def diff_summary(
@@ -213,7 +211,7 @@ def diff_cells(
                         F.col(f"target.{c}").cast("string").alias("target_value")))
         for c in cols
     ]
-    return s.join(t, on).select(*keys, F.inline(present(*cells)))
+    return rows_of(s.join(t, on), keys, *cells)
 
 
 def diff_multiset(source: DataFrame, target: DataFrame, columns: list[str] | None = None, trim: bool = True) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crossover.functions.constants import DIFFICULTY_POINTS, MSSQL_SPATIAL_TYPES, UNSUPPORTED_COLLATIONS
-from crossover.functions.text import lookup, matches, present
+from crossover.functions.text import lookup, matches, rows_of
 from crossover.operators.features import object_name
 
 MYSQL_CATEGORIES = {
@@ -41,7 +41,7 @@ def _capped(category: str, rule: str, n: Column, each: int, most: int) -> Column
 
 
 def _rows(df: DataFrame, *deductions: Column) -> DataFrame:
-    return df.select("source_id", F.inline(present(*deductions)))
+    return rows_of(df, ["source_id"], *deductions)
 
 
 def _query_facts(log: DataFrame | None, issues: DataFrame | None, groups: dict[str, list[str]]) -> DataFrame | None:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crossover.functions import constants as k
-from crossover.functions.text import present
+from crossover.functions.text import rows_of
 
 
 def metric_hourly(metrics: DataFrame, days: int | None = None) -> DataFrame:
@@ -87,6 +87,10 @@ def tier_fit(totals: DataFrame, meta: DataFrame) -> DataFrame:
     facts = facts.fillna({"total_data_mb": 0.0, "largest_table_rows": 0})
     gib = F.col("total_data_mb") / 1024
     none = F.array().cast("array<string>")
+
+    def present(*texts: Column) -> Column:
+        return F.array_compact(F.array(*texts))
+
     blockers = present(F.when(gib > 25, F.format_string("%.1f GiB exceed the 25 GiB limit", gib)))
     warnings = present(F.when((gib > 20) & (gib <= 25), F.format_string("%.1f GiB are close to the 25 GiB limit", gib)),
                        F.when(F.col("cdc_enabled"), F.lit("no change feed: cutover with downtime")),
@@ -140,11 +144,12 @@ def decisions_mysql(checklist: DataFrame, rating: DataFrame, issue_totals: DataF
              .join(issue_totals.select("source_id", "blocker_count"), "source_id", "left"))
     c, large = F.col, F.col("total_data_mb") > 1048576
     blocked = c("blocker_count") > 0
-    return facts.select("source_id", F.inline(present(
+    return rows_of(
+        facts, ["source_id"],
         _decide("warn", "difficult_migration", c("overall_score") < 25), _decide("warn", "resolve_blockers", blocked), _decide("ask", "handle_blockers", blocked),
         _decide("ask", "generate_code", c("stored_procedure_count") > 0),
         _decide("recommend", "cloud_import" if target == "cloud" else "physical_import", large),
-        _decide("warn", "binlog_format", c("binlog_format") != "ROW"), _decide("recommend", "free_tier"))))
+        _decide("warn", "binlog_format", c("binlog_format") != "ROW"), _decide("recommend", "free_tier"))
 
 
 def decisions_mssql(checklist: DataFrame, totals: DataFrame, rating: DataFrame, issue_totals: DataFrame, tier: str = "starter") -> DataFrame:
@@ -163,4 +168,4 @@ def decisions_mssql(checklist: DataFrame, totals: DataFrame, rating: DataFrame,
         rows.append(_decide("recommend", "physical_import", mb > 512000))
     if tier != "starter":
         rows.append(_decide("warn", "enable_cdc", ~c("is_cdc_enabled")))
-    return facts.select("source_id", F.inline(present(*rows)))
+    return rows_of(facts, ["source_id"], *rows)

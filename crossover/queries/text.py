@@ -257,7 +257,7 @@ MSSQL_FRAMES = ("cat_modules", "cat_server_objects", "cat_jobs", "cat_tables", "
 def mssql_issues(f, tier="starter", **kw):
     return iss.assess_mssql(f["cat_modules"], inv.server_objects(f["cat_server_objects"]), f["cat_jobs"], f["cat_tables"], f["cat_columns"],
                             inv.indexes(f["cat_index_columns"]), f["server_meta"], prof.profile_totals(prof.table_sizes(f["cat_tables"])),
-                            TSQL_PATTERNS, tier, **kw)
+                            tier=tier, **kw)
 
 
 @query("issues_mssql", *MSSQL_FRAMES, sql=f"WITH {MSSQL_ISSUES} SELECT * FROM issues")
