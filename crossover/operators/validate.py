@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from crossover.functions.hashing import checksum_aggregates, plain_columns, row_hash
 from crossover.functions.text import rows_of
 
+SUMMARY_SCHEMA = ("table_name string, source_rows bigint, target_rows bigint, rows_matching bigint, rows_missing bigint, rows_mismatched bigint, "
+                  "rows_extraneous bigint, status string")
 MISSING, EXTRANEOUS, MISMATCHED = "missing", "extraneous", "mismatched"
 
 

@@ -83,7 +83,7 @@ def check(
             if sample_rate < 1.0:
                 s, t = v.sample_keys(s, key, sample_rate), v.sample_keys(t, key, sample_rate)
             parts.append(v.diff_summary(s, t, key, trim=trim, table=name))
-        tables = reduce(DataFrame.unionByName, parts)
+        tables = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], v.SUMMARY_SCHEMA)
         result = CheckResult(missing, columns, tables, v.check_summary(tables))
     if fail_on_mismatch and not result.passed():
         raise CheckFailed("source and target differ")

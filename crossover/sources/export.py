@@ -9,6 +9,8 @@ from crossover.functions.constants import MAX_IMPORT_BYTES
 
 CSV_OPTIONS = {"escape": '"', "quote": '"', "nullValue": "\\N", "emptyValue": '""', "lineSep": "\n", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
 
+READ_OPTIONS = {**CSV_OPTIONS, "emptyValue": ""}  # quoted nothing is the empty string, \N is NULL
+
 
 def sized_files(df: DataFrame, max_bytes: int = MAX_IMPORT_BYTES) -> DataFrame:
     """Add ``part`` and ``file`` so that the rows of one file never take more than ``max_bytes`` as CSV.
@@ -32,4 +34,4 @@ def export_csv(df: DataFrame, path: str, max_bytes: int = MAX_IMPORT_BYTES, mode
 
 
 def read_export(spark, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).options(**CSV_OPTIONS).option("recursiveFileLookup", "true").csv(path)
+    return spark.read.schema(schema).options(**READ_OPTIONS).option("multiLine", "true").option("recursiveFileLookup", "true").csv(path)

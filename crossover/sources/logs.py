@@ -42,15 +42,19 @@ def read_usage_log(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(f"{u}.cache_read_input_tokens", zero).alias("cache_read_tokens"), "_corrupt_record")
 
 
+def _bad_line(log: DataFrame) -> Column:
+    """Text of a bad line, else NULL. The reader wants another column read next to it, hence the run or the role."""
+    kind = F.coalesce("run_id" if "run_id" in log.columns else "role", F.lit(""))
+    return F.concat(kind, "_corrupt_record")
+
+
 def good_lines(log: DataFrame) -> DataFrame:
-    return log.where("_corrupt_record is null").drop("_corrupt_record")
+    return log.where(_bad_line(log).isNull()).drop("_corrupt_record")
 
 
 def bad_line_counts(log: DataFrame) -> DataFrame:
     """Lines per file and how many of them are no JSON, so that skipping them is never silent."""
-    kind = F.coalesce("run_id" if "run_id" in log.columns else "role", F.lit(""))
-    # The reader wants another column next to the bad line's text.
-    return log.groupBy("file_name").agg(F.count(F.lit(1)).alias("lines"), F.count(F.concat(kind, "_corrupt_record")).alias("bad_lines"))
+    return log.groupBy("file_name").agg(F.count(F.lit(1)).alias("lines"), F.count(_bad_line(log)).alias("bad_lines"))
 
 
 def read_report(spark: SparkSession, path: str, multiline: bool = True) -> dict[str, DataFrame]:

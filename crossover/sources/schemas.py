@@ -1,30 +1,23 @@
-"""Fixed schemas of everything that is read; nothing is inferred."""
-
-from pyspark.sql import types as T
-
-
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
+"""Fixed schemas of everything that is read, as DDL; nothing is inferred."""
 
 CATALOG = {
-    "tables": _struct("schema_name string, table_name string, table_type string, engine string, table_rows bigint, data_length bigint, "
+    "tables": ("schema_name string, table_name string, table_type string, engine string, table_rows bigint, data_length bigint, "
                       "index_length bigint, auto_increment bigint, table_collation string, is_temporal boolean, is_memory_optimized boolean, "
                       "is_heap boolean, source_id string"),
-    "columns": _struct("schema_name string, table_name string, column_name string, ordinal_position int, data_type string, max_length int, "
+    "columns": ("schema_name string, table_name string, column_name string, ordinal_position int, data_type string, max_length int, "
                        "num_precision int, num_scale int, is_nullable boolean, column_default string, is_identity boolean, is_computed boolean, "
                        "is_filestream boolean, computed_definition string, character_set_name string, collation_name string, source_id string"),
-    "modules": _struct("kind string, schema_name string, name string, routine_type string, definition string, is_clr boolean, is_instead_of boolean, "
+    "modules": ("kind string, schema_name string, name string, routine_type string, definition string, is_clr boolean, is_instead_of boolean, "
                        "action_timing string, event_manipulation string, event_table string, source_id string"),
 }
 
-RUN_EVENT = _struct("run_id string, phase string, step string, outcome string, timestamp timestamp_ntz, duration_ms bigint, "
+RUN_EVENT = ("run_id string, phase string, step string, outcome string, timestamp timestamp_ntz, duration_ms bigint, "
                     "metrics map<string,string>, error string, version string, _corrupt_record string")
 
-USAGE_LINE = _struct("type string, message struct<role string, content string, model string, usage struct<input_tokens bigint, output_tokens bigint, "
+USAGE_LINE = ("type string, message struct<role string, content string, model string, usage struct<input_tokens bigint, output_tokens bigint, "
                      "cache_creation_input_tokens bigint, cache_read_input_tokens bigint>>, _corrupt_record string")
 
-REPORT = _struct(
+REPORT = (
     "version string, source struct<host string>, "
     "summary struct<overall_score int, rating string, table_count bigint, total_data_size_gb double>, "
     "schema_inventory struct<"
@@ -32,4 +25,4 @@ REPORT = _struct(
     "columns array<struct<schema_name string, table_name string, column_name string, ordinal_position int, data_type string, is_nullable boolean>>, "
     "indexes array<struct<schema_name string, table_name string, index_name string, columns string, is_primary_key boolean>>>")
 
-MANIFEST = _struct("run_token string, table_name string, shard int, row_count bigint, status string, recorded_at timestamp, message string")
+MANIFEST = ("run_token string, table_name string, shard int, row_count bigint, status string, recorded_at timestamp, message string")
