@@ -85,12 +85,14 @@ def columns_mssql(columns: DataFrame, tables: DataFrame, schemas: DataFrame, typ
 def routines_mssql(objects: DataFrame, schemas: DataFrame, modules: DataFrame, assembly_modules: DataFrame,
                    assemblies: DataFrame) -> DataFrame:
     obj = ["source_id", "object_id"]
-    asm = assemblies.select("source_id", "assembly_id", F.col("name").alias("assembly_name"))
+    # Assemblies join their modules first: most routines have none, and their NULLs would share one join key.
+    names = assemblies.select("source_id", "assembly_id", F.col("name").alias("assembly_name"))
+    asm = (assembly_modules.select(*obj, "assembly_id", F.lit(True).alias("has_clr")).join(names, ["source_id", "assembly_id"], "left")
+           .select(*obj, "has_clr", "assembly_name"))
     return (objects.where(F.col("type").isin("P", "FN", "IF", "TF"))
             .join(schemas.select("source_id", "schema_id", F.col("name").alias("schema_name")), ["source_id", "schema_id"])
             .join(modules.select(*obj, "definition"), obj, "left")
-            .join(assembly_modules.select(*obj, "assembly_id", F.lit(True).alias("has_clr")), obj, "left")
-            .join(asm, ["source_id", "assembly_id"], "left")
+            .join(asm, obj, "left")
             .select("source_id", "schema_name", F.col("name").alias("routine_name"), F.col("type_desc").alias("routine_type"),
                     "definition", F.coalesce("has_clr", F.lit(False)).alias("is_clr"), "assembly_name"))
 

@@ -256,10 +256,44 @@ def severity_totals(summary: DataFrame) -> DataFrame:
 def enrich(issues: DataFrame, complexity: DataFrame) -> DataFrame:
     """Add difficulty and size of a routine to the issues that name it."""
     about = complexity.where("kind = 'routine'").select("source_id", object_name().alias("object_name"), "difficulty", "loc")
-    routine_rules = F.col("type").isin("stored_procedure", "user_defined_function", "clr")
-    named = issues.withColumn("_key", F.when(routine_rules, F.col("object_name")))
-    about = about.withColumnRenamed("object_name", "_key")
-    return named.join(about, ["source_id", "_key"], "left").drop("_key")
+    # Every issue joins by its own object's name, so rows without a routine spread as evenly as the rest.
+    ours = F.col("type").isin("stored_procedure", "user_defined_function", "clr")
+    joined = issues.join(about, ["source_id", "object_name"], "left")
+    return joined.withColumns({c: F.when(ours, F.col(c)) for c in ("difficulty", "loc")})
+
+
+# ---- fixed values: finding -> rule id of the MySQL catalogue
+RULE_OF_FINDING = {
+    "stored_procedure": "BLK-001",
+    "trigger": "BLK-002",
+    "user_defined_function": "BLK-003",
+    "spatial_gis": "BLK-004",
+    "XML_EXTRACT": "BLK-005",
+    "XML_UPDATE": "BLK-005",
+    "XA_TRANSACTION": "BLK-006",
+    "event": "BLK-007",
+    "foreign_key": "WRN-001",
+    "fulltext_index": "WRN-002",
+    "GET_LOCK": "WRN-003",
+    "RELEASE_LOCK": "WRN-003",
+    "auto_increment": "WRN-004",
+    "SQL_CALC_FOUND_ROWS": "WRN-005",
+    "savepoint": "WRN-006",
+    "SAVEPOINT": "WRN-006",
+    "temporary_table": "WRN-008",
+    "TEMPORARY_TABLE": "WRN-008",
+}
+
+
+def rule_counts(issues: DataFrame, query_hits: DataFrame | None = None) -> DataFrame:
+    """Findings per source and rule of the MySQL catalogue, from issues and from constructs in the query log."""
+    found = issues.groupBy("source_id", F.col("type").alias("finding")).agg(F.count(F.lit(1)).alias("n"))
+    if query_hits is not None:
+        found = found.unionByName(query_hits.groupBy("source_id", F.col("construct").alias("finding")).agg(F.count(F.lit(1)).alias("n")))
+    counts = (found.withColumn("rule", lookup(RULE_OF_FINDING, F.col("finding"))).where("rule is not null")
+              .groupBy("source_id", "rule").agg(F.sum("n").alias("finding_count")))
+    rules = rule_catalogue(issues.sparkSession, "mysql").select("rule", "severity", F.col("text").alias("feature"))
+    return counts.join(rules, "rule").select("source_id", "rule", "severity", "feature", "finding_count")
 
 
 def rule_catalogue(spark, dialect: str) -> DataFrame:

@@ -290,11 +290,11 @@ def diff_shards(source: DataFrame, target: DataFrame, keys: list[str], buckets:
     When almost everything matches, the first pass moves a few numbers per bucket and the second reads both sides once
     more but shuffles little. The list of bad buckets has at most ``buckets`` integers, hence the broadcast.
     """
-    bad = bad_buckets(source, target, keys, buckets, columns, trim)
+    bad = bad_buckets(source, target, keys, buckets, columns, trim).withColumnRenamed("bucket", "_bucket")
     if buckets <= MOST_BROADCAST_BUCKETS:
         bad = F.broadcast(bad)
-    s = source.withColumn("bucket", bucket(source, keys, buckets)).join(bad, "bucket", "left_semi").drop("bucket")
-    t = target.withColumn("bucket", bucket(target, keys, buckets)).join(bad, "bucket", "left_semi").drop("bucket")
+    s = source.withColumn("_bucket", bucket(source, keys, buckets)).join(bad, "_bucket", "left_semi").drop("_bucket")
+    t = target.withColumn("_bucket", bucket(target, keys, buckets)).join(bad, "_bucket", "left_semi").drop("_bucket")
     return diff_rows(s, t, keys, columns, trim)
 
 

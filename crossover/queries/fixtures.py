@@ -95,6 +95,12 @@ select 'db' || cast(l_orderkey % 20 as string) as source_id,
        cast(row_number() over (partition by l_orderkey order by {LINE_ORDER}) as int) as ordinal_position
 from {{lineitem}}""")
 
+FIXTURES["cat_partitions"] = (["lineitem"], """
+select 'db' || cast(l_orderkey % 20 as string) as source_id, 't' || cast(l_orderkey as string) as table_name,
+       case when l_linenumber % 3 = 0 then null else 'p' || cast(l_linenumber as string) end as partition_name,
+       case when l_linenumber % 2 = 0 then 'RANGE' else 'HASH' end as partition_method, cast(l_quantity as bigint) as table_rows
+from {lineitem}""")
+
 # ---- SQL Server system catalog ------------------------------------------------------------------------------------
 FIXTURES["sys_schemas"] = (["orders"], """
 select distinct 'db' || cast(o_orderkey % 20 as string) as source_id, o_orderkey % 6 as schema_id,

@@ -116,6 +116,11 @@ def inv_jobs(f):
     return inv.jobs(f["cat_jobs"])
 
 
+@query("inv_partitions", "cat_partitions", sql="SELECT * FROM cat_partitions WHERE partition_name IS NOT NULL")
+def inv_partitions(f):
+    return inv.partitions(f["cat_partitions"])
+
+
 @query("inv_server_objects", "cat_server_objects", sql="""
 SELECT source_id, kind, name FROM cat_server_objects WHERE kind = 'assembly' OR server_id > 0""")
 def inv_server_objects(f):

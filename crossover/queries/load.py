@@ -7,6 +7,7 @@ from crossover.operators import loading as ld
 from crossover.operators import profile as prof
 from crossover.operators import validate as v
 from crossover.plans import report as rp
+from crossover.plans.check import check
 from crossover.plans import sizing as sz
 from crossover.queries.registry import query
 from crossover.queries.scores import MYSQL_ALL, MYSQL_SCORES, SIZES, deductions_mysql, ratings_mysql, score_mysql, stats, totals
@@ -65,19 +66,27 @@ def read_run_log(f):
 
 
 @query("read_usage_log", "usage_log", sql="""SELECT role, model, count(*) AS n, sum(input_tokens)::bigint AS input_tokens, sum(cache_read_tokens)::bigint AS cache_read_tokens,
-  sum(length(content))::bigint AS chars, (SELECT count(*) FROM usage_log WHERE line_no = 0) AS bad_lines FROM usage_log GROUP BY 1, 2""")
+  sum(length(content))::bigint AS chars FROM usage_log GROUP BY 1, 2""")
 def read_usage_log(f):
+    return lg.good_lines(usage_log_read_back(f)).groupBy("role", "model").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("input_tokens").alias("input_tokens"), F.sum("cache_read_tokens").alias("cache_read_tokens"),
+        F.sum(F.length("content")).alias("chars"))
+
+
+@query("bad_line_counts", "usage_log", sql="SELECT count(*) + count(*) FILTER (line_no = 0) AS lines, count(*) FILTER (line_no = 0) AS bad_lines FROM usage_log")
+def bad_line_counts(f):
+    return lg.bad_line_counts(usage_log_read_back(f)).agg(F.sum("lines").alias("lines"), F.sum("bad_lines").alias("bad_lines"))
+
+
+def usage_log_read_back(f):
+    """The usage log as JSON lines with a broken line before each session, read again."""
     path = run_folder(f.spark, "usage")
     u = f["usage_log"]
     usage = F.struct("input_tokens", "output_tokens", F.col("cache_write_tokens").alias("cache_creation_input_tokens"), F.col("cache_read_tokens").alias("cache_read_input_tokens"))
     good = F.to_json(F.struct(F.col("role").alias("type"), F.struct("role", "content", "model", usage.alias("usage")).alias("message")))
     bad = F.when(F.col("line_no") == 0, F.concat(F.lit('{"type": "'), F.col("role")))
     u.select(F.explode(F.filter(F.array(good, bad), lambda x: x.isNotNull())).alias("value")).write.text(path)
-    log = lg.read_usage_log(f.spark, path)
-    bad_lines = lg.bad_line_counts(log).agg(F.sum("bad_lines").alias("bad_lines")).withColumn("one", F.lit(1))
-    sums = lg.good_lines(log).groupBy("role", "model").agg(F.count(F.lit(1)).alias("n"), F.sum("input_tokens").alias("input_tokens"),
-                                                           F.sum("cache_read_tokens").alias("cache_read_tokens"), F.sum(F.length("content")).alias("chars"))
-    return sums.withColumn("one", F.lit(1)).join(bad_lines, "one").drop("one")
+    return lg.read_usage_log(f.spark, path)
 
 
 @query("export_csv_roundtrip", sql="SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, o_orderpriority FROM orders")
@@ -110,6 +119,13 @@ def shard_coverage(f):
     return hits.agg(F.sum("n").alias("row_count"), F.count_distinct("l_orderkey").alias("keys"), F.bool_and(F.col("n") == 1).alias("disjoint"))
 
 
+@query("load_events", sql="""SELECT 't' || l_partkey % 50 || '/' || l_orderkey % 10 AS step, CASE WHEN l_linenumber % 3 = 0 THEN 'error' ELSE 'ok' END AS outcome,
+  count(*) AS events, sum(l_suppkey)::bigint AS rows FROM lineitem GROUP BY 1, 2""")
+def load_events(f):
+    events = ld.load_events(load_frames(f)[1].withColumn("message", F.lit(None).cast("string")))
+    return events.groupBy("step", "outcome").agg(F.count(F.lit(1)).alias("events"), F.sum("rows").alias("rows"))
+
+
 PLAN = "plan AS (SELECT 't' || l_partkey % 50 AS table_name, (l_orderkey % 10)::int AS shard FROM lineitem GROUP BY 1, 2)"
 MANIFEST = """manifest AS (SELECT 't' || l_partkey % 50 AS table_name, (l_orderkey % 10)::int AS shard, arg_max(CASE WHEN l_linenumber % 3 = 0 THEN 'failed' ELSE 'done' END, k) AS status,
   arg_max(l_suppkey, k) AS row_count FROM (SELECT *, l_shipdate + to_microseconds(l_orderkey * 1000 + l_partkey % 1000) AS k FROM lineitem) GROUP BY 1, 2)"""
@@ -180,3 +196,18 @@ def report_lists(f):
     path = run_folder(f.spark, "lists")
     rp.write_lists({"deductions": deductions_mysql(f), "tables": inv.base_tables(f["cat_tables"])}, path)
     return f.spark.read.schema("source_id string, category string, rule string, points int").json(f"{path}/deductions")
+
+
+@query("check_report", "orders_tgt", "customer_tgt", sql="""SELECT 'orders' AS table_name, 'row_hash' AS issue, 'missing=' || (SELECT count(*) FROM orders WHERE o_orderkey % 97 = 0)
+  || ' mismatched=' || (SELECT count(*) FROM orders WHERE o_orderkey % 97 <> 0 AND (o_orderkey % 89 = 0 OR o_orderkey % 178 = 0))
+  || ' extraneous=' || (SELECT count(*) FROM orders WHERE o_orderkey % 113 = 0) AS details
+UNION ALL SELECT 'customer', 'row_hash', 'missing=' || (SELECT count(*) FROM customer WHERE c_custkey % 50 = 0) || ' mismatched=0 extraneous=0'
+UNION ALL SELECT 'nation', 'missing_on_target', NULL""")
+def check_report(f):
+    """Findings of a run as written to the report and read back."""
+    path = run_folder(f.spark, "check")
+    result = check({"orders": f["orders"], "customer": f["customer"], "part": f["part"], "nation": f["nation"]},
+                   {"orders": f["orders_tgt"], "customer": f["customer_tgt"], "part": f["part"]},
+                   {"orders": ["o_orderkey"], "customer": ["c_custkey"], "part": ["p_partkey"]})
+    rp.write_check(result, path)
+    return f.spark.read.schema("table_name string, issue string, details string").json(f"{path}/mismatches")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from crossover.functions.constants import FEATURE_TO_RULE, FUNCTION_MAP, FUNCTIONS_TO_REDESIGN, MSSQL_BLOCKERS, MYSQL_QUERY_RULES, TSQL_PATTERNS
+from crossover.functions.constants import FEATURE_TO_RULE, FUNCTION_MAP, FUNCTIONS_TO_REDESIGN, MSSQL_BLOCKERS, MYSQL_RULES, MYSQL_QUERY_RULES, MYSQL_QUERY_RULES_STRICT, TSQL_PATTERNS
 from crossover.functions.text import lookup
 from crossover.operators import features as feat
 from crossover.operators import inventory as inv
@@ -66,6 +66,13 @@ def query_issues(f):
     return feat.query_issues(f["query_log"])
 
 
+@query("query_issues_strict", "query_log", sql="WITH i AS (" + " UNION ALL ".join(
+    f"SELECT source_id, digest_id, '{c}' AS construct, '{s}' AS severity FROM query_log WHERE trim(digest_text) <> '' AND regexp_matches(replace(digest_text, '?', '1'), '(?i){p}')"
+    for c, p, s, _ in MYSQL_QUERY_RULES + MYSQL_QUERY_RULES_STRICT) + ") SELECT * FROM i")
+def query_issues_strict(f):
+    return feat.query_issues(f["query_log"], strict=True).select("source_id", "digest_id", "construct", "severity")
+
+
 TSQL_HITS = "issues AS (" + " UNION ALL ".join(
     f"SELECT source_id, digest_id, substring(trim(digest_text), 1, 240) AS query_snippet, '{n}' AS construct, "
     f"CASE WHEN transpile_ok THEN 'warning' ELSE 'blocker' END AS severity FROM tsql_log "
@@ -305,6 +312,15 @@ def issues_enriched(f):
     return iss.enrich(mysql_issues(f), feat.difficulty_counts(feat.module_complexity(f["cat_modules"])))
 
 
+@query("rule_counts", *MYSQL_FRAMES, "query_log", sql=f"""WITH {MYSQL_ISSUES}, {MYSQL_HITS.replace("issues AS", "hits AS", 1)},
+x AS (SELECT source_id, type AS finding FROM issues UNION ALL SELECT source_id, construct FROM hits),
+y AS (SELECT source_id, {case_of(iss.RULE_OF_FINDING, "finding")} AS rule FROM x)
+SELECT source_id, rule, {case_of({r: s for r, (s, _) in MYSQL_RULES.items()}, "rule")} AS severity, {case_of({r: t for r, (_, t) in MYSQL_RULES.items()}, "rule")} AS feature,
+  count(*) AS finding_count FROM y WHERE rule IS NOT NULL GROUP BY source_id, rule""")
+def rule_counts(f):
+    return iss.rule_counts(mysql_issues(f), feat.query_issues(f["query_log"]))
+
+
 @query("compatible_features", *MSSQL_FRAMES, sql=f"""WITH {MSSQL_ISSUES},
 fam AS (SELECT source_id, CASE WHEN data_type IN ('bigint', 'tinyint') THEN 'integer types' WHEN data_type = 'decimal' THEN 'decimal types'
   WHEN data_type IN ('nvarchar', 'varchar') THEN 'character types' WHEN data_type = 'datetime2' THEN 'date and time types'

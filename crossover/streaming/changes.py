@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -98,11 +98,23 @@ def sync_lag(applied: DataFrame, window: str = "1 minute", slide: str | None = N
         .select(F.col("w.start").cast(kind).alias("window_start"), *(by or []), "max_lag_seconds", "max_seq", "changes"))
 
 
-def activity(changes: DataFrame, gap: str = "30 minutes", by: list[str] | None = None, delay: str = "1 hour") -> DataFrame:
-    """Bursts of changes, parted by gaps."""
-    timed, kind = _timed(changes, "commit_ts", delay), changes.schema["commit_ts"].dataType
-    return (timed.groupBy(F.session_window("commit_ts", gap).alias("w"), *(by or [])).agg(F.count(F.lit(1)).alias("changes"), F.max("seq").alias("max_seq"))
-            .select(F.col("w.start").cast(kind).alias("started_at"), *(by or []), "changes", "max_seq"))
+def activity(changes: DataFrame, gap_seconds: int = 1800, by: list[str] | None = None) -> DataFrame:
+    """Bursts of changes, parted by gaps of at least ``gap_seconds``, from a batch of changes.
+
+    Changes are counted per stretch of time as long as the gap first, inside which no gap can lie. Only the stretches
+    are put in order, so a busy table takes no more room in a task than a quiet one.
+    """
+    by = by or []
+    micros = F.unix_micros(F.col("commit_ts").cast("timestamp"))
+    stretch = F.floor(micros / (gap_seconds * 1_000_000)).alias("_stretch")
+    parts = changes.groupBy(*by, stretch).agg(F.min("commit_ts").alias("_from"), F.max("commit_ts").alias("_to"),
+                                              F.count(F.lit(1)).alias("_n"), F.max("seq").alias("_seq"))
+    w = Window.partitionBy(*by).orderBy("_stretch")
+    pause = F.unix_micros(F.col("_from").cast("timestamp")) - F.unix_micros(F.lag("_to").over(w).cast("timestamp"))
+    fresh = F.coalesce(pause >= gap_seconds * 1_000_000, F.lit(True)).cast("int")
+    numbered = parts.withColumn("_fresh", fresh).withColumn("_burst", F.sum("_fresh").over(w))
+    return (numbered.groupBy(*by, "_burst").agg(F.min("_from").alias("started_at"), F.sum("_n").alias("changes"), F.max("_seq").alias("max_seq"))
+            .select("started_at", *by, "changes", "max_seq"))
 
 
 def key_state(changes: DataFrame, keys: list[str]) -> DataFrame:
@@ -168,6 +180,8 @@ def cutover_ready(lag: DataFrame, summary: DataFrame, most_seconds: float, windo
     """Ready when the newest ``windows`` of the lag stay below a bound and the check passed. One row."""
     last = lag.orderBy(F.desc("window_start")).limit(windows)
     steady = last.agg(F.count(F.lit(1)).alias("windows"), F.max("max_lag_seconds").alias("max_lag_seconds"))
-    facts = (steady.select(F.lit(1).alias("one"), "*").join(summary.select(F.lit(1).alias("one"), "passed"), "one"))
+    # Two one-row frames, laid on top of each other rather than joined.
+    facts = steady.unionByName(summary.select("passed"), allowMissingColumns=True).agg(
+        F.max("windows").alias("windows"), F.max("max_lag_seconds").alias("max_lag_seconds"), F.bool_and("passed").alias("passed"))
     calm = (F.col("windows") >= windows) & (F.col("max_lag_seconds") < most_seconds)
     return facts.select("windows", "max_lag_seconds", "passed", (calm & F.col("passed")).alias("ready"))
