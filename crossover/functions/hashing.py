@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,13 +32,13 @@ def plain_columns(df: DataFrame, columns: list[str] | None = None, trim: bool =
 def row_hash(df: DataFrame, columns: list[str] | None = None, trim: bool = True, salt: int = 0) -> Column:
     """64-bit hash of a row.
 
-    The hash function skips NULLs, so every value is followed by its NULL flag; otherwise (NULL, 'a') and ('a', NULL)
-    would be equal.
+    The hash function skips NULLs, so the NULLs of a row are hashed as well, one bit each; otherwise (NULL, 'a') and
+    ('a', NULL) would be equal.
     """
-    parts: list[Column] = [F.lit(salt)]
-    for c in plain_columns(df, columns, trim).values():
-        parts += [c, c.isNull()]
-    return F.xxhash64(*parts)
+    names = list(plain_columns(df, columns, trim=False))
+    nulls = [reduce(Column.bitwiseOR, [F.shiftleft(F.col(f"`{n}`").isNull().cast("long"), i) for i, n in enumerate(names[k:k + 60])])
+             for k in range(0, len(names), 60)]
+    return F.xxhash64(F.lit(salt), *nulls, *plain_columns(df, columns, trim).values())
 
 
 def row_digest(df: DataFrame, columns: list[str] | None = None, trim: bool = True) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crossover.queries.fixtures import FIXTURES, TABLES
+from crossover.queries.fixtures import FIXTURES, TABLES, TEXT_TABLES
 from crossover.sources.tables import read_spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,7 +23,8 @@ class Frames:
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._made:
             if name in TABLES:
-                self._made[name] = read_spread(self.spark, f"{self.folder}/{name}.parquet")
+                path = f"{self.folder}/{name}.parquet"
+                self._made[name] = read_spread(self.spark, path) if name in TEXT_TABLES else self.spark.read.parquet(path)
             else:
                 needs, sql = FIXTURES[name]
                 self._made[name] = self.spark.sql(sql, **{n: self[n] for n in needs})

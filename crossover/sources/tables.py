@@ -58,6 +58,7 @@ def write_table(df: DataFrame, url: str, table: str, batch: int = 1000, retry: b
 
 
 SPREAD_FROM, SPREAD_TO_PER_CORE = 1 << 20, 32 << 20
+_SIZES: dict[tuple[str, str], int] = {}
 
 
 def read_spread(spark: SparkSession, path: str) -> DataFrame:
@@ -66,7 +67,10 @@ def read_spread(spark: SparkSession, path: str) -> DataFrame:
     A small file often is a single row group, which one task has to read and work on alone. Large inputs come in many
     splits and are left as they are, without a shuffle. The size check lists the files and reads none.
     """
-    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    known = (spark.sparkContext.applicationId, path)
+    if known not in _SIZES:
+        _SIZES[known] = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    size = _SIZES[known]
     cores = spark.sparkContext.defaultParallelism
     df = spark.read.parquet(path)
     return df.repartition(cores) if SPREAD_FROM <= size < SPREAD_TO_PER_CORE * cores else df
