@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from crossover.sources.schemas import MANIFEST
@@ -49,6 +49,13 @@ def load_summary(plan: DataFrame, manifest: DataFrame, excluded: list[str] | Non
     return state.withColumn("status", result)
 
 
+def counted_write(df: DataFrame, write: Callable[[DataFrame], None]) -> int:
+    """Write ``df`` and return the number of rows, counted on the way rather than by reading them again."""
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return seen.get["n"]
+
+
 def run_load(spark: SparkSession, shards: list[tuple[str, int]], copy: Callable[[str, int], int], manifest_path: str, token: str, concurrency: int = 4) -> None:
     """Copy each shard with ``copy(table, shard) -> rows`` and note the outcome; ``shards`` is one entry per Spark job.
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,6 +92,34 @@ def check(
     return result
 
 
+def run_check(source: dict[str, DataFrame], target: dict[str, DataFrame], keys: dict[str, list[str]], path: str, concurrency: int = 16,
+              trim: bool = True) -> DataFrame:
+    """Check many tables side by side, one Spark job each, and keep every table's figures below ``path``.
+
+    One plan over thousands of tables would be too large. A run that is started again on the same path goes on with the
+    tables that are missing there. Returns the figures of all tables.
+    """
+    spark = next(iter(source.values())).sparkSession
+    names = [n for n in source if n in target]
+    done = {n for n in names if _has_rows(spark, f"{path}/{n}")}
+
+    def one(name: str) -> None:
+        s, t = source[name], target[name]
+        key = keys.get(name) or [c for c in s.columns if c in t.columns]
+        v.diff_summary(s, t, key, trim=trim, table=name).coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    with ThreadPoolExecutor(concurrency) as pool:
+        list(pool.map(one, [n for n in names if n not in done]))
+    return spark.read.schema(v.SUMMARY_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
+
+
+def _has_rows(spark, path: str) -> bool:
+    try:
+        return spark.read.schema(v.SUMMARY_SCHEMA).parquet(path).limit(1).count() == 1
+    except AnalysisException:
+        return False
+
+
 def mismatches(result: CheckResult) -> DataFrame:
     """All findings of a run as one long frame (table, issue, details)."""
     out = result.missing_tables.select("table_name", "issue", F.lit(None).cast("string").alias("details"))

@@ -163,9 +163,8 @@ def load_audit(f):
 
     def copy(table, shard):
         r, key = plans[table][shard], keys[table]
-        out = f"{path}/{table}/shard={shard}"
-        f[table].where(tb.in_shard(key, r["low"], r["high"])).write.mode("overwrite").parquet(out)
-        return spark.read.parquet(out).count()
+        rows = f[table].where(tb.in_shard(key, r["low"], r["high"]))
+        return ld.counted_write(rows, lambda df: df.write.mode("overwrite").parquet(f"{path}/{table}/shard={shard}"))
 
     shards = [(t, s) for t, p in plans.items() for s in p] + [("supplier", 0)]
     ld.run_load(spark, shards, copy, f"{path}/manifest", token="run-1")

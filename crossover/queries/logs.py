@@ -109,7 +109,7 @@ g AS (SELECT project, session_id, grouping(project) * 2 + grouping(session_id) A
   FROM usage JOIN p USING (session_id) GROUP BY ROLLUP (project, session_id))
 SELECT project, session_id, CASE lvl WHEN 0 THEN 'session' WHEN 1 THEN 'project' ELSE 'total' END AS level, input_tokens, output_tokens, cache_write_tokens, cache_read_tokens,
   api_calls, sub_sessions, sessions, round(input_tokens / 1000000 * 15.0::double + output_tokens / 1000000 * 75.0::double + cache_write_tokens / 1000000 * 3.75::double
-  + cache_read_tokens / 1000000 * 1.5::double, 6) AS cost FROM g""")
+  + cache_read_tokens / 1000000 * 1.5::double, 9) AS cost FROM g""")
 def usage_cost_rollup(f):
     out = rl.usage_rollup(rl.usage_by_session(f["usage_log"]), rl.classify_sessions(f["usage_log"], SESSION_RULES), PRICES)
-    return out.withColumn("cost", F.round("cost", 6))
+    return out.withColumn("cost", F.round("cost", 9))

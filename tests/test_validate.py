@@ -125,3 +125,13 @@ def test_strict_columns(spark):
     t = v.columns_of(spark, {"t": spark.createDataFrame([], "b string, a bigint, c int")})
     got = {(r["column_name"], r["issue"]) for r in v.compare_columns(s, t, ["table_name"], strict=True).collect()}
     assert got == {("a", "column_type"), ("a", "column_order"), ("b", "column_order"), ("c", "extra_column")}
+
+
+def test_run_check_goes_on(spark, tmp_path):
+    from crossover.plans.check import run_check
+    a, b = spark.createDataFrame([("1", "x", 1.0)], SCHEMA), spark.createDataFrame([("1", "y", 1.0)], SCHEMA)
+    path = str(tmp_path / "run")
+    assert rows(run_check({"a": a}, {"a": a}, {"a": ["k"]}, path).select("table_name", "status")) == [("a", "verified")]
+    # The second run keeps the first table's figures and adds the new table.
+    got = rows(run_check({"a": a, "b": a, "c": a}, {"a": b, "b": b}, {"a": ["k"], "b": ["k"]}, path).select("table_name", "status"))
+    assert got == [("a", "verified"), ("b", "issues_found")]
