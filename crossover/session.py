@@ -15,9 +15,13 @@ SCALE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.scheduler.mode": "FAIR",  # tables loaded or checked side by side share the executors
 }
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def build_session(app: str = "crossover", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the engine's settings; ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
@@ -40,9 +44,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="crossover-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="crossover-")
+    return _LOCAL_FOLDERS[app]
 
 
 def run_folder(spark: SparkSession, name: str) -> str:

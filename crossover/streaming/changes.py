@@ -79,7 +79,10 @@ def current_rows(spark: SparkSession, store: str, keys: list[str], seq: str = "s
 
 
 def compact(spark: SparkSession, store: str, target: str, keys: list[str], seq: str = "seq") -> None:
-    """Write one row per key, deletes included, as the first batch of a new store."""
+    """Write one row per key, deletes included, as the first batch of a new store.
+
+    Stop the stream first and start it again on ``target`` with the same checkpoint.
+    """
     latest_rows(spark, store, keys, by=seq).write.mode("overwrite").parquet(f"{target}/batch_id=-1")
 
 

@@ -117,6 +117,24 @@ def test_shared_folder(spark):
     assert session.run_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
 
 
+def test_no_local_folder_on_a_cluster():
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master, applicationId = "local[2]", "app-1"
+
+    first = session.shared_folder(Session)
+    assert first == session.shared_folder(Session)
+    Session.sparkContext.master = "spark://host:7077"
+    with pytest.raises(ValueError):
+        session.shared_folder(Session)
+
+
 # ---- streams ------------------------------------------------------------------------------------------------------
 
 SCHEMA = "seq bigint, commit_ts timestamp, row_key string, op string, value double"
