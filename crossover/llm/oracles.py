@@ -18,3 +18,23 @@ items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item
 select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
        sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hits on hits.doc_id = d.doc_id left join items on items.doc_id = d.doc_id"""
+
+LINE_DEDUP = r"""
+with l as (select doc_id, t.line, t.n from documents, unnest(string_split(coalesce(text, ''), chr(10))) with ordinality as t(line, n)),
+k as (select *, """ + LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))") + r""" as key from l),
+hot as (select key, max(doc_id) as keeper from k where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+j as (select k.doc_id, k.line, k.n, hot.key is not null and k.doc_id <> hot.keeper as gone from k left join hot on k.key = hot.key)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by n) filter (where not gone), '')) as kept_sha256
+from j group by doc_id"""
+
+SUBSTRING_DEDUP = f"""
+with d as (select doc_id, {WORDS.format('text')} as w from documents),
+s as (select doc_id, i, w[i:i + 19] as g from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d where len(w) >= 20)),
+r as (select doc_id, i, row_number() over (partition by g order by doc_id, i) > 1 as again from s),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as p from r where again),
+k as (select d.doc_id, t.word, t.p, gone.p is not null as removed
+      from d, unnest(d.w) with ordinality as t(word, p) left join gone on gone.doc_id = d.doc_id and gone.p = t.p),
+a as (select doc_id, count(*) filter (where removed) as n_removed, coalesce(string_agg(word, ' ' order by p) filter (where not removed), '') as kept from k group by 1)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join a on a.doc_id = d.doc_id"""

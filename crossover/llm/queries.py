@@ -32,3 +32,17 @@ def decontamination(spark, folder):
     from crossover.llm.decontaminate import decontaminate
 
     return decontaminate(read(spark, folder, "documents"), read(spark, folder, "benchmark")).drop("id", "v")
+
+
+@query("op5_line_dedup", oracles.LINE_DEDUP)
+def line_dedup(spark, folder):
+    from crossover.llm.line_dedup import line_report
+
+    return line_report(read(spark, folder, "documents"))
+
+
+@query("op7_substring_dedup", oracles.SUBSTRING_DEDUP)
+def substring_dedup(spark, folder):
+    from crossover.llm.substring_dedup import substring_report
+
+    return substring_report(read(spark, folder, "documents"))
