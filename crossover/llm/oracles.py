@@ -38,3 +38,13 @@ k as (select d.doc_id, t.word, t.p, gone.p is not null as removed
 a as (select doc_id, count(*) filter (where removed) as n_removed, coalesce(string_agg(word, ' ' order by p) filter (where not removed), '') as kept from k group by 1)
 select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
 from d left join a on a.doc_id = d.doc_id"""
+
+NEAR_DEDUP = f"""
+with recursive d as (select doc_id, {WORDS.format(LOWER.format('text'))} as w from documents),
+s as (select distinct doc_id, w[i:least(i + 3, len(w))] as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as shared from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * shared >= 80 * (a.n + b.n - shared)),
+r as (select doc_id as node, doc_id as root from d union select e.y, r.root from r join e on e.x = r.node where r.root < e.y)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, c.component_id = d.doc_id as kept
+from d left join n on n.doc_id = d.doc_id join (select node, min(root) as component_id from r group by 1) c on c.node = d.doc_id"""

@@ -46,3 +46,10 @@ def substring_dedup(spark, folder):
     from crossover.llm.substring_dedup import substring_report
 
     return substring_report(read(spark, folder, "documents"))
+
+
+@query("op6_minhash_near_dedup", oracles.NEAR_DEDUP)
+def near_dedup(spark, folder):
+    from crossover.llm.minhash import near_report
+
+    return near_report(read(spark, folder, "documents"))
