@@ -15,9 +15,9 @@ from tokenizers import Tokenizer
 #: White space next to white space, at an end, or other than a space or a line feed; and text that looks like a special token.
 IRREGULAR = (r"[ \n][ \n]|\A[ \n]|[ \n]\z|<\||"
              r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]")
-KEPT_PIECES = 500_000
+KEPT_PIECES = 300_000
 #: Text per call: the more, the fewer of its pieces are different.
-CALL_BYTES = 8 << 20
+CALL_BYTES = 4 << 20
 
 
 class PieceEncoder:

@@ -53,3 +53,17 @@ def near_dedup(spark, folder):
     from crossover.llm.minhash import near_report
 
     return near_report(read(spark, folder, "documents"))
+
+
+@query("op2_token_files")
+def token_files(spark, folder):
+    from crossover.llm.token_files import token_report
+
+    return token_report(read(spark, folder, "documents"))
+
+
+@query("op10_best_fit_packing")
+def best_fit_packing(spark, folder):
+    from crossover.llm.packing import pack
+
+    return pack(read(spark, folder, "documents"))
