@@ -1,5 +1,7 @@
 """SQL twins of the queries, for DuckDB."""
 
+from crossover.llm.line_quality import ENDS, MIN_WORDS, PHRASES, REPEAT_WINDOW, SEPARATORS, SHORT_LINE
+
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
 ALNUM_WORDS = r"regexp_extract_all(coalesce(" + LOWER + r", ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -48,3 +50,26 @@ e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where
 r as (select doc_id as node, doc_id as root from d union select e.y, r.root from r join e on e.x = r.node where r.root < e.y)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, c.component_id = d.doc_id as kept
 from d left join n on n.doc_id = d.doc_id join (select node, min(root) as component_id from r group by 1) c on c.node = d.doc_id"""
+
+_SQL = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
+LINE_QUALITY = rf"""
+with t as (select doc_id, coalesce(text, '') as text, {WORDS.format('text')} as w from documents),
+win as (select doc_id, i, w[i:i + {REPEAT_WINDOW - 1}] as g from (select doc_id, w, unnest(range(1, len(w) - {REPEAT_WINDOW - 2})) as i from t where len(w) >= {REPEAT_WINDOW})),
+again as (select doc_id, i from win qualify count(*) over (partition by doc_id, g) > 1),
+rep as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + {REPEAT_WINDOW})) as p from again) group by 1),
+l as (select doc_id, x.line, x.n, {WORDS.format('x.line')} as w from t, unnest(string_split(text, chr(10))) with ordinality as x(line, n)),
+f as (select *, length(array_to_string(w, '')) as chars, length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) as symbols,
+             len(list_filter(w, lambda x: x in ({_SQL(SEPARATORS)}))) as seps,
+             row_number() over (partition by doc_id, line order by n) > 1 as dup
+      from l where len(w) > 0),
+j as (select *, 10 * symbols > chars or (seps >= 2 and 4 * seps >= len(w))
+             or (len(w) <= {SHORT_LINE} and regexp_matches({LOWER.format('line')}, '{"|".join(PHRASES)}'))
+             or right(w[-1], 1) not in ({_SQL(ENDS)}) as bad from f),
+a as (select doc_id, sum(chars) as word_chars, count(*) filter (where dup) as n_dup_lines, count(*) filter (where bad) as n_failed_lines,
+             coalesce(sum(chars) filter (where bad), 0) as lost_chars from j group by 1),
+o as (select t.doc_id, cast(len(t.w) as bigint) as n_words, cast(coalesce(word_chars, 0) as bigint) as word_chars,
+             cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+             coalesce(rep.n, 0) as n_repeat_words, coalesce(n_failed_lines, 0) as n_failed_lines, cast(coalesce(lost_chars, 0) as bigint) as lost_chars
+      from t left join a on a.doc_id = t.doc_id left join rep on rep.doc_id = t.doc_id),
+b as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > 20 * n_words as base_failed from o)
+select *, not base_failed and 2 * lost_chars <= word_chars as kept from b"""

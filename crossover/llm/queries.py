@@ -67,3 +67,17 @@ def best_fit_packing(spark, folder):
     from crossover.llm.packing import pack
 
     return pack(read(spark, folder, "documents"))
+
+
+@query("op3_language_id")
+def language_id(spark, folder):
+    from crossover.llm.language_id import language_report
+
+    return language_report(read(spark, folder, "documents"))
+
+
+@query("op8_line_quality", oracles.LINE_QUALITY)
+def line_quality(spark, folder):
+    from crossover.llm.line_quality import quality_report
+
+    return quality_report(read(spark, folder, "documents"))
