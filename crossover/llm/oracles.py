@@ -73,3 +73,50 @@ o as (select t.doc_id, cast(len(t.w) as bigint) as n_words, cast(coalesce(word_c
       from t left join a on a.doc_id = t.doc_id left join rep on rep.doc_id = t.doc_id),
 b as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > 20 * n_words as base_failed from o)
 select *, not base_failed and 2 * lost_chars <= word_chars as kept from b"""
+
+_NORMAL = r"trim(regexp_replace(lower({0}), '[ \t\n\r\f\x0b]+', ' ', 'g'))"
+_MARKED = r"'{1}' || replace({0}, chr(10), chr(10) || '{1}')"
+QUOTES = rf"""
+with recursive c as (select conv_id, turn, min(text) as text from conversations where conv_id is not null and turn is not null group by all),
+q as (select a.conv_id * 1000 + a.turn as id, coalesce(a.text, '') as text, (a.conv_id + a.turn) % 3 as kind,
+             case when b.turn is not null then coalesce(b.text, '') end as q1, case when d.turn is not null then coalesce(d.text, '') end as q2
+      from c a left join c b on b.conv_id = a.conv_id and b.turn = a.turn - 1 left join c d on d.conv_id = a.conv_id and d.turn = a.turn - 2),
+q3 as (select id, text, q2, case kind when 0 then q1 when 1 then replace(translate(q1, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), ' ', '  ') else string_split(q1, chr(10))[1] end as q1 from q),
+m as (select id, concat_ws(chr(10), {_MARKED.format('q2', '>> ')}, {_MARKED.format('q1', '> ')}, text) as text from q3),
+l as (select id, x.n as pos, length(regexp_replace(regexp_extract(x.line, '^((?:[ \t]*>)+) ?', 1), '[^>]', '', 'g')) as level,
+             regexp_replace(x.line, '^((?:[ \t]*>)+) ?', '') as line
+      from m, unnest(string_split(text, chr(10))) with ordinality as x(line, n)),
+t as (select *, coalesce(cast(lag(level) over w <> level as int), 1) as turned from l window w as (partition by id order by pos)),
+r as (select *, sum(turned) over (partition by id order by pos) as run from t),
+p as (select id, run, any_value(level) as level, string_agg(line, chr(10) order by pos) as body from r group by id, run),
+own as (select id, string_agg(body, chr(10) order by run) as body from p where level = 0 group by id),
+pieces as (select id, {_NORMAL.format('body')} as s from p where level = 0 union all select id, {_NORMAL.format('body')} from own
+           union all select id, {_NORMAL.format('line')} from r where level = 0 and length({_NORMAL.format('line')}) >= 12),
+o as (select s, min(id) as original from pieces where s <> '' group by s),
+votes as (select id, run, level, {_NORMAL.format('body')} as s, 1 as entire from p where level > 0
+          union all select id, run, level, {_NORMAL.format('line')}, 0 from r where level > 0 and length({_NORMAL.format('line')}) >= 12),
+f as (select v.id, v.run, v.level, o.original, max(entire) as entire, count(*) as n from votes v join o on o.s = v.s where v.s <> '' and o.original < v.id group by all),
+links as (select id, run, level, original from f qualify row_number() over (partition by id, run order by entire desc, n desc, original) = 1),
+parent as (select id, original as parent from links qualify row_number() over (partition by id order by level, original desc) = 1),
+tree as (select m.id, cast(null as bigint) as parent, m.id as conversation, 0 as depth from m anti join parent on parent.id = m.id
+         union all select x.id, x.parent, t.conversation, t.depth + 1 from tree t join parent x on x.parent = t.id),
+n as (select id, count(*) as n_links from links group by id)
+select tree.id, conversation, parent, depth, coalesce(n_links, 0) as n_links, trim(coalesce(body, '')) as text
+from tree left join n on n.id = tree.id left join own on own.id = tree.id"""
+
+_RECORD = r"""concat_ws(chr(13) || chr(10), 'WARC/1.0', 'WARC-Type: response', 'WARC-Target-URI: ' || url, 'WARC-Payload-Digest: sha256:' || sha256(html),
+    'Content-Length: ' || cast(strlen(html) as varchar)) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)"""
+FIXITY = rf"""
+with copy as (select page_id, case when page_id % 503 = 11 then url || '#' else url end as url,
+                     case when page_id % 97 = 5 then translate(html, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') when page_id % 97 = 6 then substr(html, 2) else html end as html
+              from pages where page_id % 211 <> 7
+              union all select page_id, url, html from pages where page_id % 601 = 13),
+ra as (select page_id as k, {_RECORD} as r from pages),
+rb as (select page_id as k, {_RECORD} as r from copy),
+ga as (select k, count(*) as n, sum(strlen(r)) as size, list_sort(list(r)) as rs from ra group by k),
+gb as (select k, count(*) as n, sum(strlen(r)) as size, list_sort(list(r)) as rs from rb group by k),
+a as (select *, coalesce(sum(size) over (partition by k >> 8 order by k rows between unbounded preceding and 1 preceding), 0) as start from ga),
+b as (select *, coalesce(sum(size) over (partition by k >> 8 order by k rows between unbounded preceding and 1 preceding), 0) as start from gb)
+select coalesce(a.k, b.k) as page_id, case when a.k is null then 'extra' when b.k is null then 'missing' when a.n <> b.n then 'count' else 'corrupt' end as kind,
+       cast(a.start as bigint) as offset_a, cast(a.size as bigint) as size_a, cast(b.start as bigint) as offset_b, cast(b.size as bigint) as size_b
+from a full join b on a.k = b.k where a.rs is distinct from b.rs"""

@@ -81,3 +81,18 @@ def line_quality(spark, folder):
     from crossover.llm.line_quality import quality_report
 
     return quality_report(read(spark, folder, "documents"))
+
+
+@query("op4_merkle_fixity", oracles.FIXITY)
+def merkle_fixity(spark, folder):
+    from crossover.llm.fixity import audit, build_tree, damaged
+
+    pages = read(spark, folder, "pages")
+    return audit(build_tree(pages), build_tree(damaged(pages)))
+
+
+@query("op9_quotation_linking", oracles.QUOTES)
+def quotation_linking(spark, folder):
+    from crossover.llm.quotes import link_conversations, quoted_mail
+
+    return link_conversations(quoted_mail(read(spark, folder, "conversations")))
