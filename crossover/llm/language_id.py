@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossover.llm.common import batch, id_back, key_id, keyed, mapped
+from crossover.llm.common import batch, id_back, key_id, keyed, mapped, with_key
 
 SAMPLE_ROWS = 64
 DICTIONARY_BYTES = 32 << 10
@@ -116,4 +116,4 @@ def language_report(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that are rejected."""
     gone = classify(docs, fit(docs.where(~held_out()))).where("rejected").select(F.col("id").alias("__id"), F.col("v").alias("__v")).distinct()
-    return docs.withColumns({"__id": key_id(), "__v": F.xxhash64("text")}).join(gone, ["__id", "__v"], "left_anti").select(*[docs[c] for c in docs.columns])
+    return with_key(docs).join(gone, ["__id", "__v"], "left_anti").select(*docs.columns)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossover.llm.common import NULL_ID, batch, chunks, id_back, ints, keyed, mapped, texts_of
+from crossover.llm.common import batch, chunks, id_back, ints, keyed, mapped, texts_of, with_key
 from crossover.llm.words import LOWER
 
 MIN_CHARS = 20
@@ -161,9 +161,8 @@ def line_report(docs: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame) -> DataFrame:
     """``docs`` with what is left of each text and its new n_chars; a NULL text stays NULL, other columns stay as they are."""
     columns = docs.columns
-    tagged = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__v": F.xxhash64("text")})
     maps = bitmaps(docs).select(F.col("id").alias("__id"), F.col("v").alias("__v"), F.col("dropped").alias("__dropped"))
-    joined = tagged.join(maps, ["__id", "__v"], "left")
+    joined = with_key(docs).join(maps, ["__id", "__v"], "left")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         at = {n: b.schema.get_field_index(n) for n in ("text", "__dropped")}
