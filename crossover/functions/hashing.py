@@ -8,19 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crossover.functions.text import trimmed
+from crossover.functions.comparing import canonical, plain
 
 
 def _plain(field: T.StructField, trim: bool) -> Column:
     """One value in the form both sides are compared in."""
-    c = F.col(f"`{field.name}`")
-    if trim and isinstance(field.dataType, T.StringType):
-        return trimmed(c)
-    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-        return c + F.lit(0.0)  # -0.0 and 0.0 are one value
-    if isinstance(field.dataType, (T.MapType, T.VariantType)):
-        return F.to_json(c)
-    return c
+    return plain(F.col(f"`{field.name}`"), field.dataType, canonical(field.dataType), trim)
 
 
 def plain_columns(df: DataFrame, columns: list[str] | None = None, trim: bool = True) -> dict[str, Column]:

@@ -33,14 +33,20 @@ def latest(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy(*KEY).agg(F.max_by(F.struct(*rest), "recorded_at").alias("r")).select(*KEY, "r.*")
 
 
-def pending(plan: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Shards of ``plan`` that are not done."""
+def of_run(manifest: DataFrame, token: str | None) -> DataFrame:
+    """Entries of one run. A shard number means something only within the plan it was made for."""
+    return manifest if token is None else manifest.where(F.col("run_token") == token)
+
+
+def pending(plan: DataFrame, manifest: DataFrame, token: str | None = None) -> DataFrame:
+    """Shards of ``plan`` that the run ``token`` has not done; only a manifest of one run may go without."""
+    manifest = of_run(manifest, token)
     return plan.join(latest(manifest).where("status = 'done'").select(*KEY), KEY, "left_anti")
 
 
-def load_summary(plan: DataFrame, manifest: DataFrame, excluded: list[str] | None = None) -> DataFrame:
+def load_summary(plan: DataFrame, manifest: DataFrame, excluded: list[str] | None = None, token: str | None = None) -> DataFrame:
     """Per table: shards done and left, rows, and whether it was loaded, failed or skipped."""
-    last = latest(manifest).select(*KEY, "status", "row_count")
+    last = latest(of_run(manifest, token)).select(*KEY, "status", "row_count")
     skipped = F.col("table_name").isin(excluded or [])
     state = plan.select(*KEY).join(last, KEY, "left").groupBy("table_name").agg(
         F.count(F.lit(1)).alias("shards"), F.count_if(F.col("status") == "done").alias("shards_done"), F.count_if(F.col("status") == "failed").alias("shards_failed"),
@@ -67,7 +73,7 @@ def run_load(spark: SparkSession, shards: list[tuple[str, int]], copy: Callable[
         try:
             row = (token, table, shard, copy(table, shard), "done", None)
         except Exception as e:
-            row = (token, table, shard, 0, "failed", str(e)[:500])
+            row = (token, table, shard, 0, "failed", str(e))
         record(spark, manifest_path, [row])
         return row
 

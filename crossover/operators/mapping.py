@@ -133,7 +133,8 @@ def schema_diff(before: DataFrame, after: DataFrame, fields: list[str]) -> DataF
 
 @dataclass(frozen=True)
 class Field:
-    """A target column: Spark type, longest text in characters or bytes, least and greatest number, NULL allowed."""
+    """A target column: Spark type, longest text in characters or bytes, least and greatest number, NULL allowed, digits of a second, digits of a
+    number kept as text (total, fraction)."""
 
     name: str
     type: T.DataType
@@ -141,6 +142,18 @@ class Field:
     low: int | None = None
     high: int | None = None
     nullable: bool = True
+    second_digits: int | None = None
+    digits: tuple[int, int] | None = None
+
+
+def _narrows(have: T.DataType, want: T.DataType) -> bool:
+    """Whether a cast that succeeds can still change the value."""
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    if isinstance(have, (T.DoubleType, T.FloatType, T.DecimalType)):
+        return isinstance(want, whole) or isinstance(have, T.DoubleType) and isinstance(want, T.FloatType)
+    if isinstance(have, whole):
+        return isinstance(want, (*whole, T.DoubleType, T.FloatType)) and have != want
+    return isinstance(have, (T.TimestampType, T.TimestampNTZType)) and isinstance(want, T.DateType)
 
 
 def _problem(df: DataFrame, f: Field) -> tuple[Column, Column]:
@@ -149,9 +162,19 @@ def _problem(df: DataFrame, f: Field) -> tuple[Column, Column]:
     out = src.try_cast(f.type)
     checks = F.when(src.isNotNull() & out.isNull(), "bad_value")
     if isinstance(f.type, T.DecimalType):
-        # A cast to a smaller scale rounds; a value that changes by it is not the same value.
-        wide = src.try_cast(T.DecimalType(38, 10))
-        checks = checks.when(out.isNotNull() & (wide != out.cast(T.DecimalType(38, 10))), "loses_digits")
+        # A cast to a smaller scale rounds; a value that changes by it is not the same value. The wider type has all digits of the
+        # target before the point, and as many behind it as there is room for.
+        whole = f.type.precision - f.type.scale
+        wide = T.DecimalType(38, 38 - whole)
+        checks = checks.when(out.isNotNull() & (src.try_cast(wide) != out.cast(wide)), "loses_digits")
+    elif _narrows(df.schema[f.name].dataType, f.type):
+        checks = checks.when(out.isNotNull() & (out.cast(df.schema[f.name].dataType) != src), "loses_digits")
+    if f.second_digits is not None and f.second_digits < 6:
+        checks = checks.when(F.unix_micros(out.cast("timestamp")) % 10 ** (6 - f.second_digits) != 0, "loses_digits")
+    if f.digits is not None:
+        whole, scale = f.digits[0] - f.digits[1], f.digits[1]
+        out = out.cast("string")
+        checks = checks.when(~F.rlike(out, F.lit(rf"^[+-]?0*\d{{1,{max(whole, 1)}}}(\.\d*)?$")), "overflow").when(~F.rlike(out, F.lit(rf"^[^.]*(\.\d{{0,{scale}}}0*)?$")), "loses_digits")
     if f.max_length is not None:
         size = F.octet_length(out) if isinstance(f.type, T.BinaryType) else F.char_length(out)
         checks = checks.when(size > f.max_length, "too_long")
@@ -194,9 +217,11 @@ def field_for(name: str, target: str, nullable: bool = True) -> Field:
         return Field(name, SPARK_TYPES[target], low=low, high=high, nullable=nullable)
     if base == "DECIMAL":
         p, s = args
-        return Field(name, T.DecimalType(min(p, 38), s), nullable=nullable)
+        if p > 38:  # more than a Spark decimal holds: kept as text, its digits checked
+            return Field(name, T.StringType(), nullable=nullable, digits=(p, s))
+        return Field(name, T.DecimalType(p, s), nullable=nullable)
     if base == "DATETIME":
-        return Field(name, T.TimestampNTZType(), nullable=nullable)
+        return Field(name, T.TimestampNTZType(), nullable=nullable, second_digits=args[0] if args else 0)
     if base in ("BINARY", "VARBINARY"):
         return Field(name, T.BinaryType(), args[0] if args else None, nullable=nullable)
     return Field(name, T.StringType(), args[0] if args else None, nullable=nullable)

@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crossover.functions.hashing import checksum_aggregates, plain_columns, row_hash
+from crossover.functions.comparing import comparable
+from crossover.functions.hashing import checksum_aggregates, row_hash
 from crossover.functions.text import rows_of
 
 SUMMARY_SCHEMA = ("table_name string, source_rows bigint, target_rows bigint, rows_matching bigint, rows_missing bigint, rows_mismatched bigint, "
@@ -117,10 +118,10 @@ def compare_columns(
 # ---- keyed row diff -----------------------------------------------------------------------------------------------
 
 def _sides(source: DataFrame, target: DataFrame, keys: list[str], columns: list[str] | None, trim: bool) -> DataFrame:
-    cols = columns if columns is not None else [c for c in source.columns if c in target.columns]
+    source, target, cols = comparable(source, target, keys, columns, trim)
 
     def cut(df: DataFrame, s: int, t: int) -> DataFrame:
-        return df.select(*keys, row_hash(df, cols, trim).alias("_hash"),
+        return df.select(*keys, row_hash(df, cols, trim=False).alias("_hash"),
                          F.lit(s).cast("long").alias("_s"), F.lit(t).cast("long").alias("_t"))
 
     return cut(source, 1, 0).unionByName(cut(target, 0, 1))
@@ -177,31 +178,35 @@ def diff_summary(
                        F.when(wrong == 0, "verified").otherwise("issues_found").alias("status"))
 
 
+CELL_BUCKETS = 1 << 16
+
+
 def diff_cells(
     source: DataFrame, target: DataFrame, keys: list[str], columns: list[str] | None = None, trim: bool = True
 ) -> DataFrame:
     """The columns that differ, for every key that has exactly one leftover row on each side.
 
-    Only keys with a mismatch are joined back. Keys with several leftover rows have no pairing of rows; they are in
-    :func:`diff_rows` with their counts and in :func:`diff_multiset` with their rows.
+    Only keys with a mismatch are joined back, out of the buckets of keys that hold one: the list of these is at most
+    ``CELL_BUCKETS`` integers, so rows of other buckets are left out before any shuffle. Keys with several leftover rows have
+    no pairing of rows; they are in :func:`diff_rows` with their counts and in :func:`diff_multiset` with their rows.
     """
-    cols = columns if columns is not None else [c for c in source.columns if c in target.columns]
+    source, target, cols = comparable(source, target, keys, columns, trim)
     cols = [c for c in cols if c not in keys]
-    left = (_row_groups(source, target, keys, [*keys, *cols], trim).where(F.col("_s") != F.col("_t")))
+    left = (_row_groups(source, target, keys, [*keys, *cols], False).where(F.col("_s") != F.col("_t")))
     single = (left.groupBy(*keys)
               .agg(F.sum(F.greatest(F.col("_s") - F.col("_t"), F.lit(0))).alias("_s"),
                    F.sum(F.greatest(F.col("_t") - F.col("_s"), F.lit(0))).alias("_t"),
                    F.max(F.when(F.col("_s") > F.col("_t"), F.col("_hash"))).alias("_source_hash"),
                    F.max(F.when(F.col("_t") > F.col("_s"), F.col("_hash"))).alias("_target_hash"))
               .where("_s = 1 and _t = 1"))
+    hit = F.broadcast(single.select(bucket(single, keys, CELL_BUCKETS).alias("_bucket")).distinct())
 
     def rows(df: DataFrame, side: str) -> DataFrame:
         """The one leftover row per key; equal copies of it count once."""
-        plain = plain_columns(df, [*keys, *cols], trim)
         wanted = single.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(f"_{side}_hash").alias("_wanted"))
         on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_hash") == F.col("_wanted")]
-        hashed = df.select(*keys, *[plain[c].alias(c) for c in cols], row_hash(df, [*keys, *cols], trim).alias("_hash"))
-        found = hashed.join(wanted, reduce(lambda a, b: a & b, on), "left_semi")
+        hashed = df.select(*keys, *cols, row_hash(df, [*keys, *cols], trim=False).alias("_hash"), bucket(df, keys, CELL_BUCKETS).alias("_bucket"))
+        found = hashed.join(hit, "_bucket", "left_semi").drop("_bucket").join(wanted, reduce(lambda a, b: a & b, on), "left_semi")
         return found.groupBy(*keys).agg(F.first(F.struct(*cols)).alias(side))
 
     s, t = rows(source, "source"), rows(target, "target")
@@ -219,22 +224,23 @@ def diff_cells(
 def diff_multiset(source: DataFrame, target: DataFrame, columns: list[str] | None = None, trim: bool = True) -> DataFrame:
     """Rows whose number of copies differs, for tables without a key: the row, the status and how many.
 
-    Two 64-bit hashes stand for the row in the first shuffle; whole rows move only for the hashes that do not balance.
+    Two 64-bit hashes stand for the row in the first shuffle. Whole rows move only out of the buckets of hashes that do not
+    balance, a list of at most ``CELL_BUCKETS`` integers.
     """
-    cols = columns if columns is not None else [c for c in source.columns if c in target.columns]
+    source, target, cols = comparable(source, target, (), columns, trim)
 
     def cut(df: DataFrame, weight: int) -> DataFrame:
-        return df.select(row_hash(df, cols, trim).alias("_h1"), row_hash(df, cols, trim, salt=1).alias("_h2"),
+        return df.select(row_hash(df, cols, trim=False).alias("_h1"), row_hash(df, cols, trim=False, salt=1).alias("_h2"),
                          F.lit(weight).cast("long").alias("_w"))
 
     uneven = (cut(source, 1).unionByName(cut(target, -1)).groupBy("_h1", "_h2").agg(F.sum("_w").alias("_w"))
               .where("_w <> 0").select("_h1", "_h2"))
+    of = F.pmod("_h1", F.lit(CELL_BUCKETS)).cast("int").alias("_bucket")
+    hit = F.broadcast(uneven.select(of).distinct())
 
     def whole(df: DataFrame, weight: int) -> DataFrame:
-        plain = plain_columns(df, cols, trim)
-        return df.select(*[plain[c].alias(c) for c in cols], row_hash(df, cols, trim).alias("_h1"),
-                         row_hash(df, cols, trim, salt=1).alias("_h2"), F.lit(weight).cast("long").alias("_w")
-                         ).join(uneven, ["_h1", "_h2"], "left_semi")
+        hashed = df.select(*cols, row_hash(df, cols, trim=False).alias("_h1"), row_hash(df, cols, trim=False, salt=1).alias("_h2"), F.lit(weight).cast("long").alias("_w"))
+        return hashed.withColumn("_bucket", of).join(hit, "_bucket", "left_semi").drop("_bucket").join(uneven, ["_h1", "_h2"], "left_semi")
 
     rows = whole(source, 1).unionByName(whole(target, -1)).groupBy(*cols).agg(F.sum("_w").alias("_w")).where("_w <> 0")
     return rows.select(*cols, F.when(F.col("_w") > 0, MISSING).otherwise(EXTRANEOUS).alias("status"),
@@ -250,7 +256,7 @@ def table_checksum(df: DataFrame, columns: list[str] | None = None, trim: bool =
 
 def key_checksum(df: DataFrame, keys: list[str], table: str = "") -> DataFrame:
     """Checksum over the key columns alone: shows lost or added rows without reading the rest."""
-    return table_checksum(df, keys, trim=False, table=table)
+    return table_checksum(df, keys, table=table)
 
 
 def compare_checksums(source: DataFrame, target: DataFrame, on: list[str]) -> DataFrame:
@@ -263,7 +269,7 @@ def compare_checksums(source: DataFrame, target: DataFrame, on: list[str]) -> Da
 
 
 def bucket(df: DataFrame, keys: list[str], buckets: int) -> Column:
-    return F.pmod(row_hash(df, keys, trim=False), F.lit(buckets)).cast("int")
+    return F.pmod(row_hash(df, keys), F.lit(buckets)).cast("int")
 
 
 def bucket_checksums(df: DataFrame, keys: list[str], buckets: int, columns: list[str] | None = None,
@@ -274,35 +280,31 @@ def bucket_checksums(df: DataFrame, keys: list[str], buckets: int, columns: list
 def bad_buckets(source: DataFrame, target: DataFrame, keys: list[str], buckets: int,
                 columns: list[str] | None = None, trim: bool = True) -> DataFrame:
     """Buckets of keys whose checksums differ; at most ``buckets`` rows."""
-    cols = columns if columns is not None else [c for c in source.columns if c in target.columns]
-    s = bucket_checksums(source, keys, buckets, cols, trim).select("bucket", F.struct("row_count", "hash_xor", "hash_sum").alias("s"))
-    t = bucket_checksums(target, keys, buckets, cols, trim).select("bucket", F.struct("row_count", "hash_xor", "hash_sum").alias("t"))
+    source, target, cols = comparable(source, target, keys, columns, trim)
+    s = bucket_checksums(source, keys, buckets, cols, False).select("bucket", F.struct("row_count", "hash_xor", "hash_sum").alias("s"))
+    t = bucket_checksums(target, keys, buckets, cols, False).select("bucket", F.struct("row_count", "hash_xor", "hash_sum").alias("t"))
     return s.join(t, "bucket", "full_outer").where(~F.col("s").eqNullSafe(F.col("t"))).select("bucket")
 
 
-MOST_BROADCAST_BUCKETS = 1_000_000
-
-
 def diff_shards(source: DataFrame, target: DataFrame, keys: list[str], buckets: int = 1024,
                 columns: list[str] | None = None, trim: bool = True) -> DataFrame:
     """Keyed diff that shuffles only the rows of buckets whose checksums differ.
 
     When almost everything matches, the first pass moves a few numbers per bucket and the second reads both sides once
-    more but shuffles little. The list of bad buckets has at most ``buckets`` integers, hence the broadcast.
+    more but shuffles little. With damage in most buckets it is the slower way; :func:`diff_rows` then reads once.
     """
-    bad = bad_buckets(source, target, keys, buckets, columns, trim).withColumnRenamed("bucket", "_bucket")
-    if buckets <= MOST_BROADCAST_BUCKETS:
-        bad = F.broadcast(bad)
+    source, target, columns = comparable(source, target, keys, columns, trim)
+    bad = bad_buckets(source, target, keys, buckets, columns, False).withColumnRenamed("bucket", "_bucket")
     s = source.withColumn("_bucket", bucket(source, keys, buckets)).join(bad, "_bucket", "left_semi").drop("_bucket")
     t = target.withColumn("_bucket", bucket(target, keys, buckets)).join(bad, "_bucket", "left_semi").drop("_bucket")
-    return diff_rows(s, t, keys, columns, trim)
+    return diff_rows(s, t, keys, columns, False)
 
 
 # ---- samples and summaries ----------------------------------------------------------------------------------------
 
 def sample_keys(df: DataFrame, keys: list[str], rate: float) -> DataFrame:
     """A share of the rows chosen by key hash, so that both sides keep the same keys."""
-    return df.where(F.pmod(row_hash(df, keys, trim=False), F.lit(1_000_000)) < int(rate * 1_000_000))
+    return df.where(F.pmod(row_hash(df, keys), F.lit(1_000_000)) < int(rate * 1_000_000))
 
 
 def mismatch_sample(diff: DataFrame, keys: list[str], n: int = 10, by: list[str] | None = None) -> DataFrame:

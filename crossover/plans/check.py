@@ -5,11 +5,13 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crossover.functions.comparing import comparable
 from crossover.operators import validate as v
 
 
@@ -39,6 +41,19 @@ def select_names(names: list[str], include: list[str] | None, exclude: list[str]
     return [n for n in chosen if n not in set(exclude or [])]
 
 
+def table_figures(name: str, s: DataFrame, t: DataFrame, key: list[str] | None, sample_rate: float = 1.0, trim: bool = True) -> DataFrame:
+    """Row figures of one table over the columns of both sides; a column that one side lacks is an issue of the table."""
+    both = [c for c in s.columns if c in t.columns]
+    whole = len(both) == len(s.columns) == len(t.columns)
+    # Without a key the whole row is the key: leftovers are then missing or extra rows, never mismatches.
+    key = key or both
+    if sample_rate < 1.0:
+        s, t, _ = comparable(s, t, key, both, trim)
+        s, t = v.sample_keys(s, key, sample_rate), v.sample_keys(t, key, sample_rate)
+    out = v.diff_summary(s, t, key, both, trim=trim, table=name)
+    return out if whole else out.withColumn("status", F.lit("issues_found"))
+
+
 def check(
     source: dict[str, DataFrame],
     target: dict[str, DataFrame],
@@ -79,12 +94,7 @@ def check(
         for name in names:
             if name not in renamed:
                 continue
-            s, t = left[name], renamed[name]
-            # Without a key the whole row is the key: leftovers are then missing or extra rows, never mismatches.
-            key = keys.get(name) or [c for c in s.columns if c in t.columns]
-            if sample_rate < 1.0:
-                s, t = v.sample_keys(s, key, sample_rate), v.sample_keys(t, key, sample_rate)
-            parts.append(v.diff_summary(s, t, key, trim=trim, table=name))
+            parts.append(table_figures(name, left[name], renamed[name], keys.get(name), sample_rate, trim))
         tables = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], v.SUMMARY_SCHEMA)
         result = CheckResult(missing, columns, tables, v.check_summary(tables))
     if fail_on_mismatch and not result.passed():
@@ -92,32 +102,49 @@ def check(
     return result
 
 
-def run_check(source: dict[str, DataFrame], target: dict[str, DataFrame], keys: dict[str, list[str]], path: str, concurrency: int = 16,
-              trim: bool = True) -> DataFrame:
+ABSENT = "absent_on_target"
+
+
+def run_check(source: dict[str, DataFrame], target: dict[str, DataFrame], keys: dict[str, list[str]], path: str, token: str, concurrency: int = 16,
+              trim: bool = True, mapping: dict[str, str] | None = None, include: list[str] | None = None, exclude: list[str] | None = None,
+              sample_rate: float = 1.0, fail_on_mismatch: bool = False) -> DataFrame:
     """Check many tables side by side, one Spark job each, and keep every table's figures below ``path``.
 
-    One plan over thousands of tables would be too large. A run that is started again on the same path goes on with the
-    tables that are missing there. Returns the figures of all tables.
+    One plan over thousands of tables would be too large. A run that is started again with the same ``token`` goes on with the
+    tables that it has not finished; another token is another run. Returns one row for each table of this call, also for those
+    that the target lacks.
     """
+    mapping = mapping or {}
     spark = next(iter(source.values())).sparkSession
-    names = [n for n in source if n in target]
-    done = {n for n in names if _has_rows(spark, f"{path}/{n}")}
+    names = select_names(list(source), include, exclude)
+    run = f"{path}/run={quote(token, safe='')}"
+    done = _finished(spark, run)
 
     def one(name: str) -> None:
-        s, t = source[name], target[name]
-        key = keys.get(name) or [c for c in s.columns if c in t.columns]
-        v.diff_summary(s, t, key, trim=trim, table=name).coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+        s, t = source[name], target.get(mapping.get(name, name))
+        if t is None:
+            empty = [F.lit(None).cast("bigint").alias(c) for c in ("target_rows", "rows_matching", "rows_missing", "rows_mismatched", "rows_extraneous")]
+            row = s.agg(F.count(F.lit(1)).alias("source_rows")).select(F.lit(name).alias("table_name"), "source_rows", *empty, F.lit(ABSENT).alias("status"))
+        else:
+            row = table_figures(name, s, t, keys.get(name), sample_rate, trim)
+        row.coalesce(1).write.mode("overwrite").parquet(f"{run}/table={quote(name, safe='')}")
 
     with ThreadPoolExecutor(concurrency) as pool:
         list(pool.map(one, [n for n in names if n not in done]))
-    return spark.read.schema(v.SUMMARY_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
+    found = spark.read.schema(v.SUMMARY_SCHEMA).option("recursiveFileLookup", "true").parquet(run)
+    found = found.join(F.broadcast(spark.createDataFrame([(n,) for n in names], "table_name string")), "table_name", "left_semi")
+    if fail_on_mismatch and not found.where("status <> 'verified'").isEmpty():
+        raise CheckFailed("source and target differ")
+    return found
 
 
-def _has_rows(spark, path: str) -> bool:
+def _finished(spark, run: str) -> set[str]:
+    """Tables of a run with figures, read in one job; one name for each."""
     try:
-        return spark.read.schema(v.SUMMARY_SCHEMA).parquet(path).limit(1).count() == 1
+        rows = spark.read.schema(v.SUMMARY_SCHEMA).option("recursiveFileLookup", "true").parquet(run)
+        return {r["table_name"] for r in rows.select("table_name").collect()}
     except AnalysisException:
-        return False
+        return set()
 
 
 def mismatches(result: CheckResult) -> DataFrame:

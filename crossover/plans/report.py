@@ -51,9 +51,13 @@ def write_documents(documents: DataFrame, path: str, mode: str = "overwrite") ->
 
 
 def write_check(result, path: str, mode: str = "overwrite") -> None:
-    """Check report: per-table figures, the totals and the findings."""
-    from crossover.plans.check import mismatches
-    mismatches(result).write.mode(mode).json(f"{path}/mismatches")
+    """Check report: per-table figures, the totals and the findings. The rows are compared once: totals and findings read the written figures."""
+    from crossover.operators.validate import SUMMARY_SCHEMA, check_summary
+    from crossover.plans.check import CheckResult, mismatches
+
     if result.tables is not None:
         result.tables.write.mode(mode).json(f"{path}/tables")
+        tables = result.tables.sparkSession.read.schema(SUMMARY_SCHEMA).json(f"{path}/tables")
+        result = CheckResult(result.missing_tables, result.column_issues, tables, check_summary(tables))
         result.summary.write.mode(mode).json(f"{path}/summary")
+    mismatches(result).write.mode(mode).json(f"{path}/mismatches")

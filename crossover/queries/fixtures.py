@@ -5,9 +5,6 @@ TABLES = [
     "pages", "benchmark", "labels", "conversations",
 ]
 
-# Few rows with much work each: worth spreading over the cores when the file is small.
-TEXT_TABLES = ["documents", "pages", "conversations"]
-
 LINE_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate"
 
 # name -> (frames it reads, SQL)

@@ -89,25 +89,30 @@ def usage_log_read_back(f):
     return lg.read_usage_log(f.spark, path)
 
 
-@query("export_csv_roundtrip", sql="SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, o_orderpriority FROM orders")
+@query("export_csv_roundtrip", sql="SELECT *, o_orderstatus AS file, o_custkey AS part, o_orderkey AS _size FROM orders")
 def export_csv_roundtrip(f):
+    """All columns, and some with names that a writer might want for itself."""
     path = run_folder(f.spark, "csv")
-    o = f["orders"].select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    o = f["orders"].select("*", F.col("o_orderstatus").alias("file"), F.col("o_custkey").alias("part"), F.col("o_orderkey").alias("_size"))
     ex.export_csv(o, path, max_bytes=200_000)
     return ex.read_export(f.spark, path, o.schema)
 
 
-@query("export_csv_sizes")
+@query("export_csv_sizes", sql="SELECT true AS within_limit, true AS several_files FROM lineitem LIMIT 1")
 def export_csv_sizes(f):
     path = run_folder(f.spark, "csv")
-    ex.export_csv(f["lineitem"], path, max_bytes=500_000)
+    ex.export_csv(f["lineitem"], path, max_bytes=100_000)
     files = f.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.agg(F.count(F.lit(1)).alias("files"), F.bool_and(F.col("length") <= 500_000).alias("within_limit"))
+    return files.agg(F.bool_and(F.col("length") <= 100_000).alias("within_limit"), (F.count(F.lit(1)) > 1).alias("several_files"))
 
 
-@query("shard_plan")
+@query("shard_plan", sql="SELECT 8::bigint AS shards, count(*) AS row_count, true AS even FROM lineitem")
 def shard_plan(f):
-    return tb.shard_plan(f["lineitem"], "l_orderkey", 8)
+    """Shards of about equal size: none has over one and a half times its share."""
+    plan = tb.shard_plan(f["lineitem"], "l_orderkey", 8)
+    place = (F.col("low").isNull() | (F.col("l_orderkey") > F.col("low"))) & (F.col("high").isNull() | (F.col("l_orderkey") <= F.col("high")))
+    sizes = f["lineitem"].join(F.broadcast(plan), place).groupBy("shard").agg(F.count("*").alias("n"))
+    return sizes.agg(F.count("*").alias("shards"), F.sum("n").alias("row_count"), (F.max("n") * 8 <= F.sum("n") * 1.5).alias("even"))
 
 
 @query("shard_coverage", sql="SELECT count(*) AS row_count, count(DISTINCT l_orderkey) AS keys, true AS disjoint FROM lineitem")
@@ -145,6 +150,14 @@ def pending_shards(f):
     return ld.pending(*load_frames(f))
 
 
+@query("load_resume_other_token", sql=f"WITH {PLAN}, {MANIFEST} SELECT 'run' AS run, count(*) AS left_shards FROM plan WHERE (table_name, shard) NOT IN (SELECT (table_name, shard) FROM manifest WHERE status = 'done') UNION ALL SELECT 'next', count(*) FROM plan")
+def load_resume_other_token(f):
+    """What an earlier run has done counts for that run alone."""
+    plan, manifest = load_frames(f)
+    left = [ld.pending(plan, manifest, t).agg(F.count("*").alias("left_shards")).select(F.lit(t).alias("run"), "left_shards") for t in ("run", "next")]
+    return left[0].unionByName(left[1])
+
+
 @query("load_summary", sql=f"""WITH {PLAN}, {MANIFEST}, s AS (SELECT p.table_name, count(*) AS shards, count(*) FILTER (status = 'done') AS shards_done,
   count(*) FILTER (status = 'failed') AS shards_failed, coalesce(sum(row_count) FILTER (status = 'done'), 0)::bigint AS row_count
   FROM plan p LEFT JOIN manifest m ON m.table_name = p.table_name AND m.shard = p.shard GROUP BY 1)

@@ -1,10 +1,14 @@
 """Validation queries over the driver tables and damaged copies of them."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from crossover.functions.comparing import comparable
 from crossover.operators import validate as v
-from crossover.plans.check import check
+from crossover.plans.check import check, run_check
 from crossover.queries.registry import query
+from crossover.session import run_folder
 
 ORDER_COLUMNS = "o_orderkey, o_custkey, trim(o_orderstatus) as o_orderstatus, o_totalprice, o_orderdate, trim(o_orderpriority) as o_orderpriority"
 
@@ -133,18 +137,18 @@ def diff_documents(f):
 
 
 @query("diff_cells", "orders_tgt", sql=f"""WITH {ORDER_PAIRS},
-m AS (SELECT s.*, t.o_orderstatus AS t_status, t.o_totalprice AS t_price, t.o_orderpriority AS t_priority, t.o_custkey AS t_cust
+m AS (SELECT s.*, t.o_totalprice AS t_price, t.o_orderpriority AS t_priority
       FROM pairs JOIN s USING (o_orderkey) JOIN t USING (o_orderkey) WHERE status = 'mismatched')
-SELECT o_orderkey, 'o_totalprice' AS column_name, round(o_totalprice, 2) AS source_value, round(t_price, 2) AS target_value,
-  o_orderpriority AS source_text, t_priority AS target_text FROM m WHERE o_totalprice IS DISTINCT FROM t_price
-UNION ALL SELECT o_orderkey, 'o_orderpriority', round(o_totalprice, 2), round(t_price, 2), o_orderpriority, t_priority
+SELECT o_orderkey, 'o_totalprice' AS column_name, round(o_totalprice, 2) AS source_number, round(t_price, 2) AS target_number,
+  NULL AS source_text, NULL AS target_text FROM m WHERE o_totalprice IS DISTINCT FROM t_price
+UNION ALL SELECT o_orderkey, 'o_orderpriority', NULL, NULL, o_orderpriority, t_priority
   FROM m WHERE o_orderpriority IS DISTINCT FROM t_priority""")
 def diff_cells(f):
     cells = v.diff_cells(f["orders"], f["orders_tgt"], ["o_orderkey"])
-    # Values as numbers and text again, since engines print doubles in different ways.
-    s = f["orders"].select("o_orderkey", F.round("o_totalprice", 2).alias("source_value"), F.col("o_orderpriority").alias("source_text"))
-    t = f["orders_tgt"].select("o_orderkey", F.round("o_totalprice", 2).alias("target_value"), F.col("o_orderpriority").alias("target_text"))
-    return cells.select("o_orderkey", "column_name").join(s, "o_orderkey").join(t, "o_orderkey")
+    # Numbers as numbers again, since engines print doubles in different ways.
+    number = F.col("column_name") == "o_totalprice"
+    values = [F.when(number, F.round(F.col(f"{x}_value").cast("double"), 2)).alias(f"{x}_number") for x in ("source", "target")]
+    return cells.select("o_orderkey", "column_name", *values, *[F.when(~number, F.col(f"{x}_value")).alias(f"{x}_text") for x in ("source", "target")])
 
 
 @query("diff_summary", "orders_tgt", sql=f"WITH {ORDER_PAIRS} SELECT 'orders' AS table_name, {SUMMARY_COLUMNS} FROM pairs")
@@ -152,10 +156,19 @@ def diff_summary(f):
     return v.diff_summary(f["orders"], f["orders_tgt"], ["o_orderkey"], table="orders")
 
 
-@query("diff_sampled", "orders_tgt")
+@query("diff_sampled", "orders_tgt", sql="SELECT true AS within_full_diff, true AS share_is_near, true AS same_keys_on_both_sides")
 def diff_sampled(f):
+    """A sampled diff is part of the full one, of about the asked size; int and bigint keys choose alike."""
     key = ["o_orderkey"]
-    return v.diff_rows(v.sample_keys(f["orders"], key, 0.1), v.sample_keys(f["orders_tgt"], key, 0.1), key)
+    s, t = v.sample_keys(f["orders"], key, 0.1), v.sample_keys(f["orders_tgt"], key, 0.1)
+    part = v.diff_rows(s, t, key).select(*key, "status", F.lit(1).alias("p"))
+    full = v.diff_rows(f["orders"], f["orders_tgt"], key).select(*key, "status", F.lit(1).alias("f"))
+    within = part.join(full, [*key, "status"], "left").agg(F.count_if(F.col("f").isNull()).alias("outside"))
+    share = f["orders"].agg(F.count("*").alias("n")).unionByName(s.agg(F.count("*").alias("m")), allowMissingColumns=True).agg((F.max("m") / F.max("n")).alias("share"))
+    narrow = v.sample_keys(f["orders"].select(F.col("o_orderkey").cast("int").alias("o_orderkey")), key, 0.1)
+    odd = narrow.select(F.col("o_orderkey").cast("long"), F.lit(1).alias("w")).union(s.select("o_orderkey", F.lit(-1))).groupBy("o_orderkey").agg(F.sum("w").alias("w")).agg(F.count_if(F.col("w") != 0).alias("odd"))
+    facts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [within, share, odd]).agg(F.max("outside").alias("outside"), F.max("share").alias("share"), F.max("odd").alias("odd"))
+    return facts.select((F.col("outside") == 0).alias("within_full_diff"), F.col("share").between(0.05, 0.15).alias("share_is_near"), (F.col("odd") == 0).alias("same_keys_on_both_sides"))
 
 
 @query("diff_shards", "orders_tgt", sql=f"""WITH {ORDER_PAIRS}
@@ -164,6 +177,67 @@ def diff_shards(f):
     return v.diff_shards(f["orders"], f["orders_tgt"], ["o_orderkey"], buckets=4096)
 
 
+# ---- the same tables with other types: what a migration makes of them ------------------------------------------------
+
+def widened(df):
+    """Target types: text keys padded, integers as decimals, doubles as decimals, timestamps without a zone."""
+    return df.select(F.concat(F.lit("k"), F.col("o_orderkey").cast("string"), F.lit("   ")).alias("key"), F.col("o_custkey").cast("decimal(20,0)").alias("cust"),
+                     "o_orderstatus", F.col("o_totalprice").cast("decimal(15,2)").alias("price"), F.col("o_orderdate").cast("timestamp_ntz").alias("at"),
+                     F.col("o_orderpriority"), (F.col("o_orderkey") % 2).cast("smallint").alias("odd"))
+
+
+def native(df):
+    return df.select(F.concat(F.lit("k"), F.col("o_orderkey").cast("string")).alias("key"), F.col("o_custkey").cast("int").alias("cust"), "o_orderstatus",
+                     F.col("o_totalprice").cast("decimal(10,2)").alias("price"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_orderpriority"),
+                     (F.col("o_orderkey") % 2 == 1).alias("odd"))
+
+
+WIDENED_SQL = f"""WITH {ORDER_PAIRS} SELECT 'k' || o_orderkey AS key, status, 1::bigint AS row_count FROM pairs WHERE status <> 'matched'"""
+
+
+@query("diff_rows_widened", "orders_tgt", sql=WIDENED_SQL)
+def diff_rows_widened(f):
+    return v.diff_rows(native(f["orders"]), widened(f["orders_tgt"]), ["key"])
+
+
+@query("diff_shards_widened", "orders_tgt", sql=WIDENED_SQL)
+def diff_shards_widened(f):
+    return v.diff_shards(native(f["orders"]), widened(f["orders_tgt"]), ["key"], buckets=4096)
+
+
+@query("diff_multiset_widened", "orders_tgt", sql=f"""WITH {ORDER_PAIRS}
+SELECT status, count(*) AS row_count, count(DISTINCT key) AS keys FROM (
+  SELECT 'k' || o_orderkey AS key, 'missing' AS status FROM pairs WHERE status IN ('missing', 'mismatched')
+  UNION ALL SELECT 'k' || o_orderkey, 'extraneous' FROM pairs WHERE status IN ('extraneous', 'mismatched')) GROUP BY 1""")
+def diff_multiset_widened(f):
+    found = v.diff_multiset(native(f["orders"]), widened(f["orders_tgt"]))
+    return found.groupBy("status").agg(F.sum("copies").alias("row_count"), F.count_distinct("key").alias("keys"))
+
+
+@query("compare_checksums_widened", "orders_tgt", sql="""SELECT 'orders' AS table_name, 'checksum' AS issue, (SELECT count(*) FROM orders) AS source_count,
+  (SELECT count(*) FROM orders_tgt) AS target_count WHERE EXISTS ((SELECT o_orderkey, o_totalprice FROM orders EXCEPT SELECT o_orderkey, o_totalprice FROM orders_tgt))""")
+def compare_checksums_widened(f):
+    """A damaged copy and a true one, both with other types."""
+    def sums(target):
+        s, t, _ = comparable(native(f["orders"]), widened(target))
+        return s, t
+
+    (s1, t1), (s2, t2) = sums(f["orders_tgt"]), sums(f["orders"])
+    source = v.table_checksum(s1, table="orders").unionByName(v.table_checksum(s2, table="orders_true"))
+    target = v.table_checksum(t1, table="orders").unionByName(v.table_checksum(t2, table="orders_true"))
+    return v.compare_checksums(source, target, ["table_name"])
+
+
+@query("diff_cells_keys", "orders_tgt", sql="SELECT 0::bigint AS only_in_rows, 0::bigint AS only_in_cells")
+def diff_cells_keys(f):
+    """Rows and cells name the same mismatched keys."""
+    s, t = native(f["orders"]), widened(f["orders_tgt"])
+    a = v.diff_rows(s, t, ["key"]).where("status = 'mismatched'").select("key", F.lit(1).alias("r"), F.lit(0).alias("c"))
+    b = v.diff_cells(s, t, ["key"]).select("key", F.lit(0).alias("r"), F.lit(1).alias("c"))
+    both = a.union(b).groupBy("key").agg(F.max("r").alias("r"), F.max("c").alias("c"))
+    return both.agg(F.count_if((F.col("r") == 1) & (F.col("c") == 0)).alias("only_in_rows"), F.count_if((F.col("r") == 0) & (F.col("c") == 1)).alias("only_in_cells"))
+
+
 MULTISET_COLUMNS = ("l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, "
                     "l_returnflag, l_linestatus, l_shipdate")
 
@@ -176,14 +250,30 @@ def diff_multiset(f):
     return v.diff_multiset(f["lineitem"], f["lineitem_tgt"])
 
 
-@query("table_checksum")
+@query("table_checksum", sql="""SELECT 'lineitem' AS table_name, count(*) AS row_count, true AS same_when_dealt_anew, true AS differs_when_doubled, true AS differs_when_changed FROM lineitem
+UNION ALL SELECT 'orders', count(*), true, true, true FROM orders""")
 def table_checksum(f):
-    return v.table_checksum(f["lineitem"], table="lineitem").unionByName(v.table_checksum(f["orders"], table="orders"))
+    """Rows in another order give the same checksum; one doubled or one changed row gives another."""
+    def facts(name, change):
+        df = f[name]
+        cases = {"given": df, "dealt": df.repartition(7), "doubled": df.union(df.orderBy(*df.columns).limit(1)), "changed": df.withColumn(*change)}
+        sums = reduce(lambda a, b: a.unionByName(b), [v.table_checksum(d, table=c) for c, d in cases.items()])
+        by = {c: F.first(F.when(F.col("table_name") == c, F.struct("row_count", "hash_xor", "hash_sum")), ignorenulls=True) for c in cases}
+        return sums.agg(*[x.alias(c) for c, x in by.items()]).select(
+            F.lit(name).alias("table_name"), F.col("given.row_count").alias("row_count"), (F.col("given") == F.col("dealt")).alias("same_when_dealt_anew"),
+            (F.col("given") != F.col("doubled")).alias("differs_when_doubled"), (F.col("given") != F.col("changed")).alias("differs_when_changed"))
+
+    return facts("lineitem", ("l_tax", F.col("l_tax") + 1)).unionByName(facts("orders", ("o_orderstatus", F.concat("o_orderstatus", F.lit("!")))))
 
 
-@query("key_checksum")
+@query("key_checksum", "orders_tgt", sql="SELECT count(*) AS row_count, true AS same_for_other_columns, true AS differs_for_other_keys FROM orders")
 def key_checksum(f):
-    return v.key_checksum(f["orders"], ["o_orderkey"], table="orders")
+    """Columns beyond the key don't matter; a copy that lost keys does."""
+    cases = {"given": f["orders"], "other": f["orders"].withColumn("o_totalprice", F.lit(0.0)), "lost": f["orders_tgt"]}
+    sums = reduce(lambda a, b: a.unionByName(b), [v.key_checksum(d, ["o_orderkey"], table=c) for c, d in cases.items()])
+    by = [F.first(F.when(F.col("table_name") == c, F.struct("row_count", "hash_xor", "hash_sum")), ignorenulls=True).alias(c) for c in cases]
+    return sums.agg(*by).select(F.col("given.row_count").alias("row_count"), (F.col("given") == F.col("other")).alias("same_for_other_columns"),
+                                (F.col("given") != F.col("lost")).alias("differs_for_other_keys"))
 
 
 @query("compare_checksums", "orders_tgt", "lineitem_tgt", "customer_tgt", sql="""
@@ -230,6 +320,31 @@ def check_run(f):
                  mapping={"orders": "shop_orders"}, exclude=["nation"]).tables
 
 
+@query("check_full_run", "orders_tgt", "customer_tgt", sql=f"""WITH {ORDER_PAIRS},
+c AS (SELECT CASE WHEN t.c_custkey IS NULL THEN 'missing' ELSE 'matched' END AS status
+      FROM customer s LEFT JOIN customer_tgt t ON s.c_custkey = t.c_custkey)
+SELECT 'orders' AS table_name, {SUMMARY_COLUMNS} FROM pairs UNION ALL SELECT '_customer', {SUMMARY_COLUMNS} FROM c
+UNION ALL SELECT 'part', count(*), count(*), count(*), 0, 0, 0, 'verified' FROM part
+UNION ALL SELECT 'nation', count(*), NULL, NULL, NULL, NULL, NULL, 'absent_on_target' FROM nation""")
+def check_full_run(f):
+    """Tables side by side with a mapping, an exclusion, an absent table and a name that starts with _."""
+    return run_check({"orders": f["orders"], "_customer": f["customer"], "part": f["part"], "nation": f["nation"], "region": f["region"]},
+                     {"shop_orders": f["orders_tgt"], "_customer": f["customer_tgt"], "part": f["part"]},
+                     {"orders": ["o_orderkey"], "_customer": ["c_custkey"], "part": ["p_partkey"]}, run_folder(f.spark, "check"), "run 1",
+                     mapping={"orders": "shop_orders"}, exclude=["region"])
+
+
+@query("check_resume", "customer_tgt", sql="""SELECT 'first' AS run, 'customer' AS table_name, 'verified' AS status UNION ALL SELECT 'second', 'customer', 'issues_found'
+UNION ALL SELECT 'second', 'part', 'verified' UNION ALL SELECT 'resumed', 'customer', 'verified' UNION ALL SELECT 'resumed', 'part', 'verified'""")
+def check_resume(f):
+    """The target changes after the first run: a resumed run keeps what it had, a new run sees the change."""
+    path, keys = run_folder(f.spark, "check"), {"customer": ["c_custkey"], "part": ["p_partkey"]}
+    whole, damaged = {"customer": f["customer"], "part": f["part"]}, {"customer": f["customer_tgt"], "part": f["part"]}
+    runs = [("first", {"customer": f["customer"]}, whole, "a"), ("resumed", whole, damaged, "a"), ("second", whole, damaged, "b")]
+    found = [run_check(s, t, keys, path, token).select(F.lit(name).alias("run"), "table_name", "status") for name, s, t, token in runs]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 @query("check_summary", "orders_tgt", "customer_tgt", sql=f"""WITH {ORDER_PAIRS},
 c AS (SELECT CASE WHEN t.c_custkey IS NULL THEN 'missing' ELSE 'matched' END AS status
       FROM customer s LEFT JOIN customer_tgt t ON s.c_custkey = t.c_custkey),

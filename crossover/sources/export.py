@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crossover.functions.constants import MAX_IMPORT_BYTES
@@ -12,25 +12,18 @@ CSV_OPTIONS = {"escape": '"', "quote": '"', "nullValue": "\\N", "emptyValue": '"
 READ_OPTIONS = {**CSV_OPTIONS, "emptyValue": ""}  # quoted nothing is the empty string, \N is NULL
 
 
-def sized_files(df: DataFrame, max_bytes: int = MAX_IMPORT_BYTES) -> DataFrame:
-    """Add ``part`` and ``file`` so that the rows of one file never take more than ``max_bytes`` as CSV.
-
-    Rows are laid end to end within their input partition; a file takes the rows that begin in its stretch. The stretch
-    is shorter than the limit by the longest row, which is the most that can hang over.
-    """
-    size = F.octet_length(F.to_csv(F.struct(*df.columns), CSV_OPTIONS)) + 1
-    sized = df.select("*", size.cast("long").alias("_size"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("_row"))
-    longest = sized.agg(F.coalesce(F.max("_size"), F.lit(1))).first()[0]
-    if longest * 2 > max_bytes:
+def rows_per_file(df: DataFrame, max_bytes: int = MAX_IMPORT_BYTES) -> int:
+    """How many rows of the longest kind fit a file; one aggregation over the rows as CSV."""
+    size = F.octet_length(F.to_csv(F.struct(*[F.col(f"`{c}`") for c in df.columns]), CSV_OPTIONS)) + 1
+    longest = df.agg(F.coalesce(F.max(size), F.lit(1)).alias("n")).first()["n"]
+    if longest > max_bytes:
         raise ValueError(f"a row takes {longest} bytes, too much for files of {max_bytes}")
-    w = Window.partitionBy("part").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    begin = F.sum("_size").over(w) - F.col("_size")
-    return sized.withColumn("file", F.floor(begin / (max_bytes - longest))).drop("_size", "_row")
+    return max_bytes // longest
 
 
 def export_csv(df: DataFrame, path: str, max_bytes: int = MAX_IMPORT_BYTES, mode: str = "overwrite") -> None:
-    """Write CSV files of at most ``max_bytes`` below ``part=…/file=…``."""
-    sized_files(df, max_bytes).write.mode(mode).options(**CSV_OPTIONS).partitionBy("part", "file").csv(path)
+    """Write CSV files of at most ``max_bytes``. Rows stay in their partitions: nothing is shuffled, and all columns are the caller's."""
+    df.write.mode(mode).options(**CSV_OPTIONS).option("maxRecordsPerFile", rows_per_file(df, max_bytes)).csv(path)
 
 
 def read_export(spark, path: str, schema) -> DataFrame:

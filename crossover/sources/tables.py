@@ -57,25 +57,6 @@ def write_table(df: DataFrame, url: str, table: str, batch: int = 1000, retry: b
     out.write.jdbc(url, table, mode="overwrite" if retry else "append", properties=props)
 
 
-SPREAD_FROM, SPREAD_TO_PER_CORE = 1 << 20, 32 << 20
-_SIZES: dict[tuple[str, str], int] = {}
-
-
-def read_spread(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet rows, spread over all cores when the whole input is small.
-
-    A small file often is a single row group, which one task has to read and work on alone. Large inputs come in many
-    splits and are left as they are, without a shuffle. The size check lists the files and reads none.
-    """
-    known = (spark.sparkContext.applicationId, path)
-    if known not in _SIZES:
-        _SIZES[known] = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
-    size = _SIZES[known]
-    cores = spark.sparkContext.defaultParallelism
-    df = spark.read.parquet(path)
-    return df.repartition(cores) if SPREAD_FROM <= size < SPREAD_TO_PER_CORE * cores else df
-
-
 def shard_plan(df: DataFrame, key: str, shards: int, accuracy: int = 10_000) -> DataFrame:
     """Key ranges with about equal numbers of rows: (shard, low, high), low exclusive and high inclusive, NULL for open ends."""
     cuts = F.array_distinct(F.percentile_approx(key, [i / shards for i in range(1, shards)], accuracy))

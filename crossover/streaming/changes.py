@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -138,7 +139,7 @@ def sync_status(spark: SparkSession, query: StreamingQuery, strategy: str) -> Da
     p = query.lastProgress
     error = query.exception()
     row = (strategy, query.isActive, p.batchId if p else None, p.numInputRows if p else None, str(p.timestamp) if p else None,
-           sum(s.numRowsDroppedByWatermark for s in p.stateOperators) if p else None, str(error)[:500] if error else None)
+           sum(s.numRowsDroppedByWatermark for s in p.stateOperators) if p else None, str(error) if error else None)
     return spark.createDataFrame([row], "strategy string, running boolean, batch_id bigint, input_rows bigint, at string, late_rows bigint, error string")
 
 
@@ -152,8 +153,11 @@ def last_status(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("strategy").agg(F.max_by(F.struct(*rest), "recorded_at").alias("r")).select("strategy", "r.*")
 
 
-def stop(query: StreamingQuery) -> None:
-    """End a query after the batch at hand; the checkpoint lets it go on later."""
+def stop(query: StreamingQuery, seconds: float = 60.0) -> None:
+    """End a query between two batches, or after ``seconds`` in any case; the checkpoint lets it go on later without loss."""
+    until = time.monotonic() + seconds
+    while query.isActive and query.status["isTriggerActive"] and time.monotonic() < until:
+        time.sleep(0.05)
     query.stop()
 
 
@@ -163,8 +167,9 @@ def recheck_keys(source: DataFrame, target: DataFrame, dirty: DataFrame, keys: l
 
     wanted = dirty.select(*keys).distinct()
     found = diff_rows(source.join(wanted, keys, "left_semi"), target.join(wanted, keys, "left_semi"), keys, **options)
-    worst = found.groupBy(*keys).agg(F.max("status").alias("status"))
-    return wanted.join(worst, keys, "left").fillna("clean", ["status"])
+    # A repeated key can be missing and mismatched at once; all of its findings count.
+    every = found.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("status")), ",").alias("status"))
+    return wanted.join(every, keys, "left").fillna("clean", ["status"])
 
 
 def continuous_check(changes: DataFrame, source: Callable[[], DataFrame], target: Callable[[], DataFrame], store: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
@@ -180,8 +185,8 @@ def tables_to_recheck(previous: DataFrame, counts_before: DataFrame, counts_now:
 
 
 def cutover_ready(lag: DataFrame, summary: DataFrame, most_seconds: float, windows: int = 5) -> DataFrame:
-    """Ready when the newest ``windows`` of the lag stay below a bound and the check passed. One row."""
-    last = lag.orderBy(F.desc("window_start")).limit(windows)
+    """Ready when the newest ``windows`` of the lag, over all tables of each, stay below a bound and the check passed. One row."""
+    last = lag.groupBy("window_start").agg(F.max("max_lag_seconds").alias("max_lag_seconds")).orderBy(F.desc("window_start")).limit(windows)
     steady = last.agg(F.count(F.lit(1)).alias("windows"), F.max("max_lag_seconds").alias("max_lag_seconds"))
     # Two one-row frames, laid on top of each other rather than joined.
     facts = steady.unionByName(summary.select("passed"), allowMissingColumns=True).agg(

@@ -129,6 +129,19 @@ def test_conform_never_aborts(spark):
         ("a", "bad_value"), ("a", "overflow"), ("b", "null_not_allowed"), ("b", "too_long"), ("c", "bad_value"), ("c", "loses_digits"), ("d", "bad_value")]
 
 
+def test_conform_loses_nothing(spark):
+    fields = [mp.field_for("a", "BIGINT"), mp.field_for("b", "DATE"), mp.field_for("c", "DATETIME(3)"), mp.field_for("d", "DECIMAL(30,12)"), mp.field_for("e", "DECIMAL(65,30)"),
+              mp.field_for("f", "DOUBLE"), mp.field_for("id", "INT")]
+    df = spark.createDataFrame([
+        (1, 2.0, "2024-01-01 00:00:00", "2024-01-01 10:00:00.123", "0.123456789012", "12345678901234567890123456789012345.5", 5),
+        (2, 1.9, "2024-01-01 13:00:00", "2024-01-01 10:00:00.1234", "0.123456789012345678", "1e3", 9007199254740993)],
+        "id int, a double, b string, c string, d string, e string, f long").withColumns({"b": F.col("b").cast("timestamp"), "c": F.col("c").cast("timestamp"), "d": F.col("d").cast("decimal(38,18)")})
+    good, bad = mp.conform(df, fields)
+    assert [r["id"] for r in good.collect()] == [1] and good.first()["e"] == "12345678901234567890123456789012345.5"
+    assert sorted((r["id"], r["column_name"], r["reason"]) for r in bad.collect()) == [
+        (2, "a", "loses_digits"), (2, "b", "loses_digits"), (2, "c", "loses_digits"), (2, "d", "loses_digits"), (2, "e", "overflow"), (2, "f", "loses_digits")]
+
+
 @pytest.mark.parametrize("host,label", [("LOCALHOST", "localhost"), ("x::1", "localhost"), ("a.cluster-ro-x.rds.amazonaws.com", "aws-aurora"),
                                         ("a.rds.amazonaws.com", "aws-rds"), ("db.example.org", "other")])
 def test_hosts(spark, host, label):

@@ -42,11 +42,15 @@ def test_shards_cover_all_rows(spark):
 def test_export_limits_and_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(i, None if i % 7 == 0 else "" if i % 5 == 0 else 'a"b,c\nd' * (i % 9)) for i in range(3000)], "i int, t string").repartition(3)
     ex.export_csv(df, str(tmp_path / "out"), max_bytes=4000)
-    files = glob.glob(str(tmp_path / "out/part=*/file=*/*.csv"))
+    files = glob.glob(str(tmp_path / "out/*.csv"))
     assert len(files) > 20 and max(map(os.path.getsize, files)) <= 4000
     assert rows(ex.read_export(spark, str(tmp_path / "out"), df.schema)) == rows(df)
     with pytest.raises(ValueError):
-        ex.sized_files(df, 50)
+        ex.rows_per_file(df, 50)
+    # a row may be as long as a file, and no column name is taken
+    odd = spark.createDataFrame([(1, "f", "p", 7, "x" * 40)], "id int, file string, part string, _size int, _row string")
+    ex.export_csv(odd, str(tmp_path / "odd"), max_bytes=60)
+    assert rows(ex.read_export(spark, str(tmp_path / "odd"), odd.schema)) == rows(odd)
 
 
 def test_logs(spark, tmp_path):
@@ -99,8 +103,10 @@ def test_load_resumes(spark, tmp_path):
 
     plan = spark.createDataFrame([("a", 0), ("b", 0), ("b", 1), ("x", 0)], "table_name string, shard int")
     ld.run_load(spark, [("a", 0), ("b", 0), ("b", 1)], copy, m, "r1")
-    left = ld.pending(plan, ld.read_manifest(spark, m))
+    left = ld.pending(plan, ld.read_manifest(spark, m), "r1")
     assert rows(left) == [("b", 1), ("x", 0)]
+    # what another run did says nothing about this plan
+    assert ld.pending(plan, ld.read_manifest(spark, m), "r2").count() == 4
     assert {r["table_name"]: r["status"] for r in ld.load_summary(plan, ld.read_manifest(spark, m), ["x"]).collect()} == {"a": "loaded", "b": "failed", "x": "skipped"}
     ld.run_load(spark, [("b", 1)], copy, m, "r1")
     counts = spark.createDataFrame([("a", 10), ("b", 20)], "table_name string, row_count long")

@@ -5,6 +5,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from crossover.operators import validate as v
 from crossover.plans.check import CheckFailed, check, mismatches, select_names
 from tests.conftest import rows
@@ -128,10 +130,41 @@ def test_strict_columns(spark):
 
 
 def test_run_check_goes_on(spark, tmp_path):
-    from crossover.plans.check import run_check
+    from crossover.plans.check import CheckFailed, run_check
     a, b = spark.createDataFrame([("1", "x", 1.0)], SCHEMA), spark.createDataFrame([("1", "y", 1.0)], SCHEMA)
     path = str(tmp_path / "run")
-    assert rows(run_check({"a": a}, {"a": a}, {"a": ["k"]}, path).select("table_name", "status")) == [("a", "verified")]
-    # The second run keeps the first table's figures and adds the new table.
-    got = rows(run_check({"a": a, "b": a, "c": a}, {"a": b, "b": b}, {"a": ["k"], "b": ["k"]}, path).select("table_name", "status"))
-    assert got == [("a", "verified"), ("b", "issues_found")]
+    status = lambda *args, **more: rows(run_check(*args, path, **more).select("table_name", "status"))
+    assert status({"a": a}, {"a": a}, {"a": ["k"]}, token="one/1") == [("a", "verified")]
+    # The same run keeps the figures it has and adds new tables; an absent table and odd names have a row too.
+    source, target = {"a": a, "_audit": a, "c": a}, {"a": b, "_audit": b}
+    assert status(source, target, {"a": ["k"], "_audit": ["k"]}, token="one/1") == [("_audit", "issues_found"), ("a", "verified"), ("c", "absent_on_target")]
+    # Another run looks again, and returns the tables of its call only.
+    assert status({"a": a, "c": a}, {"a": b, "d": a}, {"a": ["k"]}, token="two", mapping={"c": "d"}) == [("a", "issues_found"), ("c", "verified")]
+    assert status(source, target, {}, token="two", exclude=["_audit", "c"]) == [("a", "issues_found")]
+    with pytest.raises(CheckFailed):
+        run_check({"a": a}, {"a": b}, {}, path, "three", fail_on_mismatch=True)
+
+
+def test_types_may_differ(spark):
+    s = spark.sql("""select 5 as k, 'a  ' as name, cast(1.50 as decimal(10,2)) as d, true as flag, timestamp '2024-01-01 10:00:00' as at, cast(1.5 as float) as f,
+                     named_struct('m', map('x', 1, 'y', 2), 't', 'q ') as n""")
+    t = spark.sql("""select 5L as k, 'a' as name, cast(1.5 as decimal(19,4)) as d, cast(1 as smallint) as flag, timestamp_ntz '2024-01-01 10:00:00' as at, 1.5d as f,
+                     named_struct('m', map('y', 2L, 'x', 1L), 't', 'q') as n""")
+    assert v.diff_rows(s, t, ["k"]).count() == 0 and v.diff_rows(s, t, ["k", "name"]).count() == 0
+    assert v.diff_multiset(s, t).count() == 0 and v.diff_shards(s, t, ["k", "name"], 8).count() == 0 and v.diff_cells(s, t, ["k"]).count() == 0
+    worse = t.withColumn("n", F.expr("named_struct('m', map('x', 1L, 'y', 3L), 't', 'q')"))
+    assert [(r["k"], r["column_name"]) for r in v.diff_cells(s, worse, ["k"]).collect()] == [(5, "n")]
+    assert [r["status"] for r in v.diff_rows(s, worse, ["k"]).collect()] == ["mismatched"]
+    with pytest.raises(ValueError):
+        v.diff_rows(s, t.drop("flag"), ["k"])
+
+
+def test_wide_rows_move_only_when_they_differ(spark):
+    """No exchange of the whole rows stands below the filter on buckets."""
+    s = spark.range(1000).selectExpr("id as k", "repeat('x', 100) as wide")
+    t = s.withColumn("wide", F.when(F.col("k") == 7, "y").otherwise(F.col("wide")))
+    for df in (v.diff_multiset(s, t), v.diff_cells(s, t, ["k"])):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "_bucket" in plan and "LeftSemi" in plan
+    assert {r["status"] for r in v.diff_multiset(s, t).collect()} == {"missing", "extraneous"}
+    assert [r["k"] for r in v.diff_cells(s, t, ["k"]).collect()] == [7]
