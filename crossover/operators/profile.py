@@ -70,8 +70,8 @@ def transfer_hours(total_mb: Column, mbps: float = 100.0) -> Column:
 
 
 def lob_max_len(df: DataFrame, columns: list[str], fraction: float | None = None) -> DataFrame:
-    """Longest value in bytes per column, over all rows or over a sample of them."""
-    data = df if fraction is None else df.sample(fraction)
+    """Longest value in bytes per column, over all rows or over a share of them, chosen by a hash of the values and so the same each time."""
+    data = df if fraction is None else df.where(F.pmod(F.xxhash64(*columns), F.lit(1_000_000)) < int(fraction * 1_000_000))
     one = data.agg(*[F.max(F.octet_length(c)).alias(c) for c in columns])
     return _long(one, [(c, [F.col(c).alias("max_bytes")]) for c in columns])
 
@@ -108,6 +108,11 @@ def column_profile(df: DataFrame, distinct: str | None = "approx", target: dict[
         for name, fn in (("min_text", F.min), ("max_text", F.max)):
             aggs.append((fn(c) if text else F.lit(None).cast("string")).alias(f"{n}__{name}"))
             cells.append(F.col(f"`{n}__{name}`").alias(name))
+        # Numbers as doubles lose digits beyond 2**53, and dates are no numbers: the exact extremes as text.
+        exact = isinstance(f.dataType, (T.IntegralType, T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType))
+        for name, fn in (("min_value", F.min), ("max_value", F.max)):
+            aggs.append((fn(c).cast("string") if exact else F.lit(None).cast("string")).alias(f"{n}__{name}"))
+            cells.append(F.col(f"`{n}__{name}`").alias(name))
         aggs.append((F.max(F.length(c)) if text else F.lit(None).cast("int")).alias(f"{n}__len"))
         cells.append(F.col(f"`{n}__len`").alias("max_length"))
         low, high = TYPE_RANGE.get(target.get(n, "").lower(), (None, None))

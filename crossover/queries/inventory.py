@@ -271,9 +271,12 @@ def lob_max_len(f):
     return prof.lob_max_len(f["documents"], ["text", "lang", "source"])
 
 
-@query("lob_max_len_sampled")
+@query("lob_max_len_sampled", sql="SELECT unnest(['html', 'url']) AS column_name, true AS within_full, true AS same_again")
 def lob_max_len_sampled(f):
-    return prof.lob_max_len(f["pages"], ["html", "url"], fraction=0.5)
+    """A sample's longest value is one of the column's, and the same each time."""
+    part = [prof.lob_max_len(f["pages"], ["html", "url"], fraction=0.5).withColumnRenamed("max_bytes", f"s{i}") for i in range(2)]
+    full = prof.lob_max_len(f["pages"], ["html", "url"])
+    return full.join(part[0], "column_name").join(part[1], "column_name").select("column_name", (F.col("s0") <= F.col("max_bytes")).alias("within_full"), (F.col("s0") == F.col("s1")).alias("same_again"))
 
 
 ORDER_FIELDS = [("o_orderkey", "n"), ("o_custkey", "n"), ("o_orderstatus", "s"), ("o_totalprice", "n"), ("o_orderdate", "d"), ("o_orderpriority", "s")]
@@ -282,16 +285,24 @@ ORDER_FIELDS = [("o_orderkey", "n"), ("o_custkey", "n"), ("o_orderstatus", "s"),
 def _profile_sql(n, kind):
     num = f"min({n})::double, max({n})::double" if kind == "n" else "NULL::double, NULL::double"
     txt = f"min({n}), max({n}), max(length({n}))::int" if kind == "s" else "NULL::varchar, NULL::varchar, NULL::int"
+    val = f"min({n})::varchar, max({n})::varchar" if n in ("o_orderkey", "o_custkey", "o_orderdate") else "NULL::varchar, NULL::varchar"
     over = "count(*) FILTER (o_custkey NOT BETWEEN 0 AND 255)" if n == "o_custkey" else "0::bigint"
-    return f"SELECT '{n}', count(*), count(*) FILTER ({n} IS NULL), {num}, {txt}, {over}, count(DISTINCT {n}) FROM orders_tgt"
+    return f"SELECT '{n}', count(*), count(*) FILTER ({n} IS NULL), {num}, {txt}, {val}, {over}, count(DISTINCT {n}) FROM orders_tgt"
 
 
-@query("column_profile", "orders_tgt", sql="WITH p(column_name, row_count, null_count, min_number, max_number, min_text, max_text, max_length, overflow_count, distinct_count) AS ("
+@query("column_profile", "orders_tgt", sql="WITH p(column_name, row_count, null_count, min_number, max_number, min_text, max_text, max_length, min_value, max_value, overflow_count, distinct_count) AS ("
        + " UNION ALL ".join(_profile_sql(*x) for x in ORDER_FIELDS) + ") SELECT * FROM p")
 def column_profile(f):
     return prof.column_profile(f["orders_tgt"], distinct="exact", target={"o_custkey": "tinyint"})
 
 
-@query("column_profile_approx")
+APPROX = {"lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag"], "documents": ["doc_id", "lang", "source"], "pages": ["page_id", "url"]}
+
+
+@query("column_profile_approx", sql=" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS row_count, true AS near FROM {t}" for t, cs in APPROX.items() for c in cs))
 def column_profile_approx(f):
-    return prof.profile_tables({n: f[n] for n in ("lineitem", "documents", "pages")})
+    """Sketched distinct counts lie within a sixth of the exact ones."""
+    tables = {n: f[n].select(*cs) for n, cs in APPROX.items()}
+    sketched, exact = prof.profile_tables(tables), prof.profile_tables(tables, distinct="exact").withColumnRenamed("distinct_count", "exact")
+    near = F.abs(F.col("distinct_count") - F.col("exact")) * 6 <= F.col("exact")
+    return sketched.join(exact.select("table_name", "column_name", "exact"), ["table_name", "column_name"]).select("table_name", "column_name", "row_count", near.alias("near"))

@@ -124,6 +124,25 @@ def shard_coverage(f):
     return hits.agg(F.sum("n").alias("row_count"), F.count_distinct("l_orderkey").alias("keys"), F.bool_and(F.col("n") == 1).alias("disjoint"))
 
 
+@query("shard_coverage_text", sql="SELECT count(*) AS row_count, true AS disjoint, true AS even FROM customer")
+def shard_coverage_text(f):
+    """A text key in eight shards: each row is in one of them, and none has over twice its share."""
+    plan = tb.shard_plan(f["customer"], "c_name", 8).collect()
+    return _coverage(f["customer"], [tb.in_shard("c_name", r["low"], r["high"]) for r in plan])
+
+
+@query("shard_coverage_composite", sql="SELECT count(*) AS row_count, true AS disjoint, true AS even FROM lineitem")
+def shard_coverage_composite(f):
+    keys = ["l_returnflag", "l_orderkey", "l_linenumber"]
+    return _coverage(f["lineitem"], [F.expr(p) for p in tb.range_predicates(keys, tb.split_points(f["lineitem"], keys, 8))])
+
+
+def _coverage(df, tests):
+    place = F.filter(F.array(*[F.when(t, F.lit(i)) for i, t in enumerate(tests)]), lambda x: x.isNotNull())
+    sizes = df.select(place.alias("p")).groupBy("p").agg(F.count("*").alias("n"))
+    return sizes.agg(F.sum("n").alias("row_count"), F.bool_and(F.size("p") == 1).alias("disjoint"), (F.max("n") * len(tests) <= F.sum("n") * 2).alias("even"))
+
+
 @query("load_events", sql="""SELECT 't' || l_partkey % 50 || '/' || l_orderkey % 10 AS step, CASE WHEN l_linenumber % 3 = 0 THEN 'error' ELSE 'ok' END AS outcome,
   count(*) AS events, sum(l_suppkey)::bigint AS rows FROM lineitem GROUP BY 1, 2""")
 def load_events(f):

@@ -39,7 +39,7 @@ def phase_stats(f):
     return rl.phase_stats(f["run_events"]).drop("median_ms").withColumn("error_rate", F.round("error_rate", 9))
 
 
-@query("phase_medians", "run_events")
+@query("phase_medians", "run_events", sql="SELECT phase, step, quantile_disc(duration_ms, 0.5) AS median_ms FROM run_events GROUP BY 1, 2")
 def phase_medians(f):
     return rl.phase_stats(f["run_events"]).select("phase", "step", "median_ms")
 

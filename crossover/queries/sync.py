@@ -114,10 +114,57 @@ def cutover_ready(f):
     return ch.cutover_ready(lag, bad, 60.0).unionByName(ch.cutover_ready(lag, good, 60.0))
 
 
-@query("sync_status")
+@query("sync_status", sql="SELECT 'files' AS strategy, false AS running, 0::bigint AS batch_id, count(*) AS input_rows, NULL::varchar AS error, max(event_id) AS position, count(DISTINCT event_type) AS tables FROM events")
 def sync_status(f):
     path = run_folder(f.spark, "status")
     q = ch.apply_changes(stream(f), f"{path}/rows", f"{path}/checkpoint", ["row_key"])
     run(q)
-    ch.save_status(ch.sync_status(f.spark, q, "files"), f"{path}/status")
-    return ch.last_status(f.spark, f"{path}/status").select("strategy", "running", "batch_id", "input_rows", "error")
+    ch.save_status(ch.sync_status(f.spark, q, "files", f"{path}/rows"), f"{path}/status")
+    return ch.last_status(f.spark, f"{path}/status").select("strategy", "running", "batch_id", "input_rows", "error", "position", "tables")
+
+
+BASE_SQL = """WITH base AS (SELECT DISTINCT row_key, -1.0::double AS value FROM changes UNION ALL SELECT 'base:' || n_nationkey, n_nationkey::double FROM nation),
+last AS (SELECT row_key, arg_max(op, seq) AS op, arg_max(value, seq) AS value FROM changes GROUP BY 1)
+SELECT b.row_key, coalesce(l.value, b.value) AS value FROM base b LEFT JOIN last l USING (row_key) WHERE l.op IS NULL OR l.op <> 'D'"""
+
+
+def base_rows(f):
+    """A snapshot that was loaded in bulk: a row for each key that changes later, and rows that never change."""
+    untouched = f["nation"].select(F.concat(F.lit("base:"), F.col("n_nationkey").cast("string")).alias("row_key"), F.col("n_nationkey").cast("double").alias("value"))
+    return f["changes"].select("row_key", F.lit(-1.0).alias("value")).distinct().unionByName(untouched)
+
+
+@query("cdc_over_base", "changes", sql=BASE_SQL)
+def cdc_over_base(f):
+    path = run_folder(f.spark, "apply")
+    run(ch.apply_changes(stream(f).select("seq", "row_key", "op", "value"), f"{path}/rows", f"{path}/checkpoint", ["row_key"]))
+    return ch.current_rows(f.spark, f"{path}/rows", ["row_key"], base=base_rows(f)).select("row_key", "value")
+
+
+@query("cdc_fold", "changes", sql=BASE_SQL)
+def cdc_fold(f):
+    """Two versions of the snapshot: one after the first half of the changes, the next out of it and the rest."""
+    path, keys, half = run_folder(f.spark, "fold"), ["row_key"], F.col("seq") % 2
+    for i, part in enumerate((half == 0, half == 1)):
+        run(ch.apply_changes(stream(f).select("seq", "row_key", "op", "value").where(part), f"{path}/rows-{i}", f"{path}/checkpoint-{i}", keys))
+    ch.fold(f.spark, ch.as_changes(base_rows(f)), f"{path}/rows-0", f"{path}/version-1", keys)
+    ch.fold(f.spark, f.spark.read.parquet(f"{path}/version-1"), f"{path}/rows-1", f"{path}/version-2", keys)
+    return f.spark.read.parquet(f"{path}/version-2").where("op <> 'D'").select("row_key", "value")
+
+
+@query("continuous_rounds", "orders_tgt", "customer_tgt", sql="""SELECT 0 AS round, 'orders' AS table_name, 'issues_found' AS status UNION ALL SELECT 0, 'customer', 'issues_found' UNION ALL SELECT 0, 'part', 'verified'
+UNION ALL SELECT 1, 'orders', 'verified' UNION ALL SELECT 1, 'customer', 'issues_found' UNION ALL SELECT 1, 'part', 'verified'
+UNION ALL SELECT 2, 'orders', 'verified' UNION ALL SELECT 2, 'customer', 'verified' UNION ALL SELECT 2, 'part', 'verified'""")
+def continuous_rounds(f):
+    """Orders are mended before the second round and customers before the third; part is looked at once."""
+    keys, now = {"orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey"}, {"orders": "orders_tgt", "customer": "customer_tgt", "part": "part"}
+
+    def check(names):
+        for n in names:
+            yield v.diff_summary(f[n], f[now[n]], [keys[n]], table=n)
+
+    def between(i):
+        now["orders" if i == 1 else "customer"] = "orders" if i == 1 else "customer"
+
+    found = ch.rounds(f.spark, list(keys), check, lambda: v.table_counts({n: f[t] for n, t in now.items()}), 3, wait=between)
+    return found.select("round", "table_name", "status")

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FETCH_ROWS = 20_000
 
@@ -57,11 +58,31 @@ def write_table(df: DataFrame, url: str, table: str, batch: int = 1000, retry: b
     out.write.jdbc(url, table, mode="overwrite" if retry else "append", properties=props)
 
 
+SPLIT_SAMPLE = 2000
+
+
+def split_points(df: DataFrame, keys: list[str], shards: int) -> list[tuple]:
+    """Up to ``shards`` - 1 bounds of text or composite keys for :func:`range_predicates`, from a sample of about ``SPLIT_SAMPLE`` rows a shard."""
+    filled = df.select(*keys).where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    n = filled.count()
+    if not n:
+        return []
+    rows = sorted(tuple(r) for r in filled.sample(min(1.0, shards * SPLIT_SAMPLE / n), seed=0).collect())
+    return sorted({rows[len(rows) * i // shards] for i in range(1, shards)}) if rows else []
+
+
 def shard_plan(df: DataFrame, key: str, shards: int, accuracy: int = 10_000) -> DataFrame:
-    """Key ranges with about equal numbers of rows: (shard, low, high), low exclusive and high inclusive, NULL for open ends."""
-    cuts = F.array_distinct(F.percentile_approx(key, [i / shards for i in range(1, shards)], accuracy))
-    ends = df.agg(cuts.alias("cuts"))
-    none = F.array(F.lit(None).cast(df.schema[key].dataType))
+    """Key ranges with about equal numbers of rows: (shard, low, high), low exclusive and high inclusive, NULL for open ends.
+
+    Numbers and dates are split by a sketch over all rows, other types at :func:`split_points`.
+    """
+    kind = df.schema[key].dataType
+    if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        ends = df.agg(F.array_distinct(F.percentile_approx(key, [i / shards for i in range(1, shards)], accuracy)).alias("cuts"))
+    else:
+        cuts = [p[0] for p in split_points(df, [key], shards)]
+        ends = df.sparkSession.createDataFrame([(cuts,)], T.StructType([T.StructField("cuts", T.ArrayType(kind))]))
+    none = F.array(F.lit(None).cast(kind))
     rows = F.arrays_zip(F.concat(none, "cuts").alias("low"), F.concat(F.col("cuts"), none).alias("high"))
     return ends.select(F.posexplode(rows).alias("shard", "r")).select("shard", "r.low", "r.high")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -74,9 +74,29 @@ def apply_changes(changes: DataFrame, store: str, checkpoint: str, keys: list[st
     return keep_batches(changes, store, checkpoint, lambda batch: newest_per_key(batch, keys, seq))
 
 
-def current_rows(spark: SparkSession, store: str, keys: list[str], seq: str = "seq", op: str = "op") -> DataFrame:
-    """State of the table: newest change per key over all batches, deleted keys left out. The order of batches is irrelevant."""
-    return latest_rows(spark, store, keys, by=seq).where(F.col(op) != "D")
+def as_changes(base: DataFrame, seq: str = "seq", op: str = "op") -> DataFrame:
+    """Rows loaded in bulk as inserts that come before every change."""
+    return base.withColumns({seq: F.lit(-(1 << 63)).cast("long"), op: F.lit("I")})
+
+
+def current_rows(spark: SparkSession, store: str, keys: list[str], seq: str = "seq", op: str = "op", base: DataFrame | None = None) -> DataFrame:
+    """State of the table: newest change per key over all batches, deleted keys left out. The order of batches is irrelevant.
+
+    ``base`` holds the rows that were loaded before the stream began; those that never changed stay as they are.
+    """
+    rows = latest_rows(spark, store, keys, by=seq)
+    if base is not None:
+        rows = newest_per_key(as_changes(base, seq, op).unionByName(rows), keys, seq)
+    return rows.where(F.col(op) != "D")
+
+
+def fold(spark: SparkSession, snapshot: DataFrame, store: str, target: str, keys: list[str], seq: str = "seq") -> None:
+    """The next version of a snapshot: its rows (with their sequence, deletes included) and the changes of ``store``, newest per key.
+
+    Later queries read the version and the changes after it instead of the whole history. A version is never written over.
+    """
+    changes = latest_rows(spark, store, keys, by=seq)
+    newest_per_key(snapshot.select(changes.columns).unionByName(changes), keys, seq).write.parquet(target)
 
 
 def compact(spark: SparkSession, store: str, target: str, keys: list[str], seq: str = "seq") -> None:
@@ -134,13 +154,19 @@ def key_state(changes: DataFrame, keys: list[str]) -> DataFrame:
 
 # ---- status, re-check, cutover ------------------------------------------------------------------------------------
 
-def sync_status(spark: SparkSession, query: StreamingQuery, strategy: str) -> DataFrame:
-    """One row about a query as it stands: running or not, last batch, rows, error."""
+def sync_status(spark: SparkSession, query: StreamingQuery, strategy: str, store: str | None = None, seq: str = "seq", table: str = "row_key") -> DataFrame:
+    """One row about a query as it stands: running or not, last batch, rows, late rows, error; with ``store`` also the newest position
+    and the number of tables (key prefixes after ``:``) in what it has kept."""
     p = query.lastProgress
     error = query.exception()
     row = (strategy, query.isActive, p.batchId if p else None, p.numInputRows if p else None, str(p.timestamp) if p else None,
            sum(s.numRowsDroppedByWatermark for s in p.stateOperators) if p else None, str(error) if error else None)
-    return spark.createDataFrame([row], "strategy string, running boolean, batch_id bigint, input_rows bigint, at string, late_rows bigint, error string")
+    out = spark.createDataFrame([row], "strategy string, running boolean, batch_id bigint, input_rows bigint, at string, late_rows bigint, error string")
+    if store is None:
+        return out
+    kept = spark.read.parquet(store).agg(F.max(seq).alias("position"), F.count_distinct(F.substring_index(table, ":", -1)).alias("tables"))
+    both = out.unionByName(kept, allowMissingColumns=True)
+    return both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns])
 
 
 def save_status(status: DataFrame, path: str) -> None:
@@ -184,6 +210,29 @@ def tables_to_recheck(previous: DataFrame, counts_before: DataFrame, counts_now:
     return previous.where("status <> 'verified'").select("table_name").unionByName(moved.select("table_name")).distinct()
 
 
+def rounds(spark: SparkSession, tables: list[str], check: Callable[[list[str]], Iterator[DataFrame]], counts: Callable[[], DataFrame], n: int,
+           wait: Callable[[int], None] | None = None, seconds: float = 300.0) -> DataFrame:
+    """Check all tables, then every ``seconds`` again those with findings or with another row count: a row for each round and table.
+
+    ``check(names)`` yields one summary row per table. What comes to the driver is one row per table and round.
+    """
+    state, before, out, names = {}, counts(), [], tables
+    schema = None
+    for i in range(n):
+        if i:
+            (wait or (lambda _: time.sleep(seconds)))(i)
+            now = counts()
+            previous = spark.createDataFrame(list(state.values()), schema)
+            names = sorted(r["table_name"] for r in tables_to_recheck(previous, before, now).collect())
+            before = now
+        for frame in check(names):
+            schema = frame.schema
+            row = frame.first()
+            state[row["table_name"]] = row
+        out.extend((i, *r) for r in state.values())
+    return spark.createDataFrame(out, T.StructType([T.StructField("round", T.IntegerType()), *schema.fields]))
+
+
 def cutover_ready(lag: DataFrame, summary: DataFrame, most_seconds: float, windows: int = 5) -> DataFrame:
     """Ready when the newest ``windows`` of the lag, over all tables of each, stay below a bound and the check passed. One row."""
     last = lag.groupBy("window_start").agg(F.max("max_lag_seconds").alias("max_lag_seconds")).orderBy(F.desc("window_start")).limit(windows)
