@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossover.functions.constants import (
-    FUNCTION_MAP, FUNCTIONS_TO_REDESIGN, MYSQL_QUERY_RULES, MYSQL_QUERY_RULES_STRICT, TSQL_PATTERNS, TSQL_WORDS, UNSUPPORTED_FUNCTIONS,
+    COMPLEXITY, FUNCTION_MAP, FUNCTIONS_TO_REDESIGN, MYSQL_QUERY_RULES, MYSQL_QUERY_RULES_STRICT, TSQL_PATTERNS, TSQL_WORDS, UNSUPPORTED_FUNCTIONS,
 )
 from crossover.functions.text import lines_of_code, lookup, match_contexts, match_count, matches, may_match, rows_of, trimmed, with_word_search
 
@@ -98,14 +98,6 @@ def unmodified_share(log: DataFrame, rules: list[tuple] | None = None) -> DataFr
 
 # ---- routine complexity -------------------------------------------------------------------------------------------
 
-COMPLEXITY = {
-    "cursor_count": [r"\bCURSOR\b"],
-    "dynamic_sql_count": [r"\bPREPARE\b", r"\bEXECUTE\b"],
-    "temp_table_count": [r"\bTEMPORARY\b"],
-    "control_flow_count": [r"\bIF\b", r"\bWHILE\b", r"\bLOOP\b", r"\bCASE\b"],
-    "nested_calls": [r"\bCALL\b"],
-    "transaction_statements": [r"\bSTART\s+TRANSACTION\b", r"\bCOMMIT\b", r"\bROLLBACK\b", r"\bSAVEPOINT\b"],
-}
 COMPLEXITY_WORDS = {
     "cursor_count": ["cursor"], "dynamic_sql_count": ["prepare", "execute"], "temp_table_count": ["temporary"],
     "control_flow_count": ["if", "while", "loop", "case"], "nested_calls": ["call"],

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crossover.functions.constants import MSSQL_SPATIAL_TYPES, MYSQL_SPATIAL_TYPES, SYSTEM_SCHEMAS
-from crossover.functions.text import fixed_rows
 
 PAGE_KB = 8
 
@@ -28,9 +27,9 @@ def select_tables(tables: DataFrame, include: list[str] | None = None, exclude:
     """Keep the named tables (None or ``*`` is all) and drop the excluded ones."""
     spark = tables.sparkSession
     if include and include != ["*"]:
-        tables = tables.join(fixed_rows(spark, "table_name string", [(n,) for n in include]), "table_name", "left_semi")
+        tables = tables.join(spark.createDataFrame([(n,) for n in include], "table_name string"), "table_name", "left_semi")
     if exclude:
-        tables = tables.join(fixed_rows(spark, "table_name string", [(n,) for n in exclude]), "table_name", "left_anti")
+        tables = tables.join(spark.createDataFrame([(n,) for n in exclude], "table_name string"), "table_name", "left_anti")
     return tables
 
 
@@ -225,7 +224,8 @@ def checklist_mysql(sources: DataFrame, tables: DataFrame, columns: DataFrame, i
 
 
 def checklist_mssql(sources: DataFrame, tables: DataFrame, columns: DataFrame, index_list: DataFrame, fks: DataFrame,
-                    modules_: DataFrame, jobs_: DataFrame, objects: DataFrame, meta: DataFrame) -> DataFrame:
+                    modules_: DataFrame, jobs_: DataFrame, objects: DataFrame, meta: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Counts and flags per source. ``sizes`` (source_id, total_mb: a row for each table) adds total and largest size."""
     by = ["source_id"]
     dt = F.lower("data_type")
     t = tables.groupBy(*by).agg(
@@ -250,11 +250,17 @@ def checklist_mssql(sources: DataFrame, tables: DataFrame, columns: DataFrame, i
         F.count_if(F.col("kind") == "trigger").alias("trigger_count"),
         F.count_if((F.col("kind") == "trigger") & F.col("is_instead_of")).alias("instead_of_trigger_count"),
         F.count_if(F.col("kind") == "view").alias("view_count"))
+    views = modules_.where("kind = 'view'").select("source_id", "schema_name", F.col("name").alias("table_name"))
+    iv = index_list.join(views, ["source_id", "schema_name", "table_name"], "left_semi").groupBy(*by).agg(F.count_distinct("schema_name", "table_name").alias("indexed_view_count"))
     j = jobs_.groupBy(*by).agg(F.count(F.lit(1)).alias("agent_job_count"))
     o = objects.groupBy(*by).agg(F.count_if(F.col("kind") == "assembly").alias("assembly_count"),
                                  F.count_if(F.col("kind") == "linked_server").alias("linked_server_count"))
     s = meta.select("source_id", F.col("product_version").alias("sql_version"), "edition", F.col("cdc_enabled").alias("is_cdc_enabled"),
                     "has_ssis", (F.lower("auth_mode") == "windows").alias("windows_auth_only"))
-    out = _join_sources(sources.select("source_id").distinct(), [t, c, i, k, m, j, o, s])
+    z = []
+    if sizes is not None:
+        mb = F.round("total_mb", 2)
+        z = [sizes.groupBy(*by).agg(F.sum(mb.cast("decimal(18,2)")).cast("double").alias("total_data_mb"), F.max(mb).alias("largest_table_mb"))]
+    out = _join_sources(sources.select("source_id").distinct(), [t, c, i, iv, k, m, j, o, s, *z])
     flags = {x: False for x in out.columns if x.startswith(("has_", "is_")) or x == "windows_auth_only"}
-    return out.fillna({**flags, **{x: 0 for x in out.columns if x.endswith("_count")}})
+    return out.fillna({**flags, **{x: 0 for x in out.columns if x.endswith(("_count", "_mb"))}})

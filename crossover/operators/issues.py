@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from crossover.functions.constants import (
     ACCEPTED_COLLATION, COMPATIBLE_TYPES, FEATURE_TO_RULE, MSSQL_BLOCKERS, MSSQL_SPATIAL_TYPES, MSSQL_STRICT_WARNINGS,
-    MSSQL_WARNINGS, MYSQL_RULES, MYSQL_SPATIAL_TYPES, TIER_RULES, TSQL_PATTERNS, TSQL_WORDS, UNSUPPORTED_COLLATIONS,
+    MSSQL_WARNINGS, MYSQL_RULES, MYSQL_SPATIAL_TYPES, RULE_OF_FINDING, TIER_RULES, TSQL_PATTERNS, TSQL_WORDS, UNSUPPORTED_COLLATIONS,
 )
 from crossover.functions.text import fixed_rows, lookup, match_count, matches, may_match, rows_of, with_word_search
 from crossover.operators.features import object_name
@@ -262,29 +262,6 @@ def enrich(issues: DataFrame, complexity: DataFrame) -> DataFrame:
     return joined.withColumns({c: F.when(ours, F.col(c)) for c in ("difficulty", "loc")})
 
 
-# ---- fixed values: finding -> rule id of the MySQL catalogue
-RULE_OF_FINDING = {
-    "stored_procedure": "BLK-001",
-    "trigger": "BLK-002",
-    "user_defined_function": "BLK-003",
-    "spatial_gis": "BLK-004",
-    "XML_EXTRACT": "BLK-005",
-    "XML_UPDATE": "BLK-005",
-    "XA_TRANSACTION": "BLK-006",
-    "event": "BLK-007",
-    "foreign_key": "WRN-001",
-    "fulltext_index": "WRN-002",
-    "GET_LOCK": "WRN-003",
-    "RELEASE_LOCK": "WRN-003",
-    "auto_increment": "WRN-004",
-    "SQL_CALC_FOUND_ROWS": "WRN-005",
-    "savepoint": "WRN-006",
-    "SAVEPOINT": "WRN-006",
-    "temporary_table": "WRN-008",
-    "TEMPORARY_TABLE": "WRN-008",
-}
-
-
 def rule_counts(issues: DataFrame, query_hits: DataFrame | None = None) -> DataFrame:
     """Findings per source and rule of the MySQL catalogue, from issues and from constructs in the query log."""
     found = issues.groupBy("source_id", F.col("type").alias("finding")).agg(F.count(F.lit(1)).alias("n"))

@@ -182,6 +182,9 @@ k AS (SELECT source_id, count(DISTINCT (schema_name, table_name, fk_name, ref_ta
 m AS (SELECT source_id, count(*) FILTER (routine_type = 'PROCEDURE') AS sp, count(*) FILTER (routine_type = 'FUNCTION') AS fn,
   count(*) FILTER (kind = 'routine' AND is_clr) AS cl, count(*) FILTER (kind = 'trigger') AS tr,
   count(*) FILTER (kind = 'trigger' AND is_instead_of) AS io, count(*) FILTER (kind = 'view') AS vw FROM cat_modules GROUP BY 1),
+iv AS (SELECT source_id, count(DISTINCT (schema_name, table_name)) AS n FROM cat_index_columns x
+  WHERE EXISTS (SELECT 1 FROM cat_modules v WHERE v.kind = 'view' AND v.source_id = x.source_id AND v.schema_name = x.schema_name AND v.name = x.table_name) GROUP BY 1),
+z AS (SELECT source_id, sum(round((data_length + index_length) / 1048576, 2)::decimal(18,2))::double AS total, max(round((data_length + index_length) / 1048576, 2)) AS largest FROM cat_tables GROUP BY 1),
 e AS (SELECT source_id, count(*) AS n FROM cat_jobs GROUP BY 1),
 o AS (SELECT source_id, count(*) FILTER (kind = 'assembly') AS a, count(*) FILTER (kind = 'linked_server' AND server_id > 0) AS l FROM cat_server_objects GROUP BY 1)
 SELECT s.source_id, coalesce(t.n, 0) AS table_count, coalesce(mo, false) AS has_memory_optimized, coalesce(te, false) AS has_temporal_tables,
@@ -193,13 +196,15 @@ SELECT s.source_id, coalesce(t.n, 0) AS table_count, coalesce(mo, false) AS has_
   coalesce(m.fn, 0) AS function_count, coalesce(m.cl, 0) AS clr_routine_count, coalesce(m.tr, 0) AS trigger_count,
   coalesce(m.io, 0) AS instead_of_trigger_count, coalesce(m.vw, 0) AS view_count, coalesce(e.n, 0) AS agent_job_count,
   coalesce(o.a, 0) AS assembly_count, coalesce(o.l, 0) AS linked_server_count, s.product_version AS sql_version, s.edition,
-  s.cdc_enabled AS is_cdc_enabled, s.has_ssis, lower(s.auth_mode) = 'windows' AS windows_auth_only
+  s.cdc_enabled AS is_cdc_enabled, s.has_ssis, lower(s.auth_mode) = 'windows' AS windows_auth_only, coalesce(iv.n, 0) AS indexed_view_count,
+  coalesce(z.total, 0) AS total_data_mb, coalesce(z.largest, 0) AS largest_table_mb
 FROM server_meta s LEFT JOIN t USING (source_id) LEFT JOIN c USING (source_id) LEFT JOIN i USING (source_id) LEFT JOIN k USING (source_id)
-LEFT JOIN m USING (source_id) LEFT JOIN e USING (source_id) LEFT JOIN o USING (source_id)""")
+LEFT JOIN m USING (source_id) LEFT JOIN e USING (source_id) LEFT JOIN o USING (source_id) LEFT JOIN iv USING (source_id) LEFT JOIN z USING (source_id)""")
 def checklist_mssql(f):
     return inv.checklist_mssql(f["server_meta"], f["cat_tables"], f["cat_columns"], inv.indexes(f["cat_index_columns"]),
                                inv.foreign_keys(f["cat_fk_columns"]), f["cat_modules"], f["cat_jobs"],
-                               inv.server_objects(f["cat_server_objects"]), f["server_meta"])
+                               inv.server_objects(f["cat_server_objects"]), f["server_meta"],
+                               f["cat_tables"].select("source_id", ((F.col("data_length") + F.col("index_length")) / 1048576).alias("total_mb")))
 
 
 @query("inventory_summary", "cat_tables", "cat_columns", "cat_modules", "cat_jobs", sql="""

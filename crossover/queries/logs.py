@@ -6,6 +6,7 @@ from crossover.functions.hashing import fingerprint
 from crossover.operators import features as feat
 from crossover.operators import inventory as inv
 from crossover.operators import issues as iss
+from crossover.functions.constants import HOST_RULES
 from crossover.operators import runlogs as rl
 from crossover.plans import automation as auto
 from crossover.plans.report import run_summary
@@ -16,8 +17,7 @@ from crossover.queries.text import MYSQL_ISSUES, mysql_issues
 # Session classes for the driver's conversations; a real log brings its own.
 SESSION_RULES = [("alpha", ["la le", "une de"]), ("beta", ["der ", "und "]), ("gamma", ["the", "and"])]
 PRICES = {"input_tokens": 15.0, "output_tokens": 75.0, "cache_write_tokens": 3.75, "cache_read_tokens": 1.5}
-HOSTS = [("localhost", ["localhost", "127.0.0.1", "::1"]), ("aws-aurora", [".cluster-", ".cluster-ro-"]), ("aws-rds", [".rds.amazonaws.com"]),
-         ("target-cloud", [".target.example"])]
+HOSTS = [*HOST_RULES, ("target-cloud", [".target.example"])]
 
 
 @query("runs", "run_events", sql="""WITH a AS (SELECT run_id, arg_min({'ts': ts, 'phase': phase}, line_no) AS a,

@@ -17,22 +17,22 @@ MYSQL_CATALOG_SQL = {
 }
 
 
-def snapshot_sources(spark: SparkSession, sources: dict[str, dict[str, str]], kind: str, path: str, sql: str | None = None, concurrency: int = 16) -> list[str]:
+def snapshot_sources(spark: SparkSession, sources: dict[str, dict[str, str]], kind: str, path: str, sql: str | None = None, concurrency: int = 16) -> dict[str, str]:
     """Ask every source for one catalog and keep the answers as Parquet, one folder per source.
 
-    ``sources`` maps a source id to its JDBC options. Sources that refuse are returned and leave no folder; the others
-    go on. Reading the folders back is one scan, where a union of thousands of queries would be a huge plan.
+    ``sources`` maps a source id to its JDBC options. Sources that refuse are returned with their error and leave no folder; the
+    others go on. Reading the folders back is one scan, where a union of thousands of queries would be a huge plan.
     """
-    def one(item: tuple[str, dict[str, str]]) -> str | None:
+    def one(item: tuple[str, dict[str, str]]) -> tuple[str, str] | None:
         source_id, options = item
         try:
             spark.read.format("jdbc").options(**options).option("query", sql or MYSQL_CATALOG_SQL[kind]).load().write.mode("overwrite").parquet(f"{path}/{kind}/source_id={source_id}")
-        except Exception:  # a source may deny any of the reads
-            return source_id
+        except Exception as e:  # a source may deny any of the reads
+            return source_id, str(e)
         return None
 
     with ThreadPoolExecutor(concurrency) as pool:
-        return [s for s in pool.map(one, sources.items()) if s]
+        return dict(s for s in pool.map(one, sources.items()) if s)
 
 
 def write_snapshot(df: DataFrame, path: str, kind: str) -> None:

@@ -35,10 +35,12 @@ def range_predicates(keys: list[str], bounds: list[tuple]) -> list[str]:
     if not bounds:
         return ["1 = 1"]
     nulls = " OR ".join(f"{k} IS NULL" for k in keys)
+    # A part of a composite key may be NULL while another is beyond a bound; such rows belong to the first shard alone.
+    filled = "".join(f" AND {k} IS NOT NULL" for k in keys) if len(keys) > 1 else ""
     out = [f"(NOT {_after(keys, bounds[0])} OR {nulls})"]
     for low, high in zip(bounds, bounds[1:]):
-        out.append(f"({_after(keys, low)} AND NOT {_after(keys, high)})")
-    return [*out, _after(keys, bounds[-1])]
+        out.append(f"({_after(keys, low)} AND NOT {_after(keys, high)}{filled})")
+    return [*out, f"({_after(keys, bounds[-1])}{filled})" if filled else _after(keys, bounds[-1])]
 
 
 def read_table(spark: SparkSession, url: str, table: str, keys: list[str], bounds: list[tuple] | tuple, parts: int = 8,

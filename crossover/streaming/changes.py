@@ -42,8 +42,8 @@ def _timed(df: DataFrame, event_time: str, delay: str) -> DataFrame:
 
 
 def keep_batches(stream: DataFrame, path: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None,
-                 mode: str = "append") -> StreamingQuery:
-    """Write each micro-batch to a folder of its own and stop when the input is used up.
+                 mode: str = "append", interval: str | None = None) -> StreamingQuery:
+    """Write each micro-batch to a folder of its own and stop when the input is used up, or go on every ``interval``.
 
     A batch that is run again after a failure replaces its folder, so nothing is applied twice.
     """
@@ -51,7 +51,7 @@ def keep_batches(stream: DataFrame, path: str, checkpoint: str, prepare: Callabl
         out = prepare(batch) if prepare else batch
         out.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(**({"processingTime": interval} if interval else {"availableNow": True})).start()
 
 
 def latest_rows(spark: SparkSession, path: str, keys: list[str], by: str = "batch_id") -> DataFrame:
@@ -69,9 +69,9 @@ def newest_per_key(changes: DataFrame, keys: list[str], seq: str = "seq") -> Dat
     return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), seq).alias("r")).select(*keys, "r.*")
 
 
-def apply_changes(changes: DataFrame, store: str, checkpoint: str, keys: list[str], seq: str = "seq") -> StreamingQuery:
+def apply_changes(changes: DataFrame, store: str, checkpoint: str, keys: list[str], seq: str = "seq", interval: str | None = None) -> StreamingQuery:
     """Keep the newest change per key of every batch. Deletes stay as rows, so an older insert cannot bring a key back."""
-    return keep_batches(changes, store, checkpoint, lambda batch: newest_per_key(batch, keys, seq))
+    return keep_batches(changes, store, checkpoint, lambda batch: newest_per_key(batch, keys, seq), interval=interval)
 
 
 def as_changes(base: DataFrame, seq: str = "seq", op: str = "op") -> DataFrame:

@@ -220,3 +220,39 @@ def test_recheck_turns_clean(spark, tmp_path):
     state["target"] = good
     put(spark, src, 2, [(3, "b", "U", 0.0)])
     assert run() == [("a", "clean"), ("b", "clean")]
+
+
+def test_stop_and_go_on(spark, tmp_path):
+    """A query that runs on is ended between batches; started again on its checkpoint it applies what came meanwhile, once."""
+    import time
+
+    def put(i, n):
+        spark.range(i, i + n).selectExpr("id as seq", "cast(id % 3 as string) as k", "'U' as op").coalesce(1).write.parquet(str(tmp_path / f"in/batch={i}"))
+
+    def go():
+        return ch.apply_changes(ch.read_changes(spark, str(tmp_path / "in/*"), schema), str(tmp_path / "rows"), str(tmp_path / "cp"), ["k"], interval="200 milliseconds")
+
+    put(0, 10)
+    schema = spark.read.parquet(str(tmp_path / "in/batch=0")).schema
+    q = go()
+    until = time.monotonic() + 60
+    while not (q.lastProgress and q.lastProgress.numInputRows is not None and (tmp_path / "rows").exists()) and time.monotonic() < until:
+        time.sleep(0.1)
+    ch.stop(q)
+    assert not q.isActive and q.exception() is None
+    put(10, 5)
+    q = go()
+    while ch.current_rows(spark, str(tmp_path / "rows"), ["k"]).agg(F.max("seq")).first()[0] != 14 and time.monotonic() < until:
+        time.sleep(0.2)
+    ch.stop(q)
+    assert rows(ch.current_rows(spark, str(tmp_path / "rows"), ["k"]).select("k", "seq")) == [("0", 12), ("1", 13), ("2", 14)]
+
+
+def test_shards_of_text_and_composite_keys(spark):
+    df = spark.sql("select concat('k', lpad(cast(id % 700 as string), 4, '0')) as a, id % 7 as b from range(3000) union all select null, 1 union all select 'z', null")
+    plan = tb.shard_plan(df, "a", 5).collect()
+    sizes = [df.where(tb.in_shard("a", r["low"], r["high"])).count() for r in plan]
+    assert sum(sizes) == 3002 and len(sizes) == 5 and max(sizes) < 1000
+    tests = tb.range_predicates(["a", "b"], tb.split_points(df, ["a", "b"], 4))
+    assert sum(df.where(t).count() for t in tests) == 3002 and len(tests) == 4
+    assert tb.split_points(df.where("false"), ["a"], 4) == [] and tb.shard_plan(df.where("false"), "a", 4).count() == 1
