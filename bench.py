@@ -23,7 +23,7 @@ def source_rate(spark, folder: str, times: int, clean: bool = False) -> int:
     """Source rows a second of a keyed diff over ``orders`` repeated ``times`` over with other keys; ``clean``: by buckets, one row in 100 000 differs."""
     orders = spark.read.parquet(f"{folder}/orders.parquet")
     key = (F.col("o_orderkey") * times + F.col("copy")).alias("o_orderkey")
-    big = orders.crossJoin(F.broadcast(spark.range(times).withColumnRenamed("id", "copy"))).select(key, *[c for c in orders.columns if c != "o_orderkey"])
+    big = orders.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).select(key, *[c for c in orders.columns if c != "o_orderkey"])
     odd = F.col("o_orderkey") % (100_000 if clean else 33) == 0
     other = big.withColumn("o_totalprice", F.when(odd, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
     rows, begin = orders.count() * times, time.perf_counter()

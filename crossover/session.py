@@ -51,6 +51,16 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[app]
 
 
+_RUN_FOLDERS: set[str] = set()
+
+
 def run_folder(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_folder(spark)}/crossover/{name}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder, in a folder of this application that goes when it ends."""
+    base = f"{shared_folder(spark)}/crossover/{spark.sparkContext.applicationId}"
+    if base not in _RUN_FOLDERS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _RUN_FOLDERS.add(base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
