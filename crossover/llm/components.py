@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 from crossover.llm.common import written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Large: each node links its larger neighbours to its least one. Small: its smaller neighbours and itself."""
+def _star(edges: DataFrame, large: bool, name: str) -> DataFrame:
+    """Large: each node links its larger neighbours to its least one. Small: its smaller neighbours and itself.
+
+    The minima of the large step are a table of their own, so that the join gets both sides by plain exchanges and a hub with a third
+    of all edges can be split.
+    """
     if large:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), name)
         out = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
@@ -30,7 +34,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), name)
     state = None
     while True:
-        now = written(_star(_star(now, True), False), name)
+        now = written(_star(_star(now, True, name), False, name), name)
         # A star forest no longer changes: as many edges as before, the same ones.
         after = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if after == state:
