@@ -5,14 +5,12 @@ Each stage gets all that its predecessor kept as ``docs`` and returns the column
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossover.llm import decontaminate, language_id, line_dedup, minhash, packing
 from crossover.llm.common import read, ship, with_key
-from crossover.session import shared_folder
+from crossover.session import run_folder
 
 
 def _stage(fn):
@@ -79,7 +77,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{shared_folder(spark)}/crossover/pipeline-{name}-{uuid.uuid4().hex}"
+        path = run_folder(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -7,8 +7,8 @@ their own that share an id.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -19,11 +19,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossover.session import shared_folder
+from crossover.session import run_folder
 
 NULL_ID = -(1 << 63)
-SLICE_BYTES = 2 << 20
-CHUNK_BYTES = 32 << 20
+SLICE_BYTES = 1 << 20
+CHUNK_BYTES = 8 << 20
 
 
 def key_id(name: str = "doc_id") -> Column:
@@ -50,9 +50,9 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the folder that all executors share: it cuts lineage, is computed once and outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/crossover/{name}-{uuid.uuid4().hex}"
+    """``df`` as a table in the folder that all executors share: it cuts lineage, is computed once, outlives executors and goes
+    with the application."""
+    spark, path = df.sparkSession, run_folder(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -78,6 +78,27 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             yield b.slice(lo, hi - lo)
 
 
+def release() -> None:
+    """Give freed memory back to the system. Python workers serve one task after another, and what a task has freed would
+    count against the executor for as long as they live."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, followed by :func:`release`."""
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return both
+
+
 def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """``fn`` over every slice of rows."""
 
@@ -87,7 +108,7 @@ def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None],
             if out is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:

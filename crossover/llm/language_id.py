@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossover.llm.common import batch, id_back, key_id, keyed, mapped, with_key
+from crossover.llm.common import batch, id_back, key_id, keyed, mapped
 
 SAMPLE_ROWS = 64
 DICTIONARY_BYTES = 32 << 10
@@ -44,14 +44,15 @@ def held_out(name: str = "doc_id", folds: int = 5) -> Column:
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """A dictionary for each label. The sample is at most ``rows`` rows of a label, whatever the size of the table."""
     known = labelled.where("lang is not null and text is not null").select("lang", key_id().alias("id"), F.xxhash64("text").alias("v"), "text")
+    if len(known.select("lang").distinct().limit(MAX_LABELS + 1).collect()) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
+    # At most ``rows`` keys for each of at most MAX_LABELS labels, hence the broadcast.
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id", "v"), "id", "v")
     chosen = known.select("lang", "id", "v").withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows)
-    picked = known.join(F.broadcast(chosen.limit(rows * MAX_LABELS)), ["lang", "id", "v"])
+    picked = known.join(F.broadcast(chosen), ["lang", "id", "v"])
     parts: dict[str, list[tuple[int, str]]] = {}
     for r in picked.select("lang", "n", F.substring("text", 1, size // rows * 8).alias("t")).distinct().collect():
         parts.setdefault(r.lang, []).append((r.n, r.t))
-    if len(parts) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
     out = {}
     for lang, texts in sorted(parts.items()):
         # Short rows leave room, which longer ones fill.
@@ -113,7 +114,14 @@ def language_report(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
-def accepted(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that are rejected."""
-    gone = classify(docs, fit(docs.where(~held_out()))).where("rejected").select(F.col("id").alias("__id"), F.col("v").alias("__v")).distinct()
-    return with_key(docs).join(gone, ["__id", "__v"], "left_anti").select(*docs.columns)
+def accepted(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
+    """``docs`` without the rows that are rejected, judged where they lie; nothing is shuffled."""
+    dictionaries = fit(docs.where(~held_out()))
+    key = hash(tuple(sorted(dictionaries.items())))
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        model = _MODELS.get(key) or _MODELS.setdefault(key, Model(dictionaries))
+        texts = b.column(b.schema.get_field_index("text")).to_pylist()
+        return b.filter(pa.array([model.judge(t)[2] >= margin for t in texts], pa.bool_()))
+
+    return mapped(docs, run, docs.schema)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossover.llm.common import batch, chunks, id_back, ints, keyed, mapped, texts_of, with_key
+from crossover.llm.common import batch, chunks, id_back, ints, keyed, mapped, texts_of, tidy, with_key
 from crossover.llm.words import LOWER
 
 MIN_CHARS = 20
@@ -78,7 +78,7 @@ def line_rows(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_D
                 yield batch(h=pa.array(h, pa.binary()), id=pa.array(i, pa.int64()), v=pa.array(v, pa.int64()),
                             places=pa.array([np.array(x, dtype="<u4").tobytes() for x in p], pa.binary()), docs=pa.array(n, pa.int32()))
 
-    return keyed(docs).mapInArrow(run, ROWS)
+    return keyed(docs).mapInArrow(tidy(run), ROWS)
 
 
 def drops(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -108,7 +108,7 @@ def drops(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
                 yield batch(id=pa.array(i, pa.int64()), v=pa.array(v, pa.int64()), places=pa.array(p, pa.binary()))
 
     ordered = rows.repartitionByRange("h").sortWithinPartitions("h", F.desc("id"), "v")
-    return ordered.mapInArrow(run, DROPS)
+    return ordered.mapInArrow(tidy(run), DROPS)
 
 
 def bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -129,7 +129,7 @@ def bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOC
             if b.num_rows:
                 yield pack(b)
 
-    return lists.mapInArrow(run, "id bigint, v bigint, dropped binary")
+    return lists.mapInArrow(tidy(run), "id bigint, v bigint, dropped binary")
 
 
 def cut(text: bytes, dropped: bytes | None) -> tuple[int, int, bytes]:

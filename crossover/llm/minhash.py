@@ -25,11 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossover.llm.common import batch, groups, id_back, ints, keyed, mapped, slices, texts_of, written
+from crossover.llm.common import batch, groups, id_back, ints, keyed, mapped, slices, texts_of, tidy, written
 from crossover.llm.components import components
 from crossover.llm.words import LOWER, U, Words, mix, normal, range_hashes
 
-SHINGLE = 4
+SHINGLE = 5
 THRESHOLD = 80  # in hundredths
 PERMUTATIONS = 90
 BAND = 5
@@ -175,7 +175,7 @@ def links(docs: DataFrame, reps: DataFrame, ways: DataFrame, k: int = SHINGLE, t
                 a, b = zip(*found)
                 yield batch(a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()))
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return dealt.mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def near_components(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -191,5 +191,5 @@ def near_components(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
     return signed.select("id", "v", "n_shingles", "digest").join(named, "digest", "left").select("id", "v", "n_shingles", F.coalesce("component", "id").alias("component"))
 
 
-def near_report(docs: DataFrame) -> DataFrame:
-    return near_components(docs).select(id_back().alias("doc_id"), "n_shingles", id_back("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+def near_report(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    return near_components(docs, k).select(id_back().alias("doc_id"), "n_shingles", id_back("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossover.llm.bpe import CALL_BYTES, encoder
-from crossover.llm.common import batch, id_back, ints, keyed, slices, written
+from crossover.llm.common import batch, id_back, ints, keyed, slices, tidy, written
 
 SIZE = 1024
 END = 2
@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield batch(**{n: pa.array(c, k) for n, c, k in zip(names, cols, kinds)})
 
-    return keyed(docs).mapInArrow(run, PIECES)
+    return keyed(docs).mapInArrow(tidy(run), PIECES)
 
 
 class Complements:
@@ -165,5 +165,5 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int =
                 sequence[mine], offset[mine] = row[:, 1] + rank[mine] - row[:, 0], row[:, 2]
             yield batch(id=col["id"], piece=col["piece"], start=col["start"], length=col["length"], ids_crc32=col["ids_crc32"], sequence_id=sequence, offset=offset)
 
-    out = cut.join(base, ["part", "length"]).mapInArrow(run, "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    out = cut.join(base, ["part", "length"]).mapInArrow(tidy(run), "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
     return out.select(id_back().alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -52,7 +52,7 @@ def substring_dedup(spark, folder):
 def near_dedup(spark, folder):
     from crossover.llm.minhash import near_report
 
-    return near_report(read(spark, folder, "documents"))
+    return near_report(read(spark, folder, "documents"), k=4)
 
 
 @query("op2_token_files")

@@ -24,13 +24,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossover.llm.common import batch, chunks, groups, id_back, ints, keyed, mapped, texts_of
+from crossover.llm.common import batch, chunks, groups, id_back, ints, keyed, mapped, texts_of, tidy
 from crossover.llm.words import U, Words, covered, mix, normal, range_hashes, sliding_min
 
 K = 20
-M = 4
-BUCKET_BYTES = 24 << 20
-SEND_BYTES = 12 << 20
+M = 3
+BUCKET_BYTES = 16 << 20
+SEND_BYTES = 6 << 20
 MIN_BUCKETS = 256
 HOT_BITS = 1 << 22
 
@@ -103,7 +103,7 @@ def minimiser_counts(docs: DataFrame, k: int = K) -> DataFrame:
             for lo in range(0, len(m), 50_000):
                 yield batch(m=m[lo : lo + 50_000].view(np.int64), n=n[lo : lo + 50_000].astype(np.int64))
 
-    return keyed(docs).mapInArrow(run, "m bigint, n bigint").groupBy("m").agg(F.sum("n").alias("n"))
+    return keyed(docs).mapInArrow(tidy(run), "m bigint, n bigint").groupBy("m").agg(F.sum("n").alias("n"))
 
 
 def hot_map(docs: DataFrame, limit: int, k: int = K) -> np.ndarray:
@@ -122,16 +122,24 @@ def is_hot(minimiser: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 
 def pack(head: np.ndarray, strings: list[bytes], decided: np.ndarray) -> bytes:
-    raw = b"".join([np.array([len(head), len(decided)], dtype="<i8").tobytes(), head.tobytes(), decided.tobytes(), b"\n".join(strings)])
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    """Sizes, columns of both tables (ids as differences), and the strings."""
+    columns = [t[n] for t in (head, decided) for n in t.dtype.names]
+    columns = [np.diff(c, prepend=c.dtype.type(0)) if c.dtype == np.int64 and i % 4 == 0 else c for i, c in enumerate(columns)]
+    raw = b"".join([np.array([len(head), len(decided)], dtype="<i8").tobytes(), *(c.tobytes() for c in columns), b"\n".join(strings)])
+    return zstandard.ZstdCompressor(level=6).compress(raw)
 
 
 def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     raw = zstandard.ZstdDecompressor().decompress(payload)
-    n, d = np.frombuffer(raw, "<i8", 2)
-    at = 16 + int(n) * HEAD.itemsize
-    end = at + int(d) * DECIDED.itemsize
-    return np.frombuffer(raw, HEAD, n, 16), np.frombuffer(raw, DECIDED, d, at), raw[end:].split(b"\n") if n else []
+    sizes, at, tables = np.frombuffer(raw, "<i8", 2), 16, []
+    for n, kind in zip(sizes.tolist(), (HEAD, DECIDED)):
+        t = np.empty(n, kind)
+        for name in kind.names:
+            t[name] = np.frombuffer(raw, kind[name], n, at)
+            at += n * kind[name].itemsize
+        t["id"] = np.cumsum(t["id"])
+        tables.append(t)
+    return *tables, raw[at:].split(b"\n") if sizes[0] else []
 
 
 def sent(docs: DataFrame, buckets: int, marks: np.ndarray, k: int = K) -> DataFrame:
@@ -152,8 +160,8 @@ def sent(docs: DataFrame, buckets: int, marks: np.ndarray, k: int = K) -> DataFr
                 d["id"], d["v"], d["lo"], d["hi"] = ids[x], vs[x], start[settled], (start + hi - lo)[settled] + k - 1
                 yield batch(bucket=[int(mix(np.array([ids[0]]).view(np.uint64))[0] % U(buckets))], payload=[pack(np.empty(0, HEAD), [], d)])
             bucket = (h[go] % U(buckets)).astype(np.int64)
-            go = go[np.argsort(bucket, kind="stable")]
-            bucket = np.sort(bucket)
+            order = np.lexsort((start[go], text[go], bucket))  # by document within a bucket: ids then differ by little
+            go, bucket = go[order], bucket[order]
             head = np.empty(len(go), HEAD)
             head["id"], head["v"], head["start"], head["size"] = ids[text[go]], vs[text[go]], start[go], hi[go] - lo[go]
             a, b = w.starts[lo[go]].tolist(), w.ends[hi[go] + k - 2].tolist()
@@ -161,7 +169,7 @@ def sent(docs: DataFrame, buckets: int, marks: np.ndarray, k: int = K) -> DataFr
             for p, q in zip(cuts, cuts[1:]):
                 yield batch(bucket=bucket[p : p + 1], payload=[pack(head[p:q], [w.buf[x:y] for x, y in zip(a[p:q], b[p:q])], np.empty(0, DECIDED))])
 
-    return keyed(docs).mapInArrow(run, SENT)
+    return keyed(docs).mapInArrow(tidy(run), SENT)
 
 
 def repeats_of(head: np.ndarray, strings: list[bytes], k: int) -> np.ndarray:
@@ -218,7 +226,7 @@ def repeats(packed: DataFrame, k: int = K) -> DataFrame:
             if len(d):
                 yield batch(**{n: np.ascontiguousarray(d[n]) for n in DECIDED.names})
 
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, REPEATS)
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), REPEATS)
 
 
 def plan_buckets(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[int, int]:

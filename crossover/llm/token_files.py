@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crossover.llm.bpe import CALL_BYTES, encoder
-from crossover.llm.common import batch, id_back, ints, keyed, slices, written
+from crossover.llm.common import batch, id_back, ints, keyed, slices, tidy, written
 from crossover.llm.simple8b import decode, encode
 
 END = 0
@@ -50,7 +50,7 @@ def segments(docs: DataFrame, path: str | None = None, end: int = END, segment_i
         if ids:
             yield flush()
 
-    return keyed(docs).repartitionByRange("id", "v").sortWithinPartitions("id", "v").mapInArrow(run, SEGMENTS)
+    return keyed(docs).repartitionByRange("id", "v").sortWithinPartitions("id", "v").mapInArrow(tidy(run), SEGMENTS)
 
 
 def read_documents(table: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -72,7 +72,7 @@ def read_documents(table: DataFrame, with_ids: bool = False) -> DataFrame:
                 yield batch(id=ids.values, start=cuts[:-1] + base[shard.as_py()] + first.as_py(), n_tokens=n,
                             ids_crc32=np.array([zlib.crc32(p.tobytes()) for p in parts], dtype=np.int64), **listed)
 
-    out = table.mapInArrow(run, "id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", tokens array<int>" * with_ids)
+    out = table.mapInArrow(tidy(run), "id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", tokens array<int>" * with_ids)
     return out.select(id_back().alias("doc_id"), "start", "n_tokens", "ids_crc32", *["tokens"] * with_ids)
 
 

@@ -63,7 +63,7 @@ def line_dedup(rows):
     return out
 
 
-def near_sets(rows, k=4):
+def near_sets(rows, k):
     out = []
     for _, text in rows:
         w = words(text, lower=True)
@@ -71,8 +71,8 @@ def near_sets(rows, k=4):
     return out
 
 
-def near_dedup(rows):
-    sets, ids = near_sets(rows), [order(d) for d, _ in rows]
+def near_dedup(rows, k=5):
+    sets, ids = near_sets(rows, k), [order(d) for d, _ in rows]
     root = {i: i for i in ids}
 
     def find(x):

@@ -108,6 +108,8 @@ def test_near_dedup(odd, none):
     got = minhash.near_components(odd).select(id_back().alias("d"), "n_shingles", "component")
     want = brute.near_dedup(ODD)
     assert rows(got) == sorted(want, key=str)
+    four = minhash.near_components(odd, 4).select(id_back().alias("d"), "n_shingles", "component")
+    assert rows(four) == sorted(brute.near_dedup(ODD, 4), key=str)
     assert minhash.near_components(none).count() == 0
 
 
