@@ -30,7 +30,7 @@ def normal(text: Column) -> Column:
 
 
 def _key(thread: Column | None, text: Column) -> Column:
-    return F.sha2(F.concat_ws("\x1f", *([thread.cast("string")] if thread is not None else []), normal(text)), 256)
+    return F.unhex(F.sha2(F.concat_ws("\x1f", *([thread.cast("string")] if thread is not None else []), normal(text)), 256))
 
 
 def passages(messages: DataFrame) -> DataFrame:
@@ -46,31 +46,33 @@ def passages(messages: DataFrame) -> DataFrame:
 
 
 def own_bodies(parts: DataFrame) -> DataFrame:
-    """(id, thread, body): each message without its quotes."""
+    """(id, thread, passages, body): each message without its quotes."""
     own = parts.where("level = 0").groupBy("id").agg(F.first("thread").alias("thread"), F.array_sort(F.collect_list(F.struct("run", "body"))).alias("runs"))
-    return own.select("id", "thread", F.array_join(F.col("runs.body"), "\n").alias("body"))
+    return own.select("id", "thread", F.size("runs").alias("passages"), F.array_join(F.col("runs.body"), "\n").alias("body"))
 
 
 def originals(parts: DataFrame, by_thread: bool = False) -> DataFrame:
     """(key, original): the first message that has a text as its body, a passage or a line of its own."""
     thread = F.col("thread") if by_thread else None
     own = parts.where("level = 0")
-    lines = own.select("id", "thread", F.explode("lines").alias("body")).where(F.char_length(normal(F.col("body"))) >= LINE_CHARS)
-    every = own.select("id", "thread", "body").union(own_bodies(parts).select("id", "thread", "body")).union(lines)
+    lines = own.select("id", "thread", F.size("lines").alias("alone"), F.explode("lines").alias("body")).where(F.char_length(normal(F.col("body"))) >= LINE_CHARS)
+    several = own_bodies(parts).where("passages > 1").select("id", "thread", "body")
+    every = own.select("id", "thread", "body").union(several).union(lines.where(F.col("alone") > 1).select("id", "thread", "body"))
     return every.where(normal(F.col("body")) != "").select(_key(thread, F.col("body")).alias("key"), "id").groupBy("key").agg(F.min("id").alias("original"))
 
 
 def quote_links(parts: DataFrame, by_thread: bool = False) -> DataFrame:
     """(id, run, level, original) of every quoted passage with an original."""
     thread = F.col("thread") if by_thread else None
+    passage, first = ["id", "run", "level"], written(originals(parts, by_thread), "originals")  # asked twice
     quoted = parts.where((F.col("level") > 0) & (normal(F.col("body")) != ""))
-    whole = quoted.select("id", "run", "level", _key(thread, F.col("body")).alias("key"), F.lit(1).alias("whole"))
-    lines = quoted.select("id", "run", "level", "thread", F.explode("lines").alias("body")).where(F.char_length(normal(F.col("body"))) >= LINE_CHARS)
-    votes = whole.union(lines.select("id", "run", "level", _key(thread, F.col("body")).alias("key"), F.lit(0).alias("whole")))
-    found = votes.join(originals(parts, by_thread), "key").where("original < id")
-    counted = found.groupBy("id", "run", "level", "original").agg(F.max("whole").alias("whole"), F.count("*").alias("n"))
-    best = F.max_by("original", F.struct("whole", "n", -F.col("original")))
-    return counted.groupBy("id", "run", "level").agg(best.alias("original"))
+    whole = quoted.select(*passage, _key(thread, F.col("body")).alias("key")).join(first, "key").where("original < id").select(*passage, "original")
+    # Lines are asked only where the passage as a whole is nobody's.
+    rest = quoted.select(*passage, "thread", "lines").join(whole.select("id", "run"), ["id", "run"], "left_anti")
+    lines = rest.select(*passage, "thread", F.explode("lines").alias("body")).where(F.char_length(normal(F.col("body"))) >= LINE_CHARS)
+    votes = lines.select(*passage, _key(thread, F.col("body")).alias("key")).join(first, "key").where("original < id")
+    counted = votes.groupBy(*passage, "original").agg(F.count("*").alias("n"))
+    return whole.union(counted.groupBy(*passage).agg(F.max_by("original", F.struct("n", -F.col("original"))).alias("original")))
 
 
 def parents(links: DataFrame) -> DataFrame:
