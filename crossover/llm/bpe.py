@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from crossover.llm.common import CACHES
+
 #: White space next to white space, at an end, or other than a space or a line feed; and text that looks like a special token.
 IRREGULAR = (r"[ \n][ \n]|\A[ \n]|[ \n]\z|<\||"
              r"[\x01\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]")
@@ -130,10 +132,11 @@ class PieceEncoder:
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
+CACHES.append(_ENCODERS)
 
 
 def encoder(path: str) -> PieceEncoder:
-    """This process's encoder; workers are used again, so what it knows carries over to later tasks."""
+    """This process's encoder; workers are used again, so what it knows carries over to a stage's later tasks."""
     if path not in _ENCODERS:
         _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]

@@ -16,6 +16,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,10 +88,26 @@ def release() -> None:
         trim(0)
 
 
+#: What processes keep from task to task: encoders, models. Workers outlive stages, so the next stage's first task empties them.
+CACHES: list[dict] = []
+_STAGE: list[int | None] = [None]
+
+
+def _new_stage() -> None:
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if stage != _STAGE[0]:
+        for cache in CACHES:
+            cache.clear()
+        _STAGE[0] = stage
+        release()
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, followed by :func:`release`."""
+    """``run`` in a process without another stage's caches, followed by :func:`release`."""
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _new_stage()
         try:
             yield from run(batches)
         finally:

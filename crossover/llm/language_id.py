@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossover.llm.common import batch, id_back, key_id, keyed, mapped
+from crossover.llm.common import CACHES, batch, id_back, key_id, keyed, mapped
 
 SAMPLE_ROWS = 64
 DICTIONARY_BYTES = 32 << 10
@@ -92,6 +92,7 @@ class Model:
 
 
 _MODELS: dict[int, Model] = {}
+CACHES.append(_MODELS)
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
