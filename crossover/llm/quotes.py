@@ -108,16 +108,44 @@ def link_conversations(messages: DataFrame, id_column: str = "id", text_column:
     return out.select("id", "conversation", "parent", "depth", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.trim(F.coalesce("body", F.lit(""))).alias("text")).orderBy("conversation", "depth", "id")
 
 
+def _positions(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``at``, their position 0, 1, … in ``order``: rows are counted per range, and the counts summed up."""
+    ranged = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "ranges")
+    ranged = ranged.withColumn("part", F.shiftright("at", 33))
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))  # a row for each partition
+    return ranged.join(F.broadcast(starts), "part").withColumn("at", F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "start")
+
+
 def quoted_mail(conversations: DataFrame) -> DataFrame:
     """``conversations`` as mail: each turn quotes the one before it, and that one's own quote one level deeper.
 
-    Message id is conv_id * 1000 + turn. By (conv_id + turn) % 3 the quote is whole, with a-z in upper case and doubled spaces, or the first line only.
+    Message id is conv_id * 1000 + turn as long as that tells all messages apart in their order (turns of 0 to 999, one text for each).
+    Else it is the position by conv_id, turn and a hash of the text, so that no two messages share an id.
+    By (conv_id + turn) % 3 the quote is whole, with a-z in upper case and doubled spaces, or the first line only.
+
+    Defined cases: rows that repeat a turn with the same text are one message; with other texts each is a message, and the next turn quotes
+    the smallest of them (NULL last); each row with a NULL conv_id or turn is a message that quotes nothing, and its id follows all others.
     """
-    c = conversations.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
-    before = [c.select("conv_id", (F.col("turn") + i).alias("turn"), F.coalesce("text", F.lit("")).alias(f"q{i}")) for i in (1, 2)]
-    joined = c.join(before[0], ["conv_id", "turn"], "left").join(before[1], ["conv_id", "turn"], "left")
+    c = conversations.select("conv_id", "turn", "text")
+    lost = c.where("conv_id is null or turn is null")
+    c = c.where("conv_id is not null and turn is not null")
+    hashed = F.xxhash64("text")
+    turns = written(c.groupBy("conv_id", "turn").agg(F.min("text").alias("text"), (F.min(hashed) < F.max(hashed)).alias("several")), "turns")  # asked four times
+    low, high, first_turn, last_turn, several = turns.agg(F.min("conv_id"), F.max("conv_id"), F.min("turn"), F.max("turn"), F.max("several")).first()
+    if low is None:
+        low, high, first_turn, last_turn = 0, 0, 0, 0
+    if not several and first_turn >= 0 and last_turn < 1000 and max(-low, high) < (1 << 63) // 1000 - 1:
+        numbered = turns.select("conv_id", "turn", "text", (F.col("conv_id").cast("long") * 1000 + F.col("turn")).alias("id"))
+    else:
+        numbered = _positions(c.distinct().withColumn("h", hashed), "conv_id", "turn", "h").select("conv_id", "turn", "text", F.col("at").alias("id"))
+    if not lost.isEmpty():
+        free = (numbered.agg(F.max("id")).first()[0] or 0) + 1
+        numbered = numbered.union(_positions(lost.withColumn("h", hashed), "conv_id", "turn", "h").select("conv_id", "turn", "text", F.col("at") + free))
+    before = [turns.select("conv_id", (F.col("turn") + i).alias("turn"), F.coalesce("text", F.lit("")).alias(f"q{i}")) for i in (1, 2)]
+    joined = numbered.join(before[0], ["conv_id", "turn"], "left").join(before[1], ["conv_id", "turn"], "left")
     kind = (F.col("conv_id") + F.col("turn")) % 3
     first = F.when(kind == 0, F.col("q1")).when(kind == 1, F.regexp_replace(F.translate("q1", LOWER_LETTERS, UPPER_LETTERS), " ", "  ")).otherwise(F.split("q1", "\n")[0])
     mark = lambda text, marks: F.concat(F.lit(marks), F.regexp_replace(text, "\n", f"\n{marks}"))
     mail = F.concat_ws("\n", mark(F.col("q2"), ">> "), mark(first, "> "), F.coalesce("text", F.lit("")))
-    return joined.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), mail.alias("text"))
+    return joined.select("id", mail.alias("text"))

@@ -1,7 +1,7 @@
 """Fixity audit and quotation linking on small cases with known answers."""
 
 from crossover.llm.fixity import audit, build_tree
-from crossover.llm.quotes import link_conversations
+from crossover.llm.quotes import link_conversations, quoted_mail
 from tests.conftest import rows
 
 PAGES = "page_id long, url string, html string, k string, hash string"
@@ -59,3 +59,26 @@ def test_quotes_by_thread(spark):
 def test_quotes_long_chain(spark):
     df = spark.createDataFrame([(i, (f"> message number {i - 1} of the chain\n" if i else "") + f"message number {i} of the chain") for i in range(40)], "id long, text string")
     assert {r.id: (r.conversation, r.depth) for r in link_conversations(df).collect()} == {i: (0, i) for i in range(40)}
+
+
+def test_mail_ids_never_collide(spark):
+    """Turns above 999, repeated turns with other texts and NULL keys: every message stays, and is linked in its own conversation."""
+    long = [(1, t, f"turn {t} of the long conversation") for t in range(997, 1004)]
+    other = [(2, t, f"turn {t} of another conversation") for t in range(4)]
+    twice = [(3, 0, "one text of a repeated turn"), (3, 0, "one text of a repeated turn"), (3, 0, "two texts of a repeated turn"), (3, 1, "what follows them both")]
+    lost = [(None, 0, "a turn of no conversation"), (1, None, "a message without a turn"), (None, None, "neither of both"), (None, None, "neither of both")]
+    got = link_conversations(quoted_mail(spark.createDataFrame(long + other + twice + lost, "conv_id long, turn long, text string"))).collect()
+    text = {r.id: r.text for r in got}
+    assert len(text) == len(got) and sorted(text.values()) == sorted(t for _, _, t in long + other + twice[1:] + lost)
+    parent = {r.text: text.get(r.parent) for r in got}
+    for rows in (long, other):
+        assert parent[rows[0][2]] is None and all(parent[b[2]] == a[2] for a, b in zip(rows, rows[1:]))
+    assert parent["what follows them both"] == "one text of a repeated turn"
+    assert all(parent[t] is None for _, _, t in lost + twice[:3])
+
+
+def test_mail_ids_of_short_conversations(spark):
+    """NULL keys alone do not change the ids of the others."""
+    got = quoted_mail(spark.createDataFrame([(7, 0, "a"), (7, 1, "b"), (None, 1, "c")], "conv_id long, turn long, text string"))
+    assert {(r.id, r.text) for r in got.collect()} == {(7000, "a"), (7001, "> a\nb"), (7002, "c")}
+    assert quoted_mail(spark.createDataFrame([], "conv_id long, turn long, text string")).count() == 0
