@@ -43,8 +43,8 @@ def fresh_lines(spark, docs, sf_dir):
 
 @_stage
 def one_of_each(spark, docs, sf_dir):
-    """Of each group of near copies the smallest doc_id stays, and of rows that repeat it one."""
-    return _without(docs, minhash.near_components(docs).where("id <> component"), once=True)
+    """Of each group of near copies the smallest doc_id stays (of texts that share it one), and of rows that repeat it one."""
+    return _without(docs, minhash.near_components(docs).where("not kept"), once=True)
 
 
 @_stage

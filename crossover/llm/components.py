@@ -26,7 +26,7 @@ def _star(edges: DataFrame, large: bool, name: str) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """(node, component) for every node of ``edges`` (a, b); component is the smallest node reachable.
+    """(node, component) for every node of ``edges`` (a, b); component is the smallest node reachable. Nodes are of any type with an order.
 
     Edges always point from a larger node to a smaller one. A hot node's list is never gathered: steps use a minimum by node,
     combined before the shuffle, and a join that adaptive execution can split.

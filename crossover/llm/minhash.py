@@ -4,17 +4,19 @@ Each permutation of the shingle hashes yields two signature values, its minimum
 evaluations give twice as many values for the bands. A band takes ``BAND`` values of different permutations, about half of each
 kind. At the threshold of 0.8 a pair misses all bands with a probability of about one in a million.
 
-1. Signatures of whole texts. Documents with equal shingle sets form a class (128-bit digest); its smallest id stands for it.
+1. Signatures of whole texts. Documents with equal shingle sets form a class (128-bit digest); its smallest key (id, v) stands for it,
+   and it gets a number of its own, as many classes can share an id.
 2. Bands that at least two classes share tie each of them to the band's smallest. These ties are not links; their components are
    groups outside of which no link is looked for, so that a set travels once and not once for each band.
 3. A group is confirmed on full sets through an index of its shingles that counts intersections exactly. Groups of over ``BLOCK``
    members (or ``BLOCK_SHINGLES`` shingles) are cut into blocks, and each pair of blocks is a unit of its own, so that no task
    holds a group. A unit returns a spanning forest of its links, never all pairs.
-4. Components of the links give the smallest id reachable.
+4. Components of the links give the smallest key reachable: that document stays.
 
 Defined cases: a NULL or wordless text has an empty set, is linked with nothing and stays; a text of fewer words than a shingle has
-them all as one; a NULL doc_id is the smallest id and its component is NULL; rows that share a doc_id with other texts are linked as
-documents of one id; repeated rows share a class, and each is returned; other columns are not read.
+them all as one; a NULL doc_id is the smallest id and its component is NULL; rows that share a doc_id (NULL, too)
+with other texts are documents of their own, linked only by what they say, and of near copies among them the smallest hash of text
+stays; repeated rows share a class, and each is returned; other columns are not read.
 """
 
 from __future__ import annotations
@@ -85,28 +87,28 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 def classes(signed: DataFrame) -> DataFrame:
-    """One row for each shingle set: (digest, id, v, n_shingles, bands) of its smallest id."""
+    """One row for each shingle set: (digest, id, v, n_shingles, bands) of its smallest key, and its number c, which holds once it is written."""
     row = F.min(F.struct("id", "v", "n_shingles", "bands")).alias("r")
-    return signed.where("n_shingles > 0").groupBy("digest").agg(row).select("digest", "r.*")
+    return signed.where("n_shingles > 0").groupBy("digest").agg(row).select("digest", "r.*", F.monotonically_increasing_id().alias("c"))
 
 
 def ties(reps: DataFrame) -> DataFrame:
     """(a, b): class b shares a band of which class a is the smallest."""
-    rows = reps.select(F.explode("bands").alias("band"), "id")
-    shared = rows.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("band", "a")
-    return rows.join(shared, "band").where("id > a").select("a", F.col("id").alias("b")).distinct()
+    rows = reps.select(F.explode("bands").alias("band"), "c")
+    shared = rows.groupBy("band").agg(F.min("c").alias("a"), F.max("c").alias("z")).where("a < z").select("band", "a")
+    return rows.join(shared, "band").where("c > a").select("a", F.col("c").alias("b")).distinct()
 
 
 def units(grouped: DataFrame) -> DataFrame:
-    """(unit, side, id) out of (id, n_shingles, component): blocks of a group, and a unit for each pair of its blocks.
+    """(unit, side, c) out of (c, n_shingles, component): blocks of a group, and a unit for each pair of its blocks.
 
     Members get their block by hash, in as many blocks as the group needs; unit ids are hashes of (group, block, block).
     """
     size = grouped.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     need = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    placed = grouped.join(size.select("component", need.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = grouped.join(size.select("component", need.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return other.select("id", F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), (F.col("block") > F.col("other")).alias("right"),
+    return other.select("c", F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), (F.col("block") > F.col("other")).alias("right"),
                         (F.col("block") == F.col("other")).alias("whole"))
 
 
@@ -151,8 +153,8 @@ def links_of(ids: np.ndarray, sets: list[np.ndarray], right: np.ndarray, whole:
 
 
 def links(docs: DataFrame, reps: DataFrame, ways: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b): links between classes that are enough to connect all that are linked."""
-    chosen = ways.join(reps.select("id", "v"), "id")
+    """(a, b): links between classes, as keys (id, v), that are enough to connect all that are linked."""
+    chosen = ways.join(reps.select("c", "id", "v"), "c")
     dealt = keyed(docs).join(chosen, ["id", "v"]).select("id", "v", "text", "unit", "right", "whole").repartition("unit").sortWithinPartitions("unit", "id", "v")
 
     def shrink(batches):
@@ -165,31 +167,34 @@ def links(docs: DataFrame, reps: DataFrame, ways: DataFrame, k: int = SHINGLE, t
             if fresh:
                 b = b.take(pa.array(fresh))
                 sets = shingle_sets(texts_of(b.column(2)), k)
-                yield batch(id=b.column(0), unit=b.column(3), right=b.column(4), whole=b.column(5), shingles=pa.array([s.tobytes() for s in sets], pa.binary()))
+                yield batch(id=b.column(0), v=b.column(1), unit=b.column(3), right=b.column(4), whole=b.column(5), shingles=pa.array([s.tobytes() for s in sets], pa.binary()))
 
     def run(batches):
         for t in groups(shrink(batches), "unit"):
             sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in t.column("shingles")]
-            found = links_of(ints(t.column("id")), sets, ints(t.column("right")).astype(bool), t.column("whole")[0].as_py(), threshold)
+            found = links_of(np.arange(len(sets)), sets, ints(t.column("right")).astype(bool), t.column("whole")[0].as_py(), threshold)
             if found:
-                a, b = zip(*found)
-                yield batch(a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()))
+                a, b = (np.array(x) for x in zip(*found))
+                i, v = ints(t.column("id")), ints(t.column("v"))
+                yield batch(a_id=i[a], a_v=v[a], b_id=i[b], b_v=v[b])
 
-    return dealt.mapInArrow(tidy(run), "a bigint, b bigint")
+    found = dealt.mapInArrow(tidy(run), "a_id bigint, a_v bigint, b_id bigint, b_v bigint")
+    return found.select(*(F.struct(F.col(f"{x}_id").alias("id"), F.col(f"{x}_v").alias("v")).alias(x) for x in "ab"))
 
 
 def near_components(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """Per document row: key (id, v), n_shingles and component, the smallest id reachable over links."""
+    """Per document row: key (id, v), n_shingles, component (the smallest id reachable over links) and kept (its key is the smallest)."""
     signed = written(signatures(docs, k), "signatures")
     reps = written(classes(signed), "classes")
     tied = components(ties(reps), "ties")
-    ways = units(reps.select("id", "n_shingles").join(tied.select(F.col("node").alias("id"), "component"), "id"))
+    ways = units(reps.select("c", "n_shingles").join(tied.select(F.col("node").alias("c"), "component"), "c"))
     linked = components(links(docs, reps, ways, k, threshold), "links")
-    named = reps.select("digest", "id").join(linked.select(F.col("node").alias("id"), "component"), "id", "left")
-    named = named.select("digest", F.coalesce("component", "id").alias("component"))
-    # An empty set is a class of none: such a document keeps its own id.
-    return signed.select("id", "v", "n_shingles", "digest").join(named, "digest", "left").select("id", "v", "n_shingles", F.coalesce("component", "id").alias("component"))
+    key = F.struct("id", "v")
+    named = reps.select("digest", key.alias("node")).join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("first"))
+    # An empty set is a class of none: such a document keeps its own key.
+    out = signed.select("id", "v", "n_shingles", "digest").join(named, "digest", "left").withColumn("first", F.coalesce("first", key))
+    return out.select("id", "v", "n_shingles", F.col("first.id").alias("component"), (F.col("first") == key).alias("kept"))
 
 
 def near_report(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    return near_components(docs, k).select(id_back().alias("doc_id"), "n_shingles", id_back("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    return near_components(docs, k).select(id_back().alias("doc_id"), "n_shingles", id_back("component").alias("component_id"), "kept")

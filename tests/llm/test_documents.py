@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from crossover.llm import decontaminate, language_id, line_dedup, line_quality, minhash, packing, substring_dedup, token_files
 from crossover.llm.common import id_back, read
 from tests.conftest import SMALL, rows
@@ -129,6 +131,24 @@ def test_near_dedup_blocks(spark, monkeypatch):
     assert rows(got) == sorted(want, key=str) and 1 < len({w[2] for w in want}) < 90
 
 
+def test_near_dedup_shared_ids(spark, monkeypatch):
+    """Texts under one doc_id are documents of their own: near copies among them go but one, a different text stays."""
+    base = prose(200, 21)
+    copies = [f"{base} {prose(1, 30 + i)} number {i}" for i in range(6)]
+    near, apart, other = f"{prose(80, 22)} end", prose(80, 23), prose(80, 22)
+    docs = [(None, t) for t in copies] + [(None, prose(50, 24)), (3, near), (7, apart), (7, other), (8, other), (8, other)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    reps = minhash.written(minhash.classes(minhash.written(minhash.signatures(df), "signatures")), "classes")
+    ways = minhash.units(reps.select("c", "n_shingles", F.lit(0).alias("component")))
+    assert ways.count() == ways.select("c", "unit").distinct().count() == reps.count() == 10
+    got = minhash.near_report(df).collect()
+    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == sorted([("None", "None", False)] * 5 + [("None", "None", True)] * 2 + [("3", "3", True), ("7", "7", True), ("7", "3", False), ("8", "3", False), ("8", "3", False)])
+    kept = [tuple(r) for r in corpus_pipeline.one_of_each(spark, df, SMALL).collect()]
+    assert len(kept) == 4 and {(None, prose(50, 24)), (3, near), (7, apart)} < set(kept) and sum(t in copies for _, t in kept) == 1
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    assert minhash.near_report(df).where("kept").count() == 4
+
+
 def test_signature_estimates_similarity():
     import numpy as np
 
