@@ -52,6 +52,15 @@ def test_query(spark, duck, name):
     assert got == want
 
 
+def test_profile_of_every_column(spark, duck):
+    got = {(r.table_name, r.column_name): r for r in QUERIES["column_profile_full"](spark, SMALL).collect()}
+    tables = {t: spark.read.parquet(f"{SMALL}/{t}.parquet").columns for t in ("lineitem", "documents", "pages")}
+    assert set(got) == {(t, c) for t, columns in tables.items() for c in columns}
+    for (t, c), r in got.items():
+        assert (r.row_count, r.exact_count) == duck.execute(f"select count(*), count(distinct {c}) from {t}").fetchone() and r.near, (t, c)
+    assert got["documents", "text"].max_length == duck.execute("select max(length(text)) from documents").fetchone()[0]
+
+
 def test_entry(spark):
     r = entry_point.entry(spark).collect()
     assert len(r) == 1 and r[0]["status"] == "issues_found"
