@@ -78,6 +78,12 @@ def test_decontaminate(spark, odd, none, small, small_rows):
     assert rows(decontaminate.decontaminate(small, bench).drop("id", "v")) == sorted(brute.decontaminate(small_rows, [(r.item_id, r.text) for r in bench.collect()]), key=str)
 
 
+def test_repeated_items_are_one(spark):
+    items = spark.createDataFrame([(i, f"item number {i}") for i in range(5)] + [(9, "the same item again")] * 200, "item_id long, text string")
+    blocks = list(decontaminate.test_blocks(items, 1000))
+    assert len(blocks) == 1 and sorted(blocks[0]) == sorted([(str(i), f"item number {i}") for i in range(5)] + [("9", "the same item again")])
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha beta very gamma delta"), (2, "alpha beta gamma delta"), (3, "alpha delta")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
