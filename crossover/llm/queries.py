@@ -96,3 +96,10 @@ def quotation_linking(spark, folder):
     from crossover.llm.quotes import link_conversations, quoted_mail
 
     return link_conversations(quoted_mail(read(spark, folder, "conversations")))
+
+
+@query("op11_cross_tokenizer_alignment")
+def cross_tokenizer_alignment(spark, folder):
+    from crossover.llm.alignment import align
+
+    return align(read(spark, folder, "documents"))
