@@ -120,3 +120,24 @@ b as (select *, coalesce(sum(size) over (partition by k >> 8 order by k rows bet
 select coalesce(a.k, b.k) as page_id, case when a.k is null then 'extra' when b.k is null then 'missing' when a.n <> b.n then 'count' else 'corrupt' end as kind,
        cast(a.start as bigint) as offset_a, cast(a.size as bigint) as size_a, cast(b.start as bigint) as offset_b, cast(b.size as bigint) as size_b
 from a full join b on a.k = b.k where a.rs is distinct from b.rs"""
+
+PHRASE_MINING = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                                '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, [x FOR x IN string_split_regex(piece, '[\x20\x09]+') IF x <> ''] AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY 1),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words WHERE len(w) > 0),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM starts, range(1, 6) AS ks(k) WHERE i + k - 1 <= len(w)),
+counted AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE k > 1),
+held AS (SELECT lang, array_to_string(w[s:s + m - 1], ' ') AS phrase, max(a) AS g
+         FROM candidates, range(2, 5) AS ms(m), range(1, 5) AS ss(s) WHERE m < k AND s + m - 1 <= k GROUP BY 1, 2),
+kept AS (SELECT c.* FROM candidates c LEFT JOIN held USING (lang, phrase) WHERE g IS NULL OR 100 * g < 100 * a),
+cuts AS (SELECT kept.lang, kept.phrase, a, n, c AS cut, h.f AS l, t.f AS r, (1000::HUGEINT * a * n) // (l::HUGEINT * r) AS score
+         FROM kept JOIN range(1, 5) AS cs(c) ON c < kept.k JOIN totals ON totals.lang = kept.lang
+         JOIN counted h ON h.lang = kept.lang AND h.phrase = array_to_string(w[1:c], ' ')
+         JOIN counted t ON t.lang = kept.lang AND t.phrase = array_to_string(w[c + 1:], ' ')),
+lowest AS (SELECT lang, phrase, a, n, min(struct_pack(score := score, cut := cut, l := l, r := r)) AS m FROM cuts GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY m.score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, m.l AS l, m.r AS r, n::BIGINT AS n, m.score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""

@@ -103,3 +103,17 @@ def cross_tokenizer_alignment(spark, folder):
     from crossover.llm.alignment import align
 
     return align(read(spark, folder, "documents"))
+
+
+@query("op12_phrase_mining", oracles.PHRASE_MINING)
+def phrase_mining(spark, folder):
+    from crossover.llm.phrases import phrase_report
+
+    return phrase_report(read(spark, folder, "documents"))
+
+
+@query("op13_secret_scan")
+def secret_scan(spark, folder):
+    from crossover.llm.secrets import secret_report
+
+    return secret_report(read(spark, folder, "documents"))
