@@ -37,11 +37,13 @@ from crossover.llm.bpe import IRREGULAR, LEARN, MARK
 from crossover.llm.common import CACHES, batch, chunks, groups, id_back, ints, keyed, tidy, written
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 2 << 20
 LONG_BYTES, RANGE_BYTES, FAN = 1 << 16, 1 << 15, 8
 #: Text of long documents in a task.
 TASK_BYTES = 2 << 20
-PIECES = 300_000
+PIECES = 150_000
+#: Blocks that a reader holds at once.
+GROUP_ROWS = 4
 #: An id of B in a pair; A's id stands above it.
 B_BITS = 20
 SPACE = "▁"
@@ -436,7 +438,7 @@ def blocks_of(docs: DataFrame, path_a: str | None = None, path_b: str | None = N
     """All documents, aligned, as a table of blocks."""
     rows, paths = keyed(docs), (path_a, path_b)
     is_long = F.octet_length("text") > long_bytes
-    return written(_short(rows.where(~F.coalesce(is_long, F.lit(False))), paths).unionByName(_long(rows.where(is_long), paths, range_bytes, fan)), "alignment")
+    return written(_short(rows.where(~F.coalesce(is_long, F.lit(False))), paths).unionByName(_long(rows.where(is_long), paths, range_bytes, fan)), "alignment", GROUP_ROWS)
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:

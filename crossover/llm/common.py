@@ -50,11 +50,11 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
     """``df`` as a table in the folder that all executors share: it cuts lineage, is computed once, outlives executors and goes
-    with the application."""
+    with the application. Of rows that take megabytes, a reader holds ``group_rows`` at once."""
     spark, path = df.sparkSession, run_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("parquet.block.row.count.limit", group_rows) if group_rows else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
