@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -64,3 +66,20 @@ def run_folder(spark: SparkSession, name: str) -> str:
         fs.deleteOnExit(path)
         _RUN_FOLDERS.add(base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application, for clusters where it isn't installed."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="crossover-")) / "crossover_functions.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in (root / "crossover" / "__init__.py", *sorted((root / "crossover" / "functions").glob("*.py"))):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(path))
+    _SHIPPED.add(app)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import decimal
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crossover.functions.sketch import quantiles
+from crossover.session import ship
+
 FETCH_ROWS = 20_000
 
 
@@ -18,7 +22,7 @@ def range_options(url: str, table: str, column: str, low, high, parts: int, fetc
 
 
 def _literal(v) -> str:
-    return str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
+    return str(v) if isinstance(v, (int, float, decimal.Decimal)) else "'" + str(v).replace("'", "''") + "'"
 
 
 def _after(keys: list[str], bound: tuple) -> str:
@@ -60,17 +64,13 @@ def write_table(df: DataFrame, url: str, table: str, batch: int = 1000, retry: b
     out.write.jdbc(url, table, mode="overwrite" if retry else "append", properties=props)
 
 
-SPLIT_SAMPLE = 2000
-
-
 def split_points(df: DataFrame, keys: list[str], shards: int) -> list[tuple]:
-    """Up to ``shards`` - 1 bounds of text or composite keys for :func:`range_predicates`, from a sample of about ``SPLIT_SAMPLE`` rows a shard."""
-    filled = df.select(*keys).where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-    n = filled.count()
-    if not n:
-        return []
-    rows = sorted(tuple(r) for r in filled.sample(min(1.0, shards * SPLIT_SAMPLE / n), seed=0).collect())
-    return sorted({rows[len(rows) * i // shards] for i in range(1, shards)}) if rows else []
+    """Up to ``shards`` - 1 bounds of keys of any sortable types for :func:`range_predicates`, from a sketch over all rows.
+
+    What comes to the driver are the bounds.
+    """
+    ship(df.sparkSession)
+    return sorted(tuple(r)[1:] for r in quantiles(df, keys, shards).collect())
 
 
 def shard_plan(df: DataFrame, key: str, shards: int, accuracy: int = 10_000) -> DataFrame:
