@@ -39,7 +39,7 @@ SENSITIVE = re.compile(WORDS, re.I | re.A)
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}")
 BEFORE, AROUND = 64, 256
 #: Least share of a candidate's bytes that it adds to the compressed size, in percent.
-NOVEL = 50
+NOVEL = 65
 LEVEL, IDENTIFIERS, DICTIONARY_BYTES = 3, 2048, 32 << 10
 #: Words of program text that stand in every dictionary.
 COMMON = ("abstract access account admin application argument array assert async attribute auth authorization await base64 boolean break buffer callback catch class "
