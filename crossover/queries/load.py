@@ -106,6 +106,20 @@ def export_csv_sizes(f):
     return files.agg(F.bool_and(F.col("length") <= 100_000).alias("within_limit"), (F.count(F.lit(1)) > 1).alias("several_files"))
 
 
+@query("export_one_long_row", sql="SELECT count(*) AS row_count, sum(o_orderkey)::bigint AS keys, true AS within_limit, true AS few_files FROM orders")
+def export_one_long_row(f):
+    """One order with a comment of 90 KB does not make the other files small."""
+    path = run_folder(f.spark, "csv")
+    long = F.when(F.col("o_orderkey") == f["orders"].agg(F.min("o_orderkey")).first()[0], F.repeat(F.lit("x"), 90_000)).otherwise(F.col("o_orderpriority"))
+    o = f["orders"].withColumn("comment", long)
+    ex.export_csv(o, path, max_bytes=100_000)
+    files = f.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(path).agg(
+        (F.max("length") <= 100_000).alias("within_limit"), F.count("*").alias("n"), F.sum("length").alias("total"))
+    back = ex.read_export(f.spark, path, o.schema).agg(F.count("*").alias("row_count"), F.sum("o_orderkey").alias("keys"))
+    return back.unionByName(files.select("within_limit", (F.col("n") <= F.col("total") / 50_000 + 10).alias("few_files")), allowMissingColumns=True).agg(
+        F.max("row_count").alias("row_count"), F.max("keys").alias("keys"), F.bool_and("within_limit").alias("within_limit"), F.bool_and("few_files").alias("few_files"))
+
+
 @query("shard_plan", sql="SELECT 8::bigint AS shards, count(*) AS row_count, true AS even FROM lineitem")
 def shard_plan(f):
     """Shards of about equal size: none has over one and a half times its share."""

@@ -42,7 +42,7 @@ def test_shards_cover_all_rows(spark):
 def test_export_limits_and_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(i, None if i % 7 == 0 else "" if i % 5 == 0 else 'a"b,c\nd' * (i % 9)) for i in range(3000)], "i int, t string").repartition(3)
     ex.export_csv(df, str(tmp_path / "out"), max_bytes=4000)
-    files = glob.glob(str(tmp_path / "out/*.csv"))
+    files = glob.glob(str(tmp_path / "out/**/*.csv"), recursive=True)
     assert len(files) > 20 and max(map(os.path.getsize, files)) <= 4000
     assert rows(ex.read_export(spark, str(tmp_path / "out"), df.schema)) == rows(df)
     with pytest.raises(ValueError):
@@ -53,6 +53,25 @@ def test_export_limits_and_round_trip(spark, tmp_path):
     assert rows(ex.read_export(spark, str(tmp_path / "odd"), odd.schema)) == rows(odd)
 
 
+def test_export_with_one_long_row(spark, tmp_path):
+    df = spark.range(50_000).select("id", F.when(F.col("id") == 777, F.repeat(F.lit("x"), 90_000)).otherwise("y").alias("t")).coalesce(2)
+    ex.export_csv(df, str(tmp_path / "out"), max_bytes=100_000)
+    files = glob.glob(str(tmp_path / "out/**/*.csv"), recursive=True)
+    total = sum(map(os.path.getsize, files))
+    assert len(files) <= total / 100_000 + 6 and max(map(os.path.getsize, files)) <= 100_000
+    assert ex.read_export(spark, str(tmp_path / "out"), df.schema).agg(F.count("*"), F.sum("id"), F.max(F.length("t"))).first()[:] == (50_000, 49_999 * 25_000, 90_000)
+    with pytest.raises(Exception, match="too much for files"):
+        ex.export_csv(df, str(tmp_path / "small"), max_bytes=50_000)
+
+
+def test_file_numbers():
+    import numpy as np
+
+    assert ex.file_numbers(np.array([4, 4, 4, 9, 1, 1]), 0, 0, 10)[0].tolist() == [0, 0, 1, 2, 2, 3]
+    out, used, number = ex.file_numbers(np.array([3, 3]), 5, 7, 10)
+    assert (out.tolist(), used, number) == ([7, 8], 3, 8) and ex.file_numbers(np.array([], dtype=int), 5, 7, 10)[1:] == (5, 7)
+
+
 def test_logs(spark, tmp_path):
     folder = tmp_path / "logs"
     (folder / "s1" / "subagents").mkdir(parents=True)
