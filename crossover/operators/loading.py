@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import datetime
+import decimal
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from crossover.sources.schemas import MANIFEST
+from crossover.functions.hashing import checksum_aggregates, row_hash
+from crossover.sources.schemas import MANIFEST, PUBLISHED
 
 KEY = ["table_name", "shard"]
 
@@ -81,14 +84,75 @@ def run_load(spark: SparkSession, shards: list[tuple[str, int]], copy: Callable[
         list(pool.map(one, shards))
 
 
-def load_audit(source_counts: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Rows of the source against rows written, per table."""
-    written = latest(manifest).where("status = 'done'").groupBy("table_name").agg(F.sum("row_count").alias("written_rows"))
+def load_audit(source_counts: DataFrame, manifest: DataFrame, token: str | None = None) -> DataFrame:
+    """Rows of the source against rows written by one run, per table; without ``token`` by the run that wrote to the table last."""
+    if token is None:
+        last = manifest.groupBy("table_name").agg(F.max_by("run_token", "recorded_at").alias("run_token"))
+        manifest = manifest.join(last, ["table_name", "run_token"], "left_semi")
+    written = latest(of_run(manifest, token)).where("status = 'done'").groupBy("table_name").agg(F.sum("row_count").alias("written_rows"))
     return source_counts.join(written, "table_name", "left").select(
         "table_name", F.col("row_count").alias("source_rows"), F.coalesce("written_rows", F.lit(0)).alias("written_rows"),
         (F.col("row_count") == F.coalesce("written_rows", F.lit(0))).alias("complete"))
 
 
+# ---- write, audit, publish ----------------------------------------------------------------------------------------
+
+class LoadMismatch(Exception):
+    """What was written is not what the source gave."""
+
+
+def _figures(row) -> tuple[int, int, int]:
+    return row["row_count"], row["hash_xor"] or 0, int(row["hash_sum"] or 0)
+
+
+def publish_shard(rows: DataFrame, path: str, published: str, token: str, table: str, shard: int, expected: tuple[int, int, int] | None = None) -> int:
+    """Write a shard where nobody looks, read it back, and make it visible if count and checksum are those of the source.
+
+    Each try has a folder of its own, so a try that was cut off, or two at a time, leave nothing that could be seen. ``expected`` is the
+    source's own (row_count, hash_xor, hash_sum); otherwise they are taken from the rows as they are read. Returns the number of rows.
+    """
+    spark, folder, seen = rows.sparkSession, f"{quote(table, safe='')}/{shard}/{quote(token, safe='')}-{uuid.uuid4().hex}", Observation()
+    rows.observe(seen, *checksum_aggregates(row_hash(rows))).write.parquet(f"{path}/{folder}")
+    given = expected or _figures(seen.get)
+    there = spark.read.schema(rows.schema).parquet(f"{path}/{folder}")
+    found = _figures(there.agg(*checksum_aggregates(row_hash(there))).first())
+    if found != given:
+        raise LoadMismatch(f"{table}/{shard}: {found[0]} rows written, {given[0]} in the source" if found[0] != given[0] else f"{table}/{shard}: rows differ from the source's")
+    entry = (token, table, shard, folder, *found[:2], decimal.Decimal(found[2]), datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None))
+    spark.createDataFrame([entry], PUBLISHED).coalesce(1).write.parquet(f"{published}/entry-{uuid.uuid4().hex}")
+    return found[0]
+
+
+def read_published(spark: SparkSession, published: str, token: str) -> DataFrame:
+    """What a run has made visible: the last entry of each shard."""
+    rows = spark.read.schema(PUBLISHED).option("recursiveFileLookup", "true").parquet(published)
+    return latest(rows.where(F.col("run_token") == token))
+
+
+def loaded_table(spark: SparkSession, path: str, published: str, token: str, table: str, schema) -> DataFrame:
+    """The rows of a table that a run has published; folders come to the driver, one for each shard."""
+    folders = [f"{path}/{r['folder']}" for r in read_published(spark, published, token).where(F.col("table_name") == table).select("folder").collect()]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def run_published_load(spark: SparkSession, plan: DataFrame, rows: Callable[[str, int], DataFrame], path: str, token: str, concurrency: int = 4,
+                       expected: Callable[[str, int], tuple[int, int, int]] | None = None) -> DataFrame:
+    """Load all shards of ``plan`` (table_name, shard) that the run has not published yet, and return :func:`load_summary`.
+
+    Below ``path``: ``data``, ``published`` and ``manifest``. Started again with the same token it does what is left; whatever an earlier try
+    left behind is replaced, since only published folders are the table.
+    """
+    manifest = f"{path}/manifest"
+    record(spark, manifest, [])
+    left = [(r["table_name"], r["shard"]) for r in pending(plan, read_manifest(spark, manifest), token).collect()]  # as many as the plan has jobs
+
+    def copy(table: str, shard: int) -> int:
+        return publish_shard(rows(table, shard), f"{path}/data", f"{path}/published", token, table, shard, expected(table, shard) if expected else None)
+
+    run_load(spark, left, copy, manifest, token, concurrency)
+    return load_summary(plan, read_manifest(spark, manifest), token=token)
+
+
 def load_events(manifest: DataFrame) -> DataFrame:
     """Manifest rows as run events."""
     return manifest.select(F.col("run_token").alias("run_id"), F.lit("load").alias("phase"), F.concat_ws("/", "table_name", F.col("shard").cast("string")).alias("step"),

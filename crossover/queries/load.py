@@ -218,6 +218,43 @@ def load_audit(f):
     return ld.load_audit(counts, ld.read_manifest(spark, f"{path}/manifest"))
 
 
+@query("load_audit_other_run", sql="""SELECT 'customer' AS table_name, 'first' AS run, count(*) AS source_rows, count(*) AS written_rows, true AS complete FROM customer
+UNION ALL SELECT 'customer', 'second', count(*), count(*) FILTER (c_custkey % 4 < 2), false FROM customer UNION ALL SELECT 'customer', 'last', count(*), count(*) FILTER (c_custkey % 4 < 2), false FROM customer""")
+def load_audit_other_run(f):
+    """A first run of four shards was whole; a second one of as many rows a shard has done two of them."""
+    spark, path = f.spark, run_folder(f.spark, "load")
+
+    def copy(token):
+        def one(table, shard):
+            return ld.counted_write(f[table].where(F.col("c_custkey") % 4 == shard), lambda df: df.write.parquet(f"{path}/{token}/{table}/shard={shard}"))
+        return one
+
+    ld.run_load(spark, [("customer", s) for s in range(4)], copy("first"), f"{path}/manifest", token="first")
+    ld.run_load(spark, [("customer", s) for s in range(2)], copy("second"), f"{path}/manifest", token="second")
+    counts, manifest = v.table_counts({"customer": f["customer"]}), ld.read_manifest(spark, f"{path}/manifest")
+    runs = [ld.load_audit(counts, manifest, t).withColumn("run", F.lit(t or "last")) for t in ("first", "second", None)]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
+@query("load_published", sql="SELECT * FROM orders")
+def load_published(f):
+    """Four shards, of which one dies half-way on the first try; the second call of the run loads what is left."""
+    path, key = run_folder(f.spark, "published"), "o_orderkey"
+    ranges = {r["shard"]: r for r in tb.shard_plan(f["orders"], key, 4).collect()}
+    plan, tries = f.spark.createDataFrame([("orders", s) for s in ranges], "table_name string, shard int"), []
+
+    def rows(table, shard):
+        part = f[table].where(tb.in_shard(key, ranges[shard]["low"], ranges[shard]["high"]))
+        tries.append(shard)
+        if shard == 2 and tries.count(2) == 1:
+            part = part.withColumn(key, F.when(F.col(key) % 50 == 0, F.raise_error(F.lit("lost")).cast("bigint")).otherwise(F.col(key)))
+        return part
+
+    for _ in range(2):
+        ld.run_published_load(f.spark, plan, rows, path, "run-1")
+    return ld.loaded_table(f.spark, f"{path}/data", f"{path}/published", "run-1", "orders", f["orders"].schema)
+
+
 @query("scan_documents", *MYSQL_ALL, "metrics", sql=f"""WITH {MYSQL_SCORES}, o AS (SELECT source_id, sum(score)::int AS overall_score FROM scores GROUP BY 1),
 t AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY total_mb DESC, schema_name, table_name) AS rank FROM sizes),
 top AS (SELECT source_id, string_agg(table_name, ',' ORDER BY rank) AS largest FROM t WHERE rank <= 20 GROUP BY 1),

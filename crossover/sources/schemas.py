@@ -26,3 +26,5 @@ REPORT = (
     "indexes array<struct<schema_name string, table_name string, index_name string, columns string, is_primary_key boolean>>>")
 
 MANIFEST = ("run_token string, table_name string, shard int, row_count bigint, status string, recorded_at timestamp, message string")
+
+PUBLISHED = "run_token string, table_name string, shard int, folder string, row_count bigint, hash_xor bigint, hash_sum decimal(38,0), recorded_at timestamp"

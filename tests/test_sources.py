@@ -133,6 +133,45 @@ def test_load_resumes(spark, tmp_path):
     assert ld.load_events(ld.read_manifest(spark, m)).where("outcome = 'error'").count() == 1
 
 
+def test_load_publishes_after_audit(spark, tmp_path):
+    path, tries = str(tmp_path / "load"), []
+    plan = spark.createDataFrame([("a b", 0), ("a b", 1)], "table_name string, shard int")
+    source = spark.range(100).select("id", F.concat(F.lit("v"), "id").alias("t"))
+
+    def rows_of(table, shard):
+        tries.append(shard)
+        part = source.where(F.col("id") % 2 == shard)
+        if shard == 1 and tries.count(1) == 1:
+            part = part.repartition(4).select(F.when(F.col("id") == 51, F.raise_error(F.lit("killed")).cast("bigint")).otherwise(F.col("id")).alias("id"), "t")
+        return part
+
+    def loaded(token="r1"):
+        return ld.loaded_table(spark, f"{path}/data", f"{path}/published", token, "a b", source.schema)
+
+    assert ld.run_published_load(spark, plan, rows_of, path, "r1").first()["status"] == "failed"
+    assert loaded().count() == 50  # of the killed shard nothing is seen
+    assert ld.run_published_load(spark, plan, rows_of, path, "r1").first()["status"] == "loaded"
+    assert rows(loaded()) == rows(source) and sorted(tries) == [0, 1, 1]
+    ld.run_published_load(spark, plan, rows_of, path, "r1")
+    assert sorted(tries) == [0, 1, 1] and loaded("r2").count() == 0
+    # a shard that is loaded again replaces what it had published
+    ld.publish_shard(source.where("id % 2 = 1"), f"{path}/data", f"{path}/published", "r1", "a b", 1)
+    assert rows(loaded()) == rows(source)
+    with pytest.raises(ld.LoadMismatch):
+        ld.publish_shard(source, f"{path}/data", f"{path}/published", "r1", "a b", 0, expected=(99, 0, 0))
+    assert rows(loaded()) == rows(source)
+
+
+def test_audit_of_one_run(spark, tmp_path):
+    m = str(tmp_path / "m")
+    ld.run_load(spark, [("t", i) for i in range(4)], lambda *_: 10, m, "old")
+    ld.run_load(spark, [("t", i) for i in range(2)], lambda *_: 20, m, "new")
+    counts, manifest = spark.createDataFrame([("t", 40)], "table_name string, row_count bigint"), ld.read_manifest(spark, m)
+    assert rows(ld.load_audit(counts, manifest)) == rows(ld.load_audit(counts, manifest, "new")) == rows(ld.load_audit(counts, manifest, "old")) == [("t", 40, 40, True)]
+    ld.run_load(spark, [("t", 0)], lambda *_: 30, m, "third")
+    assert rows(ld.load_audit(counts, ld.read_manifest(spark, m))) == [("t", 40, 30, False)]
+
+
 def test_report_lists(spark, tmp_path):
     rp.write_lists({"x": spark.range(3)}, str(tmp_path))
     assert spark.read.schema("id long").json(str(tmp_path / "x")).count() == 3
