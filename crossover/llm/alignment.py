@@ -5,7 +5,7 @@ groups and an open suffix. Fragments compose associatively, so a long document i
 tokenised and turned into a fragment by a task of its own, and a tree of shuffles puts the fragments together. A short document is the
 composition of the fragments of its pieces; each different piece is tokenised once by a process (``PIECES`` bounds what it keeps).
 
-A is byte-level BPE with the usual splitting pattern (library ``tokenizers``), B a sentencepiece model with byte fallback. A token of
+A is byte-level BPE with the usual splitting pattern, B a sentencepiece model with byte fallback. A token of
 either never reaches over a single space or line feed between other characters, nor from a letter to a full stop or comma; for B this
 is read off its vocabulary, and without it every text goes to the libraries whole.
 
@@ -20,7 +20,9 @@ without any safe place to cut is one range, however long. A group of n and m tok
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,12 +30,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import public_tokenizers
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from crossover.llm.bpe import IRREGULAR, LEARN, MARK
+from crossover.llm.bpe import IRREGULAR, MARK
 from crossover.llm.common import CACHES, batch, chunks, groups, id_back, ints, keyed, tidy, written
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -41,7 +44,9 @@ BLOCK_BYTES = 2 << 20
 LONG_BYTES, RANGE_BYTES, FAN = 1 << 16, 1 << 15, 8
 #: Text of long documents in a task.
 TASK_BYTES = 2 << 20
-PIECES = 150_000
+PIECES = 250_000
+#: Pieces in a call of the libraries, whose time for a text grows faster than the text.
+LEARN = 1000
 #: Blocks that a reader holds at once.
 GROUP_ROWS = 4
 #: An id of B in a pair; A's id stands above it.
@@ -93,6 +98,11 @@ class Units:
     first: np.ndarray
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def _joined(values: pa.Array, sizes: np.ndarray, by: str) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values), by)
 
@@ -120,11 +130,8 @@ class Pair:
     """Both tokenizers, the byte length of every token, and a bounded table of the units of known pieces."""
 
     def __init__(self, path_a: str, path_b: str, kept: int = PIECES):
-        self.a, self.b, self.kept = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b), kept
-        self.a.encode_special_tokens = True  # their strings in a text are ordinary text
-        alphabet = {c: i for i, c in _byte_letters().items()}
-        names = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
-        self.a_bytes = [bytes(alphabet.get(c, 63) for c in n) for n in names]
+        self.b, self.kept = sentencepiece.SentencePieceProcessor(model_file=path_b), kept
+        self.a_bytes, self.encode_a = byte_level(path_a)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch(r"<0x[0-9A-F]{2}>", p) else p.replace(SPACE, " ").encode() for p in pieces]
         self.a_len, self.b_len = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.a_bytes, self.b_bytes))
@@ -143,8 +150,8 @@ class Pair:
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of A and B of space + text; None where the bytes of either are not those of the text."""
         out: list[tuple[np.ndarray, np.ndarray] | None] = []
-        for t, x, y in zip(texts, self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1)):
-            want, x = (" " + t).encode(), x.ids
+        for t, x, y in zip(texts, self.encode_a([" " + t for t in texts]), self.b.encode(texts, num_threads=1)):
+            want = (" " + t).encode()
             same = b"".join(map(self.a_bytes.__getitem__, x)) == want and b"".join(map(self.b_bytes.__getitem__, y)) == want
             out.append((np.array(x, dtype=np.int64), np.array(y, dtype=np.int64)) if same and t else None)
         return out
@@ -205,17 +212,20 @@ class Pair:
     def places(self, pieces: list[str]) -> np.ndarray:
         """Where the units of ``pieces`` stand, after learning the new ones."""
         if len(self.known) > self.kept:
+            again = [p for p in pieces if p in self.known]
+            us = self.taken(np.array([self.known[p] for p in again], dtype=np.int64))
             self._clear()
+            self._add(again, us)
         new = [p for p in pieces if p not in self.known]
         if new:
-            for lo in range(0, len(new), LEARN):  # the libraries' own objects for a token take far more room than its id
+            for lo in range(0, len(new), LEARN):
                 self._learn(new[lo : lo + LEARN])
-            if len(self.lots) > 1:
-                self.numbers = [np.concatenate(self.numbers, axis=1)]
-                self.lots, self.first = [np.concatenate(self.lots)], [np.concatenate(self.first)]
         return np.array([self.known[p] for p in pieces], dtype=np.int64)
 
     def taken(self, place: np.ndarray) -> Units:
+        if len(self.lots) > 1:
+            self.numbers = [np.concatenate(self.numbers, axis=1)]
+            self.lots, self.first = [np.concatenate(self.lots)], [np.concatenate(self.first)]
         numbers = self.numbers[0][:, place]
         first = np.append(self.first[0], self.total)
         size = first[place + 1] - first[place]
@@ -224,6 +234,31 @@ class Pair:
         return Units(*numbers, [self.text[i] for i in place.tolist()], self.lots[0][at], ends)
 
 
+def byte_level(path: str) -> tuple[list[bytes], Callable[[list[str]], list[list[int]]]]:
+    """Bytes of every token of a byte-level vocabulary file, and an encoder of texts.
+
+    Where ids number the merges in their order, as is usual, ranks say the same as merges, and the quicker library applies them.
+    """
+    model = Tokenizer.from_file(path)
+    model.encode_special_tokens = True  # their strings in a text are ordinary text
+    letters = {c: i for i, c in _byte_letters().items()}
+    with open(path, encoding="utf-8") as f:
+        content = json.load(f)
+    names = [model.id_to_token(i) or "" for i in range(model.get_vocab_size())]
+    tokens = [bytes(letters.get(c, 63) for c in n) for n in names]
+    vocabulary = content["model"]["vocab"]
+    made = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in content["model"]["merges"]]
+    single = {n for n in names if len(n) == 1 and n in vocabulary}
+    before = content.get("pre_tokenizer") or {}
+    ranked = ([vocabulary.get(n) for n in made] == list(range(256, 256 + len(made))) and {vocabulary[n] for n in single} == set(range(256))
+              and (before.get("type"), before.get("use_regex"), before.get("add_prefix_space"), content.get("normalizer")) == ("ByteLevel", True, False, None))
+    if ranked:
+        ranks = {tokens[i]: i for i in range(256 + len(made))}
+        quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return tokens, lambda texts: [quick.encode_ordinary(t) for t in texts]
+    return tokens, lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 characters for themselves, the others, in
     order, from U+0100 on."""
@@ -263,12 +298,12 @@ def _block(number: int, ids: np.ndarray, us: Units, doc_units: np.ndarray, doc_s
     pairs, unit_links = np.unique(us.links, return_inverse=True)
     # Distinct (document, unit), then distinct (document, pair).
     owner = np.repeat(np.arange(len(doc_sizes)), doc_sizes)
-    once = np.unique(owner * max(len(unit_sizes), 1) + doc_units)
+    once = distinct(owner * max(len(unit_sizes), 1) + doc_units)
     doc, unit = once // max(len(unit_sizes), 1), once % max(len(unit_sizes), 1)
     size = unit_sizes[unit]
     ends = np.cumsum(size)
     link = unit_links[np.repeat(us.first[unit] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-    seen = np.unique(np.repeat(doc, size) * max(len(pairs), 1) + link) % max(len(pairs), 1)
+    seen = distinct(np.repeat(doc, size) * max(len(pairs), 1) + link) % max(len(pairs), 1)
     docs = np.bincount(seen, minlength=len(pairs))
 
     def one(x, kind) -> pa.Array:
