@@ -20,14 +20,15 @@ _DIGITS = {T.BooleanType: 1, T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T
 
 
 def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
-    """The narrowest type that holds the values of both; text where there is none."""
+    """The narrowest type that holds the values of both; text where there is none, and for an integer or decimal beside a float."""
     pair = (a, b)
     if all(isinstance(x, T.StringType) for x in pair):
         return T.StringType()
     if all(isinstance(x, (*_INTEGERS, T.BooleanType)) for x in pair):
         return T.BooleanType() if all(isinstance(x, T.BooleanType) for x in pair) else T.LongType()
     if all(isinstance(x, (*_INTEGERS, *_FLOATS, T.DecimalType)) for x in pair) and any(isinstance(x, _FLOATS) for x in pair):
-        return T.DoubleType()
+        # An integer or decimal meets a float as text, where a digit that a float lost shows.
+        return T.DoubleType() if all(isinstance(x, _FLOATS) for x in pair) else T.StringType()
     if all(isinstance(x, (*_INTEGERS, T.BooleanType, T.DecimalType)) for x in pair):
         whole = max(x.precision - x.scale if isinstance(x, T.DecimalType) else _DIGITS[type(x)] for x in pair)
         scale = max(x.scale if isinstance(x, T.DecimalType) else 0 for x in pair)
@@ -45,6 +46,21 @@ def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
     return a if a == b else T.StringType()
 
 
+def _unpadded(text: Column) -> Column:
+    return F.when(text.contains(".") & ~text.contains("E"), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+
+
+def _float_text(c: Column) -> Column:
+    """A float as the text of an equal decimal: whole numbers with all their digits, others with the fewest digits that name the float."""
+    size, text = F.abs(c.cast("double")), c.cast("string")
+    whole = (size < 9223372036854775808.0) & (F.floor(F.when(size < 9223372036854775808.0, c.cast("double"))) == c.cast("double"))
+    small = F.when((size > 0) & (size < 1e-3), text.cast("decimal(38,37)"))
+    large = F.when((size >= 1e7) & (size < 1e18), text.cast("decimal(38,20)"))
+    huge = F.when((size >= 1e18) & (size < 9.9e37), text.cast("decimal(38,0)"))
+    return (F.when(whole, c.cast("double").try_cast("bigint").cast("string")).when(size >= 1e18, F.coalesce(huge.cast("string"), text))
+            .when(size >= 1e7, _unpadded(large.cast("string"))).when((size < 1e-3) & (small != 0), _unpadded(small.cast("string"))).otherwise(_unpadded(text)))
+
+
 def form(c: Column, have: T.DataType, want: T.DataType, trim: bool = True) -> Column:
     """``c`` of type ``have`` as a value of ``want``: texts trimmed, maps as sorted entries, one zero, numbers as text without spare zeros."""
     if isinstance(want, T.StructType):
@@ -56,9 +72,10 @@ def form(c: Column, have: T.DataType, want: T.DataType, trim: bool = True) -> Co
         pair = lambda e: F.struct(form(e["key"], have.keyType, want.keyType, trim).alias("key"), form(e["value"], have.valueType, want.valueType, trim).alias("value"))
         return F.array_sort(F.transform(F.map_entries(c), pair))
     if isinstance(want, T.StringType):
-        if isinstance(have, T.DecimalType) or isinstance(have, _FLOATS):
-            text = c.cast("string")
-            return F.when(text.contains(".") & ~text.contains("E"), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+        if isinstance(have, T.DecimalType):
+            return F.when(c == 0, "0").otherwise(_unpadded(c.cast("string")))
+        if isinstance(have, _FLOATS):
+            return _float_text(c)
         if isinstance(have, T.VariantType):
             return F.to_json(c)
         text = c.cast("string")

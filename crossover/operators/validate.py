@@ -259,6 +259,15 @@ def key_checksum(df: DataFrame, keys: list[str], table: str = "") -> DataFrame:
     return table_checksum(df, keys, table=table)
 
 
+def checksum_pair(source: DataFrame, target: DataFrame, columns: list[str] | None = None, trim: bool = True, table: str = "") -> DataFrame:
+    """Both sides' checksum over one form of their columns, whatever their types: one row."""
+    source, target, cols = comparable(source, target, (), columns, trim)
+    s, t = (table_checksum(df, cols, False).select(F.struct("row_count", "hash_xor", "hash_sum").alias(n)) for df, n in ((source, "s"), (target, "t")))
+    both = s.unionByName(t, allowMissingColumns=True).agg(F.first("s", ignorenulls=True).alias("s"), F.first("t", ignorenulls=True).alias("t"))
+    return both.select(F.lit(table).alias("table_name"), F.col("s.row_count").alias("source_count"), F.col("t.row_count").alias("target_count"),
+                       F.col("s").eqNullSafe(F.col("t")).alias("matches"))
+
+
 def compare_checksums(source: DataFrame, target: DataFrame, on: list[str]) -> DataFrame:
     """Tables on both sides whose checksums differ."""
     s = source.select(*on, F.struct("row_count", "hash_xor", "hash_sum").alias("s"))

@@ -373,3 +373,32 @@ SELECT l_orderkey, l_linenumber, count(*) AS row_count, 'duplicate_key' AS viola
 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
 def key_violations(f):
     return v.key_violations(f["lineitem"], ["l_orderkey", "l_linenumber"])
+
+
+LOST = """n AS (SELECT o_orderkey AS id, 9007199254740992 + o_orderkey AS v, o_totalprice AS p FROM orders)"""
+
+
+def wide_numbers(f):
+    return f["orders"].select(F.col("o_orderkey").alias("id"), (F.lit(9007199254740992) + F.col("o_orderkey")).alias("v"), F.col("o_totalprice").cast("decimal(15,2)").alias("p"))
+
+
+@query("diff_rows_lost_digits", sql=f"""WITH {LOST} SELECT 'value' AS kind, v AS k, 'mismatched' AS status FROM n WHERE v::double::hugeint <> v
+UNION ALL SELECT 'key', v, 'missing' FROM n WHERE v::double::hugeint <> v""")
+def diff_rows_lost_digits(f):
+    """Integers beyond 2^53 that became doubles, as values and as keys; prices that became doubles lost nothing."""
+    a = wide_numbers(f)
+    b = a.withColumn("v", F.col("v").cast("double")).withColumn("p", F.col("p").cast("double"))
+    values = v.diff_rows(a, b, ["id"]).join(a, "id").select(F.lit("value").alias("kind"), F.col("v").alias("k"), "status")
+    # Keys of both sides are texts by then; those that the doubles fell on are another matter.
+    keys = v.diff_rows(a.select("v", "p"), b.select("v", "p"), ["v"]).where("status = 'missing'").select(F.lit("key").alias("kind"), F.col("v").cast("bigint").alias("k"), "status")
+    lost = a.where(F.col("v").cast("double").cast("decimal(38,0)") != F.col("v")).select(F.col("v").alias("k"))
+    return values.unionByName(keys.join(lost, "k", "left_semi"))
+
+
+@query("checksums_lost_digits", sql=f"""WITH {LOST} SELECT 'wide' AS table_name, count(*) AS source_count, count(*) AS target_count, bool_and(v::double::hugeint = v) AS matches FROM n
+UNION ALL SELECT 'even', count(*), count(*), true FROM n WHERE id % 2 = 0""")
+def checksums_lost_digits(f):
+    a = wide_numbers(f)
+    b = a.select("id", F.col("v").cast("double").alias("v"), F.col("p").cast("double").alias("p"))
+    even = F.col("id") % 2 == 0
+    return v.checksum_pair(a, b, table="wide").unionByName(v.checksum_pair(a.where(even), b.where(even), table="even"))

@@ -168,3 +168,17 @@ def test_wide_rows_move_only_when_they_differ(spark):
         assert "_bucket" in plan and "LeftSemi" in plan
     assert {r["status"] for r in v.diff_multiset(s, t).collect()} == {"missing", "extraneous"}
     assert [r["k"] for r in v.diff_cells(s, t, ["k"]).collect()] == [7]
+
+
+def test_numbers_beside_floats(spark):
+    from crossover.functions.comparing import comparable
+
+    a = spark.sql("""select * from values (1, 9007199254740993L, 0.10BD, 5L), (2, 4611686018427387904L, 1234567.125BD, 0L), (3, 9223372036854775807L, 0.00001BD, -7L), (4, 0L, 0.00BD, 1L),
+        (5, NULL, 12345678.5BD, 16777217L) as t(k, n, d, f)""").select("k", "n", F.col("d").cast("decimal(30,18)").alias("d"), "f")
+    b = a.select("k", F.col("n").cast("double").alias("n"), F.col("d").cast("double").alias("d"), F.col("f").cast("float").alias("f"))
+    assert rows(v.diff_cells(a, b, ["k"]).select("k", "column_name")) == [(1, "n"), (3, "n"), (5, "f")]
+    s, t, _ = comparable(a, b, ["k"])
+    assert [r["d"] for r in t.orderBy("k").collect()] == ["0.1", "1234567.125", "0.00001", "0", "12345678.5"]
+    odd = spark.sql("select stack(7, 1e300D, -0.0D, 1.5e20D, double('NaN'), double('Infinity'), 2.5e-30D, -1.25D) as n")
+    assert rows(comparable(odd, odd.select(F.lit(1).alias("n")))[0]) == [("-1.25",), ("0",), ("0.0000000000000000000000000000025",), ("1.0E300",), ("150000000000000000000",), ("Infinity",), ("NaN",)]
+    assert v.diff_rows(a.select("n"), b.select("n"), ["n"]).where("status = 'missing'").count() == 2
