@@ -6,6 +6,7 @@ from crossover.operators import validate as v
 from crossover.queries.registry import query
 from crossover.session import run_folder
 from crossover.streaming import changes as ch
+from crossover.streaming import status as st
 from crossover.streaming import versions as vs
 
 CHANGE_COLUMNS = [
@@ -212,3 +213,65 @@ def cdc_bucket_check(f):
     """The target lost some changes; only buckets whose checksums differ are read."""
     every, none = value_changes(f), base_rows(f).limit(0)
     return vs.check_round(followed(f, "source", every, none, folds=(1,)), followed(f, "target", every.where("seq % 101 <> 0"), none))
+
+
+@query("cdc_from_position_pruned", "changes", sql="""WITH l AS (SELECT * FROM changes WHERE seq > 500 AND seq < 900000)
+SELECT row_key, max(seq) AS seq FROM l GROUP BY 1 HAVING arg_max(op, seq) <> 'D'""")
+def cdc_from_position_pruned(f):
+    """A log in folders of 250 positions, opened from the folder of the start position on."""
+    path = run_folder(f.spark, "log")
+    changes = value_changes(f)
+    ch.write_log(changes.where("seq < 900000"), f"{path}/log", 250)
+    s = ch.read_changes(f.spark, f"{path}/log", changes.schema, start=500, span=250)
+    run(ch.apply_changes(s, f"{path}/rows", f"{path}/checkpoint", ["row_key"]))
+    return ch.current_rows(f.spark, f"{path}/rows", ["row_key"]).select("row_key", "seq")
+
+
+@query("cdc_activity_stream", sql="""WITH a AS (SELECT event_id, event_type, ts, coalesce(ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) >= INTERVAL 30 MINUTE, true)::int AS fresh FROM events),
+b AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS g FROM a)
+SELECT min(ts) AS started_at, event_type AS table_name, count(*) AS changes, max(event_id) AS max_seq FROM b GROUP BY event_type, g""")
+def cdc_activity_stream(f):
+    """All bursts of the events; a last event of its own, long after them, lets the watermark pass."""
+    path = run_folder(f.spark, "activity")
+    events = f["events"].selectExpr(*CHANGE_COLUMNS).select("seq", "commit_ts", "table_name")
+    later = events.agg(F.lit(-1).cast("bigint").alias("seq"), (F.max("commit_ts") + F.expr("interval 2 days")).alias("commit_ts"), F.lit("end").alias("table_name"))
+    for part in (events, later):
+        part.write.mode("append").parquet(f"{path}/log")
+        bursts = ch.activity_stream(ch.read_changes(f.spark, f"{path}/log", events.schema), by=["table_name"])
+        run(ch.keep_batches(bursts, f"{path}/rows", f"{path}/checkpoint"))
+    return f.spark.read.parquet(f"{path}/rows").where("table_name <> 'end'").select("started_at", "table_name", "changes", "max_seq")
+
+
+@query("cdc_deliveries", sql="""WITH d AS (SELECT event_id AS seq, ts, event_id % 4 AS part FROM events UNION ALL SELECT event_id, ts, 3 FROM events WHERE event_id % 10 = 0),
+mark AS (SELECT max(ts) FILTER (part < 3) - INTERVAL 1 HOUR AS w FROM d),
+x AS (SELECT d.*, part = 3 AND ts < w AS late FROM d, mark), on_time AS (SELECT DISTINCT seq FROM x WHERE NOT late)
+SELECT 'delivered' AS outcome, count(*) AS row_count FROM d UNION ALL SELECT 'late', count(*) FILTER (late) FROM x
+UNION ALL SELECT 'on_time', count(*) FROM on_time UNION ALL SELECT 'repeated', count(*) FILTER (NOT late) - (SELECT count(*) FROM on_time) FROM x""")
+def cdc_deliveries(f):
+    """Two batches: three quarters of the events, then the rest with a tenth of all events once more."""
+    path = run_folder(f.spark, "deliveries")
+    events = f["events"].selectExpr(*CHANGE_COLUMNS).select("seq", "commit_ts", "row_key", "op", "value")
+    first, second = events.where("seq % 4 < 3"), events.where("seq % 4 = 3").unionByName(events.where("seq % 10 = 0"))
+    for part in (first, second):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/log")
+        run(ch.sort_deliveries(ch.read_changes(f.spark, f"{path}/log", events.schema), f"{path}/out", f"{path}/checkpoint", ["seq"]))
+    return ch.delivery_counts(f.spark, f"{path}/out").groupBy("outcome").agg(F.sum("row_count").alias("row_count")).unionByName(
+        f.spark.createDataFrame([(n, 0) for n in ("delivered", "on_time", "late", "repeated")], "outcome string, row_count bigint")).groupBy("outcome").agg(F.sum("row_count").alias("row_count"))
+
+
+@query("sync_positions", sql="SELECT event_type AS table_name, max(event_id) AS position, max(event_id % 50)::double AS lag_seconds, count(*) AS row_count FROM events GROUP BY 1")
+def sync_positions(f):
+    """Position and lag by table, as the query's own progress events told them."""
+    path = run_folder(f.spark, "status")
+    changes = f["events"].selectExpr(*CHANGE_COLUMNS)
+    tables = sorted(r["table_name"] for r in changes.select("table_name").distinct().collect())
+    log = st.StatusLog(f.spark, f"{path}/status", tables, names=["follow"])
+    f.spark.streams.addListener(log)
+    try:
+        q = st.measured(stream(f), tables).writeStream.queryName("follow").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/rows/batch_id={n}")).option(
+            "checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        run(q)
+        f.spark._jsc.sc().listenerBus().waitUntilEmpty(60_000)  # events are told after the query has ended
+    finally:
+        f.spark.streams.removeListener(log)
+    return st.positions(st.read_status(f.spark, f"{path}/status")).drop("query")

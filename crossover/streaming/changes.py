@@ -4,25 +4,40 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
+SEGMENT = "segment"
+
+
+def write_log(changes: DataFrame, path: str, span: int, seq: str = "seq") -> None:
+    """Append changes to a log in folders of ``span`` positions."""
+    changes.withColumn(SEGMENT, F.floor(F.col(seq) / span)).write.mode("append").partitionBy(SEGMENT).parquet(path)
+
+
 def read_changes(spark: SparkSession, path: str, schema: T.StructType, start=None, seq: str = "seq", fmt: str = "parquet",
-                 files_per_batch: int | None = None, glob: str | None = None, columns: list[str] | None = None) -> DataFrame:
+                 files_per_batch: int | None = None, glob: str | None = None, columns: list[str] | None = None, span: int | None = None) -> DataFrame:
     """Stream of change events from files. ``columns`` are SQL expressions for the events' columns.
 
-    ``start`` is the last position already applied and matters on the first start; later the checkpoint knows.
+    ``start`` is the last position already applied and matters on the first start; later the checkpoint knows. A log that keeps ``span``
+    positions a folder (``segment=<position div span>``, see :func:`write_log`) is opened from the folder of ``start`` on.
     """
     reader = spark.readStream.schema(schema).format(fmt)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
+    if span:
+        reader = reader.schema(T.StructType([*schema, T.StructField(SEGMENT, T.LongType())]))
     events = reader.load(path)
+    if span:
+        events = events.where(F.col(SEGMENT) >= (start + 1) // span).drop(SEGMENT) if start is not None else events.drop(SEGMENT)
     if columns:
         events = events.selectExpr(*columns)
     return events if start is None else events.where(F.col(seq) > start)
@@ -141,6 +156,77 @@ def activity(changes: DataFrame, gap_seconds: int = 1800, by: list[str] | None =
             .select("started_at", *by, "changes", "max_seq"))
 
 
+def activity_stream(changes: DataFrame, gap_seconds: int = 1800, delay: str = "10 minutes", by: list[str] | None = None) -> DataFrame:
+    """:func:`activity` on a stream: a burst is given out once the watermark has passed its end by the gap.
+
+    Spark keeps open bursts as state by table and merges those that late changes join.
+    """
+    timed, kind = _timed(changes, "commit_ts", delay), changes.schema["commit_ts"].dataType
+    w = F.session_window("commit_ts", f"{gap_seconds} seconds")
+    return (timed.groupBy(w.alias("w"), *(by or [])).agg(F.count(F.lit(1)).alias("changes"), F.max("seq").alias("max_seq"))
+            .select(F.col("w.start").cast(kind).alias("started_at"), *(by or []), "changes", "max_seq"))
+
+
+def sort_deliveries(changes: DataFrame, path: str, checkpoint: str, keys: list[str], event_time: str = "commit_ts", delay_seconds: int = 3600,
+                    interval: str | None = None) -> StreamingQuery:
+    """Deal a stream into ``on_time``, ``late`` and ``repeated`` below ``path``; each delivered row is in exactly one of them.
+
+    Late are rows more than ``delay_seconds`` older than the newest row of earlier batches; they are kept with the batch that met them. Of a
+    key that came within the delay before, or several times in a batch, the further rows are repeats (a late row is late, whether it
+    repeats or not). ``marks`` holds the span of time of each batch, so a batch looks for repeats only in those that reach into the
+    delay. A batch that is run again replaces what it wrote.
+    """
+    spark, gap = changes.sparkSession, F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(delay_seconds))
+
+    def folder(name: str, batch_id: int) -> str:
+        return f"{path}/{name}/batch_id={batch_id}"
+
+    def deal(batch: DataFrame, batch_id: int) -> None:
+        whole = folder("delivered", batch_id)
+        batch.write.mode("overwrite").parquet(whole)
+        rows = spark.read.schema(batch.schema).parquet(whole)
+        span = rows.agg(F.min(event_time).alias("low"), F.max(event_time).alias("high"))
+        marks = _read_or_none(spark, f"{path}/marks")
+        before = marks.where(F.col("batch_id") < batch_id) if marks is not None else None
+        mark = before.agg((F.max("high") - gap).alias("w")).first()["w"] if before is not None else None
+        is_late = F.col(event_time) < F.lit(mark) if mark is not None else F.lit(False)
+        rows.where(is_late).write.mode("overwrite").parquet(folder("late", batch_id))
+        fresh = rows.where(~is_late | is_late.isNull())
+        if mark is not None:
+            recent = [r["batch_id"] for r in before.where(F.col("high") >= F.lit(mark)).select("batch_id").collect()]  # batches within the delay
+            known = spark.read.schema(batch.schema).parquet(*[folder("on_time", n) for n in recent]).where(F.col(event_time) >= F.lit(mark)) if recent else fresh.limit(0)
+            known = known.select(*keys, F.lit(True).alias(KNOWN)).distinct()
+            fresh = fresh.join(known, [fresh[k].eqNullSafe(known[k]) for k in keys], "left").select(*[fresh[c] for c in fresh.columns], KNOWN)
+        else:
+            fresh = fresh.withColumn(KNOWN, F.lit(None).cast("boolean"))
+        # The first of a batch's rows of a key stays; which one is fixed by their content.
+        order = Window.partitionBy(*keys).orderBy(event_time, F.xxhash64(*batch.columns))
+        dealt = fresh.withColumn(KNOWN, F.coalesce(F.col(KNOWN), F.row_number().over(order) > 1))
+        for name, part in (("on_time", ~F.col(KNOWN)), ("repeated", F.col(KNOWN))):
+            dealt.where(part).drop(KNOWN).write.mode("overwrite").parquet(folder(name, batch_id))
+        span.where("high is not null").coalesce(1).write.mode("overwrite").parquet(folder("marks", batch_id))
+
+    when = {"processingTime": interval} if interval else {"availableNow": True}
+    return changes.writeStream.foreachBatch(deal).option("checkpointLocation", checkpoint).trigger(**when).start()
+
+
+KNOWN = "__known"
+
+
+def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
+def delivery_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Rows per batch and outcome of :func:`sort_deliveries`."""
+    parts = [spark.read.parquet(f"{path}/{n}").groupBy("batch_id").agg(F.count(F.lit(1)).alias("row_count")).select("batch_id", F.lit(n).alias("outcome"), "row_count")
+             for n in ("delivered", "on_time", "late", "repeated")]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def key_state(changes: DataFrame, keys: list[str]) -> DataFrame:
     """Running state per key: last sequence and operation, counts by operation, deleted or not.
 
