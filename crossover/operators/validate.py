@@ -69,23 +69,23 @@ def count_bands(counts: DataFrame) -> DataFrame:
 
 
 def columns_of(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    """Column catalog of frames, taken from their schemas."""
-    rows = [(name, f.name, i + 1, f.dataType.simpleString(), f.nullable)
+    """Column catalog of frames, taken from their schemas; a default is what the schema keeps as the column's current default."""
+    rows = [(name, f.name, i + 1, f.dataType.simpleString(), f.nullable, f.metadata.get("CURRENT_DEFAULT"))
             for name, df in tables.items() for i, f in enumerate(df.schema.fields)]
     return spark.createDataFrame(
-        rows, "table_name string, column_name string, ordinal_position int, data_type string, is_nullable boolean"
+        rows, "table_name string, column_name string, ordinal_position int, data_type string, is_nullable boolean, column_default string"
     )
 
 
 def compare_columns(
     source: DataFrame, target: DataFrame, on: list[str], conditional: DataFrame | None = None, strict: bool = False
 ) -> DataFrame:
-    """Columns that differ, in both directions: missing, extra, other type, and with ``strict`` order and nullability.
+    """Columns that differ, in both directions: missing, extra, other type, and with ``strict`` order, nullability and default.
 
     ``conditional(source_type, target_type)`` lists type pairs whose data is still comparable. Columns of tables that
     exist on one side only are left to :func:`compare_tables`.
     """
-    keep = [c for c in ("data_type", "ordinal_position", "is_nullable") if c in source.columns and c in target.columns]
+    keep = [c for c in ("data_type", "ordinal_position", "is_nullable", "column_default") if c in source.columns and c in target.columns]
     both = source.select(*on).distinct().join(target.select(*on).distinct(), on, "left_semi")
     key = [*on, "column_name"]
     s = source.select(*key, F.struct(*keep).alias("s"))
@@ -108,9 +108,9 @@ def compare_columns(
                F.when(F.coalesce(F.col("allowed"), F.lit(False)), "conditional_match").otherwise("column_type")),
     ]
     if strict:
-        for field, label in (("ordinal_position", "column_order"), ("is_nullable", "nullability")):
+        for field, label in (("ordinal_position", "column_order"), ("is_nullable", "nullability"), ("column_default", "column_default")):
             if field in keep:
-                checks.append(F.when(present_both & (F.col(f"s.{field}") != F.col(f"t.{field}")), F.lit(label)))
+                checks.append(F.when(present_both & ~F.col(f"s.{field}").eqNullSafe(F.col(f"t.{field}")), F.lit(label)))
     keep = [*key, F.col("s.data_type").alias("source_type"), F.col("t.data_type").alias("target_type")]
     return rows_of(pairs, keep, *[F.when(c.isNotNull(), F.struct(c.alias("issue"))) for c in checks])
 

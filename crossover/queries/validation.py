@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from crossover.functions.comparing import comparable
 from crossover.operators import validate as v
+from crossover.plans import runs
 from crossover.plans.check import check, run_check
 from crossover.queries.registry import query
 from crossover.session import run_folder
@@ -402,3 +403,38 @@ def checksums_lost_digits(f):
     b = a.select("id", F.col("v").cast("double").alias("v"), F.col("p").cast("double").alias("p"))
     even = F.col("id") % 2 == 0
     return v.checksum_pair(a, b, table="wide").unionByName(v.checksum_pair(a.where(even), b.where(even), table="even"))
+
+
+@query("check_run_report", "orders_tgt", "customer_tgt", sql=f"""WITH {ORDER_PAIRS},
+o AS (SELECT {SUMMARY_COLUMNS} FROM pairs), c AS (SELECT count(*) AS n, count(*) FILTER (c_custkey % 50 <> 0) AS kept FROM customer),
+gone AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS rank FROM customer WHERE c_custkey % 50 = 0),
+band AS (SELECT CASE WHEN (n - kept) / n::double <= 0.01 THEN 'within_tolerance' WHEN (n - kept) / n::double <= 0.05 THEN 'reload_table' ELSE 'investigate_load' END AS b FROM c),
+oband AS (SELECT CASE WHEN source_rows = target_rows THEN NULL WHEN abs(target_rows - source_rows) / source_rows::double <= 0.01 THEN 'within_tolerance'
+  WHEN abs(target_rows - source_rows) / source_rows::double <= 0.05 THEN 'reload_table' ELSE 'investigate_load' END AS b FROM o)
+SELECT 'finding' AS section, 'nation' AS table_name, 'missing_on_target' AS issue, NULL::varchar AS details
+UNION ALL SELECT 'finding', 'part', 'column_order', unnest(['p_size int int', 'p_partkey bigint bigint'])
+UNION ALL SELECT 'finding', 'part', 'nullability', 'p_brand string string' UNION ALL SELECT 'finding', 'part', 'column_default', 'p_brand string string'
+UNION ALL SELECT 'finding', 'customer', 'row_count', 'source=' || n || ' target=' || kept || ' band=' || b FROM c, band
+UNION ALL SELECT 'finding', 'customer', 'checksum', NULL UNION ALL SELECT 'finding', 'customer', 'row_hash', 'missing=' || (n - kept) || ' mismatched=0 extraneous=0' FROM c
+UNION ALL SELECT 'finding', 'orders', 'row_count', 'source=' || source_rows || ' target=' || target_rows || ' band=' || b FROM o, oband WHERE b IS NOT NULL
+UNION ALL SELECT 'finding', 'orders', 'checksum', NULL
+UNION ALL SELECT 'finding', 'orders', 'row_hash', 'missing=' || rows_missing || ' mismatched=' || rows_mismatched || ' extraneous=' || rows_extraneous FROM o
+UNION ALL SELECT 'sample', 'customer', 'missing', rank || ' {{"c_custkey":' || c_custkey || '}}' FROM gone WHERE rank <= 3
+UNION ALL SELECT 'table', 'part', 'verified', count(*) || ' true' FROM part UNION ALL SELECT 'table', 'nation', 'absent_on_target', count(*)::varchar FROM nation
+UNION ALL SELECT 'summary', NULL, 'tables', '4 1 3'
+UNION ALL SELECT 'columns', 'part', 'compared', '4' UNION ALL SELECT 'columns', 'orders', 'compared', '6' UNION ALL SELECT 'columns', 'customer', 'compared', '5'""")
+def check_run_report(f):
+    """All sections of one run as written: part has its first columns swapped, another nullability and a default, but equal rows."""
+    columns = ["p_partkey", "p_brand", "p_size", "p_retailprice"]
+    source = {"orders": f["orders"].select(f["orders_tgt"].columns), "customer": f["customer"].select(f["customer_tgt"].columns), "part": f["part"].select(columns), "nation": f["nation"]}
+    target = {"shop_orders": f["orders_tgt"], "customer": f["customer_tgt"], "part": f["part"].select("p_size", "p_brand", "p_partkey", "p_retailprice")}
+    brand = F.col("column_name") == "p_brand"
+    there = v.columns_of(f.spark, target).withColumn("is_nullable", F.col("is_nullable") & ~brand).withColumn("column_default", F.when(brand, "'none'").otherwise(F.col("column_default")))
+    run = runs.full_run(source, target, {"orders": ["o_orderkey"], "customer": ["c_custkey"], "part": ["p_partkey"]}, run_folder(f.spark, "run"), "run 1",
+                        mapping={"orders": "shop_orders"}, sample=3, target_columns=there)
+    lines = [run.findings.select(F.lit("finding").alias("section"), "table_name", "issue", "details"),
+             run.samples.where("table_name = 'customer'").select(F.lit("sample"), "table_name", "status", F.concat_ws(" ", "rank", "key")),
+             run.tables.where("table_name in ('part', 'nation')").select(F.lit("table"), "table_name", "status", F.concat_ws(" ", "source_rows", "checksum_matches")),
+             run.summary.select(F.lit("summary"), F.lit(None).cast("string"), F.lit("tables"), F.concat_ws(" ", "tables_checked", "tables_matching", "tables_with_issues")),
+             run.columns.where("compared").groupBy("table_name").agg(F.count("*").cast("string").alias("n")).select(F.lit("columns"), "table_name", F.lit("compared"), "n")]
+    return reduce(lambda a, b: a.union(b), lines)
