@@ -127,6 +127,19 @@ def _sides(source: DataFrame, target: DataFrame, keys: list[str], columns: list[
     return cut(source, 1, 0).unionByName(cut(target, 0, 1))
 
 
+def _coded(source: DataFrame, target: DataFrame, keys: list[str], columns: list[str] | None, trim: bool) -> tuple[DataFrame, DataFrame, list[str], list[str], dict[str, str]]:
+    """Both sides in one form under plain column names (c0, c1, ...), so that no name of the caller's clashes with one of the comparison or
+    needs quoting; the names of keys and columns, and what each stands for."""
+    source, target, cols = comparable(source, target, keys, columns, trim)
+    code = {n: f"c{i}" for i, n in enumerate(source.columns)}
+    s, t = (df.toDF(*code.values()) for df in (source, target))
+    return s, t, [code[k] for k in keys], [code[c] for c in cols], {c: n for n, c in code.items()}
+
+
+def _named(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(c).alias(names.get(c, c)) for c in df.columns])
+
+
 def _row_groups(source, target, keys, columns, trim) -> DataFrame:
     return (_sides(source, target, keys, columns, trim).groupBy(*keys, "_hash")
             .agg(F.sum("_s").alias("_s"), F.sum("_t").alias("_t")))
@@ -146,13 +159,14 @@ def diff_rows(
     source: DataFrame, target: DataFrame, keys: list[str], columns: list[str] | None = None, trim: bool = True
 ) -> DataFrame:
     """Every key with a difference: status and number of rows. A unique key has one status and one row."""
-    classes = _key_classes(_row_groups(source, target, keys, columns, trim), keys)
+    source, target, keys, columns, names = _coded(source, target, keys, columns, trim)
+    classes = _key_classes(_row_groups(source, target, keys, columns, False), keys)
 
     def case(status: str) -> Column:
         n = F.col(f"rows_{status}")
         return F.when(n > 0, F.struct(F.lit(status).alias("status"), n.alias("row_count")))
 
-    return rows_of(classes, keys, case(MISSING), case(EXTRANEOUS), case(MISMATCHED))
+    return _named(rows_of(classes, keys, case(MISSING), case(EXTRANEOUS), case(MISMATCHED)), names)
 
 
 def diff_summary(
@@ -160,7 +174,8 @@ def diff_summary(
     table: str = "",
 ) -> DataFrame:
     """One row: rows on each side and rows per class. Both branches read the same shuffle output."""
-    groups = _row_groups(source, target, keys, columns, trim)
+    source, target, keys, columns, _ = _coded(source, target, keys, columns, trim)
+    groups = _row_groups(source, target, keys, columns, False)
     names = ["source_rows", "target_rows", "rows_matching", "rows_missing", "rows_mismatched", "rows_extraneous"]
 
     def zero(*filled: str) -> list[Column]:
@@ -190,7 +205,7 @@ def diff_cells(
     ``CELL_BUCKETS`` integers, so rows of other buckets are left out before any shuffle. Keys with several leftover rows have
     no pairing of rows; they are in :func:`diff_rows` with their counts and in :func:`diff_multiset` with their rows.
     """
-    source, target, cols = comparable(source, target, keys, columns, trim)
+    source, target, keys, cols, names = _coded(source, target, keys, columns, trim)
     cols = [c for c in cols if c not in keys]
     left = (_row_groups(source, target, keys, [*keys, *cols], False).where(F.col("_s") != F.col("_t")))
     single = (left.groupBy(*keys)
@@ -214,11 +229,11 @@ def diff_cells(
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys])
     cells = [
         F.when(~F.col(f"source.{c}").eqNullSafe(F.col(f"target.{c}")),
-               F.struct(F.lit(c).alias("column_name"), F.col(f"source.{c}").cast("string").alias("source_value"),
+               F.struct(F.lit(names[c]).alias("column_name"), F.col(f"source.{c}").cast("string").alias("source_value"),
                         F.col(f"target.{c}").cast("string").alias("target_value")))
         for c in cols
     ]
-    return rows_of(s.join(t, on), keys, *cells)
+    return _named(rows_of(s.join(t, on), keys, *cells), names)
 
 
 def diff_multiset(source: DataFrame, target: DataFrame, columns: list[str] | None = None, trim: bool = True) -> DataFrame:
@@ -227,7 +242,7 @@ def diff_multiset(source: DataFrame, target: DataFrame, columns: list[str] | Non
     Two 64-bit hashes stand for the row in the first shuffle. Whole rows move only out of the buckets of hashes that do not
     balance, a list of at most ``CELL_BUCKETS`` integers.
     """
-    source, target, cols = comparable(source, target, (), columns, trim)
+    source, target, _, cols, names = _coded(source, target, (), columns, trim)
 
     def cut(df: DataFrame, weight: int) -> DataFrame:
         return df.select(row_hash(df, cols, trim=False).alias("_h1"), row_hash(df, cols, trim=False, salt=1).alias("_h2"),
@@ -243,8 +258,7 @@ def diff_multiset(source: DataFrame, target: DataFrame, columns: list[str] | Non
         return hashed.withColumn("_bucket", of).join(hit, "_bucket", "left_semi").drop("_bucket").join(uneven, ["_h1", "_h2"], "left_semi")
 
     rows = whole(source, 1).unionByName(whole(target, -1)).groupBy(*cols).agg(F.sum("_w").alias("_w")).where("_w <> 0")
-    return rows.select(*cols, F.when(F.col("_w") > 0, MISSING).otherwise(EXTRANEOUS).alias("status"),
-                       F.abs("_w").alias("copies"))
+    return _named(rows.select(*cols, F.when(F.col("_w") > 0, MISSING).otherwise(EXTRANEOUS).alias("status"), F.abs("_w").alias("copies")), names)
 
 
 # ---- checksums ----------------------------------------------------------------------------------------------------
@@ -302,11 +316,11 @@ def diff_shards(source: DataFrame, target: DataFrame, keys: list[str], buckets:
     When almost everything matches, the first pass moves a few numbers per bucket and the second reads both sides once
     more but shuffles little. With damage in most buckets it is the slower way; :func:`diff_rows` then reads once.
     """
-    source, target, columns = comparable(source, target, keys, columns, trim)
+    source, target, keys, columns, names = _coded(source, target, keys, columns, trim)
     bad = bad_buckets(source, target, keys, buckets, columns, False).withColumnRenamed("bucket", "_bucket")
     s = source.withColumn("_bucket", bucket(source, keys, buckets)).join(bad, "_bucket", "left_semi").drop("_bucket")
     t = target.withColumn("_bucket", bucket(target, keys, buckets)).join(bad, "_bucket", "left_semi").drop("_bucket")
-    return diff_rows(s, t, keys, columns, False)
+    return _named(diff_rows(s, t, keys, columns, False), names)
 
 
 # ---- samples and summaries ----------------------------------------------------------------------------------------
@@ -318,7 +332,7 @@ def sample_keys(df: DataFrame, keys: list[str], rate: float) -> DataFrame:
 
 def mismatch_sample(diff: DataFrame, keys: list[str], n: int = 10, by: list[str] | None = None) -> DataFrame:
     """The first ``n`` keys per status (and per ``by`` column). The row limit per group is applied before the shuffle."""
-    w = Window.partitionBy(*(by or []), "status").orderBy(*keys)
+    w = Window.partitionBy(*(by or []), "status").orderBy(*[F.col(f"`{k}`") for k in keys])
     return diff.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
