@@ -121,7 +121,7 @@ def units(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray
     def totals(x: np.ndarray) -> np.ndarray:
         return np.diff(np.concatenate([[0], np.cumsum(x)])[cuts])
 
-    return Units(totals(a_sizes), totals(b_sizes), count, _joined(text, count, ";").to_pylist(), links, ends[cuts])
+    return Units(totals(a_sizes), totals(b_sizes), count, _joined(text, count, ";").to_numpy(zero_copy_only=False).tolist(), links, ends[cuts])
 
 
 # ---- tokenizers ---------------------------------------------------------------------------------------------------
@@ -345,7 +345,7 @@ def short_block(number: int, ids: np.ndarray, texts: pa.Array, both: Pair) -> pa
         body = pc.replace_substring_regex(pc.replace_substring(texts.take(pa.array(plain)), "\n", " \n"), r"(\pL)([.,])", rf"\1 {MARK}\2")
         lists = pc.split_pattern(body, " ")
         coded = lists.flatten().dictionary_encode()
-        us = both.taken(both.places(coded.dictionary.to_pylist()))
+        us = both.taken(both.places(coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
         known = len(us.n_a)
         flat, cuts = coded.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
         lost = np.flatnonzero(us.n_a < 0)

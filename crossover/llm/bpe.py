@@ -18,9 +18,10 @@ from crossover.llm.common import CACHES
 #: White space next to white space, at an end, or other than a space or a line feed; and text that looks like a special token.
 IRREGULAR = (r"[ \n][ \n]|\A[ \n]|[ \n]\z|<\||"
              r"[\x01\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]")
-KEPT_PIECES = 200_000
+#: Pieces of a table; a process holds two, some 160 bytes a piece.
+KEPT_PIECES = 500_000
 #: Text per call: the more, the fewer of its pieces are different.
-CALL_BYTES = 2 << 20
+CALL_BYTES = 4 << 20
 LEARN = 10_000
 
 
@@ -69,8 +70,12 @@ class PieceEncoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Pieces open with a line feed, with MARK (then they follow a letter), or else with the space before them."""
+    def _learn(self, pieces: list[str]) -> np.ndarray:
+        """Places of new pieces, which open with a line feed, with MARK (then they follow a letter), or else with the space before them."""
+        is_marked = np.array([p[0] == MARK for p in pieces])
+        order = np.concatenate([np.flatnonzero(~is_marked), np.flatnonzero(is_marked)])
+        place = np.empty(len(pieces), dtype=np.int64)
+        place[order] = len(self.young.known) + np.arange(len(pieces))
         marked = [p for p in pieces if p[0] == MARK]
         others = [p for p in pieces if p[0] != MARK]
         for lo in range(0, len(others), LEARN):  # the library's own objects for a token take far more room than its id
@@ -84,6 +89,7 @@ class PieceEncoder:
                 self._add_each(some, texts)
         if marked:
             self._add_each(marked, [p[1:] for p in marked])
+        return place
 
     def _add_each(self, pieces: list[str], texts: list[str]) -> None:
         each = self._encode(texts)
@@ -94,21 +100,22 @@ class PieceEncoder:
         body = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " \n"), r"(\pL)([.,])", rf"\1 {MARK}\2")
         lists = pc.split_pattern(pc.binary_join_element_wise("\n", body, ""), " ")
         coded = lists.flatten().dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # far quicker than by scalars
         if len(self.young.known) > self.kept:
             self.young, self.old = Table(), self.young
         place = self.young.places(pieces)
         missing = np.flatnonzero(place < 0)
         new = [pieces[i] for i in missing.tolist()]
         if new:
-            was = self.old.places(new)
-            back = was >= 0
-            if back.any():
+            was = self.old.places(new) if self.old.known else np.full(len(new), -1)
+            back, lost = np.flatnonzero(was >= 0), np.flatnonzero(was < 0)
+            # Places follow each other in the order in which pieces are added.
+            if len(back):
+                place[missing[back]] = len(self.young.known) + np.arange(len(back))
                 ids, end = self.old.ids(was[back])
-                self.young.add([p for p, b in zip(new, back) if b], ids, np.concatenate([[0], end[:-1]]))
-            if not back.all():
-                self._learn([p for p, b in zip(new, back) if not b])
-            place[missing] = self.young.places(new)
+                self.young.add([new[i] for i in back.tolist()], ids, np.concatenate([[0], end[:-1]]))
+            if len(lost):
+                place[missing[lost]] = self._learn([new[i] for i in lost.tolist()])
         ids, end = self.young.ids(place[coded.indices.to_numpy()])
         bounds = np.concatenate([[0], end])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         return ids, bounds

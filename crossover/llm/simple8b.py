@@ -21,6 +21,8 @@ ESCAPE_BITS = 15
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = tuple(60 // n for n in COUNTS)
 U = np.uint64
+#: Bits of value + 1, for values of up to 16 bits; larger ones count as the last.
+_BITS = np.frexp(np.arange(1, (1 << 16) + 1, dtype=np.float64))[1].astype(np.uint8)
 
 
 def encode(ids: np.ndarray, block: int = BLOCK, escape_bits: int = ESCAPE_BITS) -> bytes:
@@ -31,16 +33,21 @@ def encode(ids: np.ndarray, block: int = BLOCK, escape_bits: int = ESCAPE_BITS)
     flat[:n] = ids
     values[:, :block] = flat.reshape(blocks, block)
     # A width must leave its all-ones pattern free: bits of value + 1.
-    bits = np.frexp((values + U(1)).astype(np.float64))[1].astype(np.uint8)
+    bits = _BITS[np.minimum(values, U(len(_BITS) - 1)).astype(np.int32)] if escape_bits < 16 else np.frexp((values + U(1)).astype(np.float64))[1].astype(np.uint8)
     escaped = bits > escape_bits
     bits[escaped] = 1
-    most, fits = bits[:, :block].copy(), np.full((blocks, block), len(COUNTS) - 1, dtype=np.int8)
-    limit = dict(zip(COUNTS, WIDTHS))
-    for k in range(1, COUNTS[0] + 1):
-        if k > 1:
-            np.maximum(most, bits[:, k - 1 : k - 1 + block], out=most)
-        if k in limit:
-            fits[most <= limit[k]] = COUNTS.index(k)
+    # Widest id among the next k, for every k of a selector, out of those for powers of two.
+    doubled = {1: bits}
+    while 2 * max(doubled) <= COUNTS[0]:
+        k = max(doubled)
+        doubled[2 * k] = np.maximum(doubled[k][:, :-k], doubled[k][:, k:])
+    fits = np.full((blocks, block), len(COUNTS) - 1, dtype=np.int8)
+    for s in range(len(COUNTS) - 2, -1, -1):
+        k = COUNTS[s]
+        part = doubled[1 << (k.bit_length() - 1)]
+        shift = k - (1 << (k.bit_length() - 1))
+        most = np.maximum(part[:, :block], part[:, shift : shift + block]) if shift else part[:, :block]
+        np.copyto(fits, s, where=most <= WIDTHS[s])
     length = np.full(blocks, block, dtype=np.int64)
     if blocks:
         length[-1] = n - (blocks - 1) * block
@@ -52,14 +59,14 @@ def encode(ids: np.ndarray, block: int = BLOCK, escape_bits: int = ESCAPE_BITS)
         at[live] += step[pick]
         live = live[at[live] < length[live]]
     b, p, pick = (np.concatenate(x) for x in zip(*words)) if words else (np.empty(0, dtype=np.int64),) * 3
-    order = np.lexsort((p, b))
+    order = np.argsort(b * block + p)
     b, p, pick = b[order], p[order], pick[order]
     out = pick.astype(np.uint64) << U(60)
+    slots, at = np.where(escaped, U((1 << 64) - 1), values).ravel(), b * values.shape[1] + p
     for s, (k, width) in enumerate(zip(COUNTS, WIDTHS)):
         mine = np.flatnonzero(pick == s)
         if len(mine):
-            row, col = b[mine][:, None], p[mine][:, None] + np.arange(k)
-            slot = np.where(escaped[row, col], U((1 << width) - 1), values[row, col])
+            slot = slots[at[mine][:, None] + np.arange(k)] & U((1 << width) - 1)
             out[mine] |= np.bitwise_or.reduce(slot << (np.arange(k, dtype=np.uint64) * U(width)), axis=1)
     first_word = np.searchsorted(b, np.arange(blocks + 1))
     first_escape = np.concatenate([[0], np.cumsum(escaped[:, :block].sum(axis=1))])
