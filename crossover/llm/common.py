@@ -41,9 +41,21 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(key_id().alias("id"), F.xxhash64("text").alias("v"), F.col("text").cast("string").alias("text"))
 
 
-def with_key(docs: DataFrame) -> DataFrame:
-    """All columns, with the key as ``__id`` and ``__v``."""
-    return docs.withColumns({"__id": key_id(), "__v": F.xxhash64("text")})
+def free_name(columns: Iterable[str], name: str = "__key") -> str:
+    """``name``, or as much more of it as no column is called (whatever the case of its letters)."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` under the names c0, c1, ..., as Arrow functions over whole rows cannot take a name with a dot; ``toDF`` gives names back."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def key_struct() -> Column:
+    return F.struct(key_id().alias("id"), F.xxhash64("text").alias("v"))
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:

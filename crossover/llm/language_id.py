@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossover.llm.common import CACHES, batch, id_back, key_id, keyed, mapped
+from crossover.llm.common import CACHES, batch, id_back, keyed, mapped, numbered
 
 SAMPLE_ROWS = 64
 DICTIONARY_BYTES = 32 << 10
@@ -42,14 +42,18 @@ def held_out(name: str = "doc_id", folds: int = 5) -> Column:
 
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """A dictionary for each label. The sample is at most ``rows`` rows of a label, whatever the size of the table."""
-    known = labelled.where("lang is not null and text is not null").select("lang", key_id().alias("id"), F.xxhash64("text").alias("v"), "text")
-    if len(known.select("lang").distinct().limit(MAX_LABELS + 1).collect()) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
-    # At most ``rows`` keys for each of at most MAX_LABELS labels, hence the broadcast.
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id", "v"), "id", "v")
-    chosen = known.select("lang", "id", "v").withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows)
-    picked = known.join(F.broadcast(chosen), ["lang", "id", "v"])
+    """A dictionary for each label (of the MAX_LABELS commonest ones, ties by name).
+
+    The sample is at most ``rows`` different texts of a label, the first by a hash, whatever the size of the table, and of each text at most
+    its first ``size // rows * 8`` characters; prediction reads whole texts.
+    """
+    known = labelled.where("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("v"), "text")
+    # At most MAX_LABELS labels, and ``rows`` hashes of each, hence the broadcasts.
+    labels = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LABELS).select("lang")
+    order = Window.partitionBy("lang").orderBy("v")
+    texts = known.select("lang", "v").distinct().join(F.broadcast(labels), "lang", "left_semi")
+    chosen = texts.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows)
+    picked = known.join(F.broadcast(chosen), ["lang", "v"])
     parts: dict[str, list[tuple[int, str]]] = {}
     for r in picked.select("lang", "n", F.substring("text", 1, size // rows * 8).alias("t")).distinct().collect():
         parts.setdefault(r.lang, []).append((r.n, r.t))
@@ -116,13 +120,16 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
-    """``docs`` without the rows that are rejected, judged where they lie; nothing is shuffled."""
+    """``docs`` without the rows that are rejected, judged where they lie; nothing is shuffled. Without any label to learn from all stay."""
     dictionaries = fit(docs.where(~held_out()))
+    if not dictionaries:
+        return docs
     key = hash(tuple(sorted(dictionaries.items())))
 
+    text = docs.columns.index("text")
+
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         model = _MODELS.get(key) or _MODELS.setdefault(key, Model(dictionaries))
-        texts = b.column(b.schema.get_field_index("text")).to_pylist()
-        return b.filter(pa.array([model.judge(t)[2] >= margin for t in texts], pa.bool_()))
+        return b.filter(pa.array([model.judge(t)[2] >= margin for t in b.column(text).to_pylist()], pa.bool_()))
 
-    return mapped(docs, run, docs.schema)
+    return mapped(numbered(docs), run, numbered(docs).schema, column=f"c{text}").toDF(*docs.columns)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossover.llm.common import batch, chunks, id_back, ints, keyed, mapped, texts_of, tidy, with_key
+from crossover.llm.common import batch, chunks, free_name, id_back, ints, key_struct, keyed, mapped, numbered, texts_of, tidy
 from crossover.llm.words import LOWER
 
 MIN_CHARS = 20
@@ -161,13 +161,16 @@ def line_report(docs: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame) -> DataFrame:
     """``docs`` with what is left of each text and its new n_chars; a NULL text stays NULL, other columns stay as they are."""
     columns = docs.columns
-    maps = bitmaps(docs).select(F.col("id").alias("__id"), F.col("v").alias("__v"), F.col("dropped").alias("__dropped"))
-    joined = with_key(docs).join(maps, ["__id", "__v"], "left")
+    key = free_name(columns)
+    lost = free_name([*columns, key], "__dropped")
+    maps = bitmaps(docs).select(F.struct("id", "v").alias(key), F.col("dropped").alias(lost))
+    joined = docs.withColumn(key, key_struct()).join(maps, key, "left").select(*[F.col(f"`{c}`") for c in columns], lost)
+
+    text = columns.index("text")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        at = {n: b.schema.get_field_index(n) for n in ("text", "__dropped")}
-        new = [None if t is None else t if d is None else cut(t.encode(), d)[2].decode() for t, d in zip(b.column(at["text"]).to_pylist(), b.column(at["__dropped"]).to_pylist())]
-        return pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if n == "text" else b.column(b.schema.get_field_index(n)) for n in columns], names=columns)
+        new = [None if t is None else t if d is None else cut(t.encode(), d)[2].decode() for t, d in zip(b.column(text).to_pylist(), b.column(len(columns)).to_pylist())]
+        return pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == text else b.column(i) for i in range(len(columns))], names=[f"c{i}" for i in range(len(columns))])
 
-    out = mapped(joined.select(*columns, "__dropped"), run, docs.schema)
+    out = mapped(numbered(joined), run, numbered(docs).schema, column=f"c{text}").toDF(*columns)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
