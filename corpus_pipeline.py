@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossover.llm import decontaminate, language_id, line_dedup, minhash, packing
-from crossover.llm.common import read, ship, with_key
+from crossover.llm.common import free_name, key_struct, read, ship
 from crossover.session import run_folder
 
 
@@ -24,14 +24,15 @@ def _stage(fn):
 
 def _without(docs: DataFrame, gone: DataFrame, once: bool = False) -> DataFrame:
     """``docs`` less the rows with a key (id, v) of ``gone``; ``once`` also leaves out a kept document's repeated rows."""
-    keys = gone.select(F.col("id").alias("__id"), F.col("v").alias("__v")).distinct()
-    kept = with_key(docs).join(keys, ["__id", "__v"], "left_anti")
-    return (kept.dropDuplicates(["__id", "__v"]) if once else kept).select(*docs.columns)
+    key = free_name(docs.columns)
+    keys = gone.select(F.struct("id", "v").alias(key)).distinct()
+    kept = docs.withColumn(key, key_struct()).join(keys, key, "left_anti")
+    return (kept.dropDuplicates([key]) if once else kept).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @_stage
 def known_language(spark, docs, sf_dir):
-    """Documents whose language is not clear go."""
+    """Documents whose language is not clear go; without a labelled document to learn from all stay."""
     return language_id.accepted(docs)
 
 
