@@ -156,7 +156,7 @@ def _narrows(have: T.DataType, want: T.DataType) -> bool:
     return isinstance(have, (T.TimestampType, T.TimestampNTZType)) and isinstance(want, T.DateType)
 
 
-def _problem(df: DataFrame, f: Field) -> tuple[Column, Column]:
+def problem(df: DataFrame, f: Field) -> tuple[Column, Column]:
     """The converted value and the reason it is rejected, NULL when it is fine."""
     src = F.col(f"`{f.name}`")
     out = src.try_cast(f.type)
@@ -167,6 +167,9 @@ def _problem(df: DataFrame, f: Field) -> tuple[Column, Column]:
         whole = f.type.precision - f.type.scale
         wide = T.DecimalType(38, 38 - whole)
         checks = checks.when(out.isNotNull() & (src.try_cast(wide) != out.cast(wide)), "loses_digits")
+    elif isinstance(df.schema[f.name].dataType, T.IntegralType) and isinstance(f.type, (T.DoubleType, T.FloatType)):
+        # The cast back saturates at the largest number; halves stay within range and are exact.
+        checks = checks.when(out.isNotNull() & ((out.cast("double") / 2 >= 2.0**62) | ~out.try_cast(df.schema[f.name].dataType).eqNullSafe(src)), "loses_digits")
     elif _narrows(df.schema[f.name].dataType, f.type):
         checks = checks.when(out.isNotNull() & (out.cast(df.schema[f.name].dataType) != src), "loses_digits")
     if f.second_digits is not None and f.second_digits < 6:
@@ -193,7 +196,7 @@ def conform(df: DataFrame, fields: list[Field]) -> tuple[DataFrame, DataFrame]:
     Rejects have the source row's columns plus the column at fault, the value and the reason, one row per bad value.
     Casts never abort the job.
     """
-    tested = {f.name: _problem(df, f) for f in fields}
+    tested = {f.name: problem(df, f) for f in fields}
     faults = [F.when(bad.isNotNull(), F.struct(F.lit(n).alias("column_name"), F.col(f"`{n}`").cast("string").alias("value"), bad.alias("reason")))
               for n, (_, bad) in tested.items()]
     fits = reduce(lambda a, b: a & b, [bad.isNull() for _, bad in tested.values()])

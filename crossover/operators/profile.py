@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from crossover.functions.constants import MYSQL_LOB_TYPES
 from crossover.operators.inventory import PAGE_KB, base_tables
+from crossover.operators.sketches import overflow
 
 MB = 1024 * 1024
 
@@ -89,7 +90,7 @@ def column_profile(df: DataFrame, distinct: str | None = "approx", target: dict[
     """Rows, NULLs, distinct values, least and greatest value and length per column, in one pass.
 
     ``distinct`` is ``approx`` (a sketch), ``exact`` or None. ``target`` names a target type per column; values out of
-    its range are counted. An exact count groups (column, value) pairs, so that no single task holds a whole column.
+    its range, or that it would change, are counted. An exact count groups (column, value) pairs, so that no single task holds a whole column.
     """
     target = target or {}
     aggs, items = [F.count(F.lit(1)).alias("_rows")], []
@@ -116,7 +117,8 @@ def column_profile(df: DataFrame, distinct: str | None = "approx", target: dict[
         aggs.append((F.max(F.length(c)) if text else F.lit(None).cast("int")).alias(f"{n}__len"))
         cells.append(F.col(f"`{n}__len`").alias("max_length"))
         low, high = TYPE_RANGE.get(target.get(n, "").lower(), (None, None))
-        over = F.count_if(~c.between(low, high)) if low is not None and number else F.lit(0).cast("long")
+        # The three ranges are for numbers; all other targets count what conform would reject.
+        over = F.count_if(~c.between(low, high)) if low is not None and number else overflow(df, n, target[n]) if n in target and low is None else F.lit(0).cast("long")
         aggs.append(over.alias(f"{n}__over"))
         cells.append(F.col(f"`{n}__over`").alias("overflow_count"))
         items.append((n, cells))

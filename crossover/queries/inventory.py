@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from crossover.operators import inventory as inv
 from crossover.operators import profile as prof
+from crossover.operators import sketches as sk
 from crossover.queries.registry import query
+from crossover.session import run_folder
 
 
 def arrays_as_text(df, *names):
@@ -313,10 +315,50 @@ def column_profile_approx(f):
     return sketched.join(exact.select("table_name", "column_name", "exact"), ["table_name", "column_name"]).select("table_name", "column_name", "row_count", near.alias("near"))
 
 
-@query("column_profile_full")
+EVERY_COLUMN = {"lineitem": {"i": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], "f": ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "s": ["l_returnflag", "l_linestatus"],
+                             "t": ["l_shipdate"]},
+                "documents": {"i": ["doc_id", "n_chars"], "s": ["text", "lang", "source"]}, "pages": {"i": ["page_id"], "s": ["url", "html"]}}
+
+
+def _every_column(select):
+    return " UNION ALL ".join(select(t, c, kind) for t, kinds in EVERY_COLUMN.items() for kind, columns in kinds.items() for c in columns)
+
+
+def _full_sql(t, c, kind):
+    number = f"min({c})::double, max({c})::double" if kind in "if" else "NULL::double, NULL::double"
+    text = f"min({c}), max({c})" if kind == "s" else "NULL::varchar, NULL::varchar"
+    value = f"min({c})::varchar, max({c})::varchar" if kind in "it" else "NULL::varchar, NULL::varchar"
+    return f"""SELECT '{t}', '{c}', count(*), count(*) FILTER ({c} IS NULL), {number}, {text}, {value}, {f'max(length({c}))::int' if kind == 's' else 'NULL::int'}, 0::bigint, count(DISTINCT {c}), true FROM {t}"""
+
+
+@query("column_profile_full", sql=f"""WITH p(table_name, column_name, row_count, null_count, min_number, max_number, min_text, max_text, min_value, max_value, max_length, overflow_count, exact_count, near)
+AS ({_every_column(_full_sql)}) SELECT * FROM p""")
 def column_profile_full(f):
     """The whole profile of every column, with the exact distinct count and whether the sketch lies within a sixth of it."""
     tables = {n: f[n] for n in APPROX}
     exact = prof.profile_tables(tables, distinct="exact").select("table_name", "column_name", F.col("distinct_count").alias("exact_count"))
     near = F.abs(F.col("distinct_count") - F.col("exact_count")) * 6 <= F.col("exact_count")
-    return prof.profile_tables(tables).join(exact, ["table_name", "column_name"]).withColumn("near", near)
+    return prof.profile_tables(tables).join(exact, ["table_name", "column_name"]).withColumn("near", near).drop("distinct_count")
+
+
+def _merged_sql(t, c, kind):
+    value = f"min({c})::varchar, max({c})::varchar" if kind in "its" else "NULL::varchar, NULL::varchar"
+    over = {"l_partkey": "count(*) FILTER (l_partkey > 255)", "l_returnflag": "0::bigint", "url": "count(*) FILTER (length(url) > 20)"}.get(c, "0::bigint")
+    return f"SELECT '{t}', '{c}', count(*), count(*) FILTER ({c} IS NULL), {value}, {f'max(length({c}))::int' if kind == 's' else 'NULL::int'}, {over}, true FROM {t}"
+
+
+@query("column_profile_merged", sql=f"""WITH p(table_name, column_name, row_count, null_count, min_value, max_value, max_length, overflow_count, near)
+AS ({_every_column(_merged_sql)}) SELECT * FROM p""")
+def column_profile_merged(f):
+    """Profiles out of the stored sketches of four shards a table; a shard that is stored again replaces itself. The distinct count lies within
+    a tenth of the exact one."""
+    path, targets = run_folder(f.spark, "sketches"), {"lineitem": {"l_partkey": "tinyint unsigned", "l_returnflag": "varchar(1)"}, "documents": {}, "pages": {"url": "varchar(20)"}}
+    for t, key in (("lineitem", "l_orderkey"), ("documents", "doc_id"), ("pages", "page_id")):
+        for shard in (0, 1, 2, 3, 2):
+            sk.store_shard(f[t].where(F.col(key) % 4 == shard), path, t, str(shard), targets[t])
+    merged = sk.stored_profile(f.spark, path, list(targets))
+    exact = prof.profile_tables({t: f[t] for t in targets}, distinct="exact").select("table_name", "column_name", F.col("distinct_count").alias("exact"))
+    plain = F.col("kind") != "double"
+    return merged.join(exact, ["table_name", "column_name"]).select(
+        "table_name", "column_name", "row_count", "null_count", F.when(plain, F.col("min_value")).alias("min_value"), F.when(plain, F.col("max_value")).alias("max_value"), "max_length",
+        "overflow_count", (F.abs(F.col("distinct_count") - F.col("exact")) * 10 <= F.col("exact")).alias("near"))

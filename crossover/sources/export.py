@@ -56,19 +56,16 @@ def export_csv(df: DataFrame, path: str, max_bytes: int = MAX_IMPORT_BYTES, mode
     row that no file can hold ends the export.
     """
     ship(df.sparkSession)
-    file = "file"
-    while file in df.columns:
-        file += "_"
-
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used = number = 0
         for b in batches:
             out, used, number = file_numbers(b.column(b.num_columns - 1).to_numpy().astype(np.int64), used, number, max_bytes)
-            yield b.set_column(b.num_columns - 1, file, pa.array(out))
+            yield b.set_column(b.num_columns - 1, "file", pa.array(out))
 
-    sized = df.select(*[F.col(f"`{c}`") for c in df.columns], (F.octet_length(_line(df)) + 1).alias(file))
-    numbered = sized.mapInArrow(cut, T.StructType([*df.schema, T.StructField(file, T.LongType())]))
-    numbered.write.mode(mode).options(**CSV_OPTIONS).partitionBy(file).csv(path)
+    names = [f"c{i}" for i in range(len(df.columns))]  # files carry none
+    sized = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)], (F.octet_length(_line(df)) + 1).alias("file"))
+    schema = T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(names, df.schema)), T.StructField("file", T.LongType())])
+    sized.mapInArrow(cut, schema).write.mode(mode).options(**CSV_OPTIONS).partitionBy("file").csv(path)
 
 
 def read_export(spark, path: str, schema) -> DataFrame:

@@ -48,7 +48,7 @@ def test_export_limits_and_round_trip(spark, tmp_path):
     with pytest.raises(ValueError):
         ex.rows_per_file(df, 50)
     # a row may be as long as a file, and no column name is taken
-    odd = spark.createDataFrame([(1, "f", "p", 7, "x" * 40)], "id int, file string, part string, _size int, _row string")
+    odd = spark.createDataFrame([(1, "f", "p", 7, "x" * 40)], "id int, file string, part string, _size int, `_row.x` string")
     ex.export_csv(odd, str(tmp_path / "odd"), max_bytes=60)
     assert rows(ex.read_export(spark, str(tmp_path / "odd"), odd.schema)) == rows(odd)
 
