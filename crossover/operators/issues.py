@@ -273,6 +273,13 @@ def rule_counts(issues: DataFrame, query_hits: DataFrame | None = None) -> DataF
     return counts.join(rules, "rule").select("source_id", "rule", "severity", "feature", "finding_count")
 
 
+def rule_counts_mssql(issues: DataFrame) -> DataFrame:
+    """Findings per source and rule of the SQL Server catalogue, with the rule's severity and text."""
+    counts = issues.groupBy("source_id", F.col("type").alias("rule")).agg(F.count(F.lit(1)).alias("finding_count"))
+    rules = rule_catalogue(issues.sparkSession, "mssql").withColumnRenamed("text", "feature")
+    return counts.join(rules, "rule").select("source_id", "rule", "severity", "feature", "finding_count")
+
+
 def rule_catalogue(spark, dialect: str) -> DataFrame:
     if dialect == "mysql":
         rows = [(rid, sev, feature) for rid, (sev, feature) in MYSQL_RULES.items()]

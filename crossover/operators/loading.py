@@ -37,12 +37,16 @@ def latest(manifest: DataFrame) -> DataFrame:
 
 
 def of_run(manifest: DataFrame, token: str | None) -> DataFrame:
-    """Entries of one run. A shard number means something only within the plan it was made for."""
-    return manifest if token is None else manifest.where(F.col("run_token") == token)
+    """Entries of one run; without ``token`` of the run that wrote to a table last, table by table. A shard number means something only within
+    the plan it was made for."""
+    if token is not None:
+        return manifest.where(F.col("run_token") == token)
+    last = manifest.groupBy("table_name").agg(F.max_by("run_token", "recorded_at").alias("run_token"))
+    return manifest.join(last, ["table_name", "run_token"], "left_semi")
 
 
 def pending(plan: DataFrame, manifest: DataFrame, token: str | None = None) -> DataFrame:
-    """Shards of ``plan`` that the run ``token`` has not done; only a manifest of one run may go without."""
+    """Shards of ``plan`` that the run ``token`` (or the last one) has not done."""
     manifest = of_run(manifest, token)
     return plan.join(latest(manifest).where("status = 'done'").select(*KEY), KEY, "left_anti")
 
@@ -86,9 +90,6 @@ def run_load(spark: SparkSession, shards: list[tuple[str, int]], copy: Callable[
 
 def load_audit(source_counts: DataFrame, manifest: DataFrame, token: str | None = None) -> DataFrame:
     """Rows of the source against rows written by one run, per table; without ``token`` by the run that wrote to the table last."""
-    if token is None:
-        last = manifest.groupBy("table_name").agg(F.max_by("run_token", "recorded_at").alias("run_token"))
-        manifest = manifest.join(last, ["table_name", "run_token"], "left_semi")
     written = latest(of_run(manifest, token)).where("status = 'done'").groupBy("table_name").agg(F.sum("row_count").alias("written_rows"))
     return source_counts.join(written, "table_name", "left").select(
         "table_name", F.col("row_count").alias("source_rows"), F.coalesce("written_rows", F.lit(0)).alias("written_rows"),

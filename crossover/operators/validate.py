@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crossover.functions.comparing import comparable
-from crossover.functions.hashing import checksum_aggregates, row_hash
+from crossover.functions.hashing import checksum_aggregates, row_digest, row_hash
 from crossover.functions.text import rows_of
 
 SUMMARY_SCHEMA = ("table_name string, source_rows bigint, target_rows bigint, rows_matching bigint, rows_missing bigint, rows_mismatched bigint, "
@@ -117,11 +117,11 @@ def compare_columns(
 
 # ---- keyed row diff -----------------------------------------------------------------------------------------------
 
-def _sides(source: DataFrame, target: DataFrame, keys: list[str], columns: list[str] | None, trim: bool) -> DataFrame:
+def _sides(source: DataFrame, target: DataFrame, keys: list[str], columns: list[str] | None, trim: bool, digest: bool = False) -> DataFrame:
     source, target, cols = comparable(source, target, keys, columns, trim)
 
     def cut(df: DataFrame, s: int, t: int) -> DataFrame:
-        return df.select(*keys, row_hash(df, cols, trim=False).alias("_hash"),
+        return df.select(*keys, (row_digest if digest else row_hash)(df, cols, trim=False).alias("_hash"),
                          F.lit(s).cast("long").alias("_s"), F.lit(t).cast("long").alias("_t"))
 
     return cut(source, 1, 0).unionByName(cut(target, 0, 1))
@@ -140,8 +140,8 @@ def _named(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(c).alias(names.get(c, c)) for c in df.columns])
 
 
-def _row_groups(source, target, keys, columns, trim) -> DataFrame:
-    return (_sides(source, target, keys, columns, trim).groupBy(*keys, "_hash")
+def _row_groups(source, target, keys, columns, trim, digest: bool = False) -> DataFrame:
+    return (_sides(source, target, keys, columns, trim, digest).groupBy(*keys, "_hash")
             .agg(F.sum("_s").alias("_s"), F.sum("_t").alias("_t")))
 
 
@@ -156,11 +156,14 @@ def _key_classes(groups: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def diff_rows(
-    source: DataFrame, target: DataFrame, keys: list[str], columns: list[str] | None = None, trim: bool = True
+    source: DataFrame, target: DataFrame, keys: list[str], columns: list[str] | None = None, trim: bool = True, digest: bool = False
 ) -> DataFrame:
-    """Every key with a difference: status and number of rows. A unique key has one status and one row."""
+    """Every key with a difference: status and number of rows. A unique key has one status and one row.
+
+    ``digest`` compares SHA-256 digests of rows in place of 64-bit hashes: four times the shuffle, for proof rather than for finding errors.
+    """
     source, target, keys, columns, names = _coded(source, target, keys, columns, trim)
-    classes = _key_classes(_row_groups(source, target, keys, columns, False), keys)
+    classes = _key_classes(_row_groups(source, target, keys, columns, False, digest), keys)
 
     def case(status: str) -> Column:
         n = F.col(f"rows_{status}")

@@ -1,5 +1,7 @@
 """Queries on sources, sinks and bulk load. Written data goes to the shared folder."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from crossover.operators import inventory as inv
@@ -48,7 +50,50 @@ def read_report(f):
         F.collect_list(F.struct("schema_name", "table_name", "column_name", "ordinal_position", "data_type", "is_nullable")).alias("columns"))
     docs = c.select(F.to_json(F.struct(F.struct(F.col("source_id").alias("host")).alias("source"), F.struct("columns").alias("schema_inventory"))).alias("value"))
     docs.write.text(path)
-    return lg.read_report(f.spark, path, multiline=False)["columns"]
+    return lg.read_report(f.spark, path, multiline=False)["columns"].select("source_id", "schema_name", "table_name", "column_name", "ordinal_position", "data_type", "is_nullable")
+
+
+@query("read_report_sections", "cat_fk_columns", "cat_modules", "cat_partitions", "cat_columns", sql="""
+SELECT source_id, 'foreign_keys' AS section, schema_name AS a, fk_name AS b, ref_table AS c, count(*) AS n, sum(ordinal_position)::bigint AS m FROM cat_fk_columns GROUP BY ALL
+UNION ALL SELECT source_id, 'partitions', NULL, partition_method, partition_name, count(*), NULL FROM cat_partitions GROUP BY ALL
+UNION ALL SELECT source_id, 'modules', kind, routine_type, event_table, count(*), sum(length(definition))::bigint FROM cat_modules GROUP BY ALL
+UNION ALL SELECT source_id, 'columns', data_type, NULL, NULL, count(*), count(*) FILTER (is_nullable) FROM cat_columns GROUP BY ALL
+UNION ALL SELECT source_id, 'charset_usage', NULL, NULL, collation_name, count(*), NULL FROM cat_columns WHERE collation_name IS NOT NULL GROUP BY ALL""")
+def read_report_sections(f):
+    """One report a source, written as JSON with all sections and read back."""
+    path = run_folder(f.spark, "report")
+
+    def section(name, df, *fields):
+        return df.groupBy("source_id").agg(F.collect_list(F.struct(*fields)).alias(name))
+
+    m = f["cat_modules"]
+    named = [F.col("schema_name").alias("table_schema"), F.col("name").alias("table_name")]
+    parts = [
+        section("foreign_keys", f["cat_fk_columns"], F.col("schema_name").alias("constraint_schema"), "table_name", F.col("fk_name").alias("constraint_name"),
+                F.col("ref_table").alias("referenced_table_name"), F.array_join(F.array_repeat("column_name", F.col("ordinal_position")), ", ").alias("columns"), F.col("ref_column").alias("ref_columns")),
+        section("partitions", f["cat_partitions"], "table_name", "partition_name", "partition_method"),
+        section("routines", m.where("kind = 'routine'"), F.col("schema_name").alias("routine_schema"), F.col("name").alias("routine_name"), "routine_type", F.col("definition").alias("routine_definition")),
+        section("views", m.where("kind = 'view'"), *named, F.col("definition").alias("view_definition")),
+        section("triggers", m.where("kind = 'trigger'"), F.col("schema_name").alias("trigger_schema"), F.col("name").alias("trigger_name"), "event_manipulation",
+                F.col("event_table").alias("event_object_table"), F.col("definition").alias("action_statement"), "action_timing"),
+        section("columns", f["cat_columns"], "schema_name", "table_name", "column_name", "data_type", F.when(F.col("is_nullable"), "YES").otherwise("NO").alias("is_nullable")),
+        section("charset_usage", f["cat_columns"].where("collation_name is not null").groupBy("source_id", "collation_name").agg(F.count("*").alias("column_count")),
+                "collation_name", "column_count"),
+    ]
+    docs = reduce(lambda a, b: a.join(b, "source_id", "full_outer"), parts)
+    inventory = F.struct(*[c for c in docs.columns if c != "source_id"]).alias("schema_inventory")
+    docs.select(F.to_json(F.struct(F.struct(F.col("source_id").alias("host")).alias("source"), inventory)).alias("value")).write.text(path)
+    r, none = lg.read_report(f.spark, path, multiline=False), F.lit(None).cast("string")
+
+    def told(name, a, b, c, m=F.lit(None).cast("bigint")):
+        return r[name].groupBy("source_id", F.lit(name).alias("section"), a.alias("a"), b.alias("b"), c.alias("c")).agg(F.count("*").alias("n"), m.alias("m"))
+
+    charsets = r["charset_usage"].select("source_id", F.lit("charset_usage").alias("section"), none.alias("a"), none.alias("b"), F.col("collation_name").alias("c"), F.col("column_count").alias("n"),
+                                         F.lit(None).cast("bigint").alias("m"))
+    return (told("foreign_keys", F.col("schema_name"), F.col("fk_name"), F.col("ref_table"), F.sum(F.size("columns")))
+            .unionByName(told("partitions", none, F.col("partition_method"), F.col("partition_name")))
+            .unionByName(told("modules", F.col("kind"), F.col("routine_type"), F.col("event_table"), F.sum(F.char_length("definition"))))
+            .unionByName(told("columns", F.col("data_type"), none, none, F.count_if("is_nullable"))).unionByName(charsets))
 
 
 @query("read_run_log", "run_events", sql="""SELECT phase, step, outcome, count(*) AS events, sum(duration_ms)::bigint AS total_ms, sum(overall_score)::bigint AS overall_score,

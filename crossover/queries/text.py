@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from crossover.functions.constants import FEATURE_TO_RULE, FUNCTION_MAP, FUNCTIONS_TO_REDESIGN, MSSQL_BLOCKERS, MYSQL_RULES, MYSQL_QUERY_RULES, MYSQL_QUERY_RULES_STRICT, TSQL_PATTERNS
+from crossover.functions.constants import FEATURE_TO_RULE, FUNCTION_MAP, FUNCTIONS_TO_REDESIGN, MSSQL_BLOCKERS, MSSQL_WARNINGS, MYSQL_RULES, MYSQL_QUERY_RULES, MYSQL_QUERY_RULES_STRICT, TSQL_PATTERNS
 from crossover.functions.text import lookup
 from crossover.operators import features as feat
 from crossover.operators import inventory as inv
@@ -19,7 +19,7 @@ def n_matches(pattern, text="definition"):
 
 
 def case_of(mapping, column):
-    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items()) + " END"
+    return f"CASE {column} " + " ".join("WHEN '{}' THEN '{}'".format(k, str(v).replace("'", "''")) for k, v in mapping.items()) + " END"
 
 
 # Offsets from the pieces between matches, as running sums of lengths.
@@ -321,6 +321,13 @@ def rule_counts(f):
     return iss.rule_counts(mysql_issues(f), feat.query_issues(f["query_log"]))
 
 
+@query("rule_counts_mssql", *MSSQL_FRAMES, sql=f"""WITH {MSSQL_ISSUES}, known AS (SELECT source_id, type AS rule,
+  {case_of({r: "blocker" for r in MSSQL_BLOCKERS} | {r: "warning" for r in MSSQL_WARNINGS}, "type")} AS severity, {case_of(MSSQL_BLOCKERS | MSSQL_WARNINGS, "type")} AS feature FROM issues)
+SELECT source_id, rule, severity, feature, count(*) AS finding_count FROM known WHERE severity IS NOT NULL GROUP BY ALL""")
+def rule_counts_mssql(f):
+    return iss.rule_counts_mssql(mssql_issues(f))
+
+
 @query("compatible_features", *MSSQL_FRAMES, sql=f"""WITH {MSSQL_ISSUES},
 fam AS (SELECT source_id, CASE WHEN data_type IN ('bigint', 'tinyint') THEN 'integer types' WHEN data_type = 'decimal' THEN 'decimal types'
   WHEN data_type IN ('nvarchar', 'varchar') THEN 'character types' WHEN data_type = 'datetime2' THEN 'date and time types'

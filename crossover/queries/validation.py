@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from crossover.functions.comparing import comparable
+from crossover.operators import ranges as rg
 from crossover.operators import validate as v
 from crossover.plans import runs
 from crossover.plans.check import check, run_check
@@ -117,6 +118,28 @@ def diff_rows(f):
     return v.diff_rows(f["orders"], f["orders_tgt"], ["o_orderkey"])
 
 
+@query("diff_rows_digest", "orders_tgt", sql=f"""WITH {ORDER_PAIRS}
+SELECT o_orderkey, status, 1::bigint AS row_count FROM pairs WHERE status <> 'matched'""")
+def diff_rows_digest(f):
+    return v.diff_rows(f["orders"], f["orders_tgt"], ["o_orderkey"], digest=True)
+
+
+@query("diff_ranges", "orders_tgt", sql=f"""WITH {ORDER_PAIRS}
+SELECT o_orderkey, status, 1::bigint AS row_count FROM pairs WHERE status <> 'matched'""")
+def diff_ranges(f):
+    """By key ranges, refined twice at this size."""
+    return rg.diff_ranges(f["orders"], f["orders_tgt"], ["o_orderkey"], fan=8, leaf_rows=2000).rows
+
+
+@query("diff_ranges_composite", "lineitem_tgt", sql="""
+WITH s AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem WHERE l_orderkey % 50 <> 7 OR l_orderkey > 300 GROUP BY 1, 2), t AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2)
+SELECT l_orderkey, l_linenumber, 'extraneous' AS status, t.n - coalesce(s.n, 0) AS row_count FROM t LEFT JOIN s USING (l_orderkey, l_linenumber) WHERE t.n <> coalesce(s.n, 0)""")
+def diff_ranges_composite(f):
+    """Damage in one corner of the key: the second level reads little."""
+    lost = f["lineitem"].where("l_orderkey % 50 <> 7 or l_orderkey > 300")
+    return rg.diff_ranges(lost, f["lineitem"], ["l_orderkey", "l_linenumber"], fan=16, leaf_rows=200).rows
+
+
 @query("diff_rows_repeated_keys", "lineitem_tgt", sql="""
 WITH u AS (SELECT *, 1 AS w FROM lineitem UNION ALL SELECT *, -1 AS w FROM lineitem_tgt),
 g AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag,

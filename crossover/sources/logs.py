@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossover.sources.schemas import REPORT, RUN_EVENT, USAGE_LINE
+from crossover.sources.schemas import REPORT, REPORT_SECTIONS, RUN_EVENT, USAGE_LINE
 
 
 def _line_order() -> Column:
@@ -58,10 +60,37 @@ def bad_line_counts(log: DataFrame) -> DataFrame:
 
 
 def read_report(spark: SparkSession, path: str, multiline: bool = True) -> dict[str, DataFrame]:
-    """Scan reports as inventory frames. The source id is the host of the report."""
+    """Scan reports as inventory frames, one for each section, in the names of catalogs. The source id is the host of the report.
+
+    ``modules`` holds routines, triggers, views and events in the form that the text operators read.
+    """
     docs = spark.read.schema(REPORT).option("multiLine", multiline).json(path)
     base = docs.select(F.col("source.host").alias("source_id"), "summary", "schema_inventory")
-    frames = {n: base.select("source_id", F.inline(f"schema_inventory.{n}")) for n in ("tables", "columns", "indexes")}
-    frames["indexes"] = frames["indexes"].withColumn("columns", F.split("columns", r"\s*,\s*"))
+    frames = {n: base.select("source_id", F.inline(f"schema_inventory.{n}")) for n in REPORT_SECTIONS}
+    for n in ("tables", "columns", "indexes"):
+        frames[n] = frames[n].withColumn("schema_name", F.coalesce("schema_name", "table_schema")).drop("table_schema")
+    named = {"foreign_keys": {"constraint_schema": "schema_name", "constraint_name": "fk_name", "referenced_table_schema": "ref_schema", "referenced_table_name": "ref_table"},
+             "partitions": {"table_schema": "schema_name"}, "events": {"event_schema": "schema_name"}}
+    for n, names in named.items():
+        frames[n] = frames[n].withColumnsRenamed(names)
+    yes = F.upper("is_nullable").isin("YES", "TRUE", "1")
+    frames["columns"] = frames["columns"].withColumn("is_nullable", yes)
+    for n, lists in (("indexes", ["columns"]), ("foreign_keys", ["columns", "ref_columns"])):
+        frames[n] = frames[n].withColumns({c: F.split(c, r"\s*,\s*") for c in lists})
+    frames["modules"] = _modules(frames)
     frames["summary"] = base.select("source_id", "summary.*")
     return frames
+
+
+def _modules(frames: dict[str, DataFrame]) -> DataFrame:
+    empty = F.lit(None).cast("string")
+
+    def part(section: str, kind: str, schema: str, name: str, definition: str, routine_type: Column = empty, **more: str) -> DataFrame:
+        extra = [(F.col(more[c]) if c in more else empty).alias(c) for c in ("action_timing", "event_manipulation", "event_table")]
+        return frames[section].select("source_id", F.lit(kind).alias("kind"), F.col(schema).alias("schema_name"), F.col(name).alias("name"), routine_type.alias("routine_type"),
+                                      F.col(definition).alias("definition"), *extra)
+
+    parts = [part("routines", "routine", "routine_schema", "routine_name", "routine_definition", F.col("routine_type")), part("views", "view", "table_schema", "table_name", "view_definition"),
+             part("triggers", "trigger", "trigger_schema", "trigger_name", "action_statement", action_timing="action_timing", event_manipulation="event_manipulation", event_table="event_object_table"),
+             part("events", "event", "schema_name", "event_name", "event_definition")]
+    return reduce(DataFrame.unionByName, parts)
