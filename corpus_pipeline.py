@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossover.llm import decontaminate, language_id, line_dedup, minhash, packing
-from crossover.llm.common import free_name, key_struct, read, ship
+from crossover.llm.common import free_name, key_id, read, ship
 from crossover.session import run_folder
 
 
@@ -24,10 +24,11 @@ def _stage(fn):
 
 def _without(docs: DataFrame, gone: DataFrame, once: bool = False) -> DataFrame:
     """``docs`` less the rows with a key (id, v) of ``gone``; ``once`` also leaves out a kept document's repeated rows."""
-    key = free_name(docs.columns)
-    keys = gone.select(F.struct("id", "v").alias(key)).distinct()
-    kept = docs.withColumn(key, key_struct()).join(keys, key, "left_anti")
-    return (kept.dropDuplicates([key]) if once else kept).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Two plain columns rather than a struct, so that join and grouping share one shuffle.
+    i, v = (free_name(docs.columns, n) for n in ("__id", "__v"))
+    keys = gone.select(F.col("id").alias(i), F.col("v").alias(v)).distinct()
+    kept = docs.withColumns({i: key_id(), v: F.xxhash64("text")}).join(keys, [i, v], "left_anti")
+    return (kept.dropDuplicates([i, v]) if once else kept).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @_stage
