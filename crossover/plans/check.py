@@ -66,8 +66,9 @@ def check(
     trim: bool = True,
     fail_on_mismatch: bool = False,
     conditional: DataFrame | None = None,
+    strict: bool = False,
 ) -> CheckResult:
-    """Compare ``source`` and ``target`` table by table.
+    """Compare ``source`` and ``target`` table by table; ``strict`` also the order, nullability and defaults of columns.
 
     ``mapping`` gives the target name of a source table. A table without ``keys`` is compared as a bag of rows.
     """
@@ -86,7 +87,7 @@ def check(
 
     s_cols, t_cols = catalog(left), catalog(renamed)
     missing = v.compare_tables(s_cols.select("table_name").distinct(), t_cols.select("table_name").distinct(), ["table_name"])
-    columns = v.compare_columns(s_cols, t_cols, ["table_name"], conditional)
+    columns = v.compare_columns(s_cols, t_cols, ["table_name"], conditional, strict)
     if schema_only:
         result = CheckResult(missing, columns, None, None)
     else:
@@ -132,7 +133,7 @@ def run_check(source: dict[str, DataFrame], target: dict[str, DataFrame], keys:
     with ThreadPoolExecutor(concurrency) as pool:
         list(pool.map(one, [n for n in names if n not in done]))
     found = spark.read.schema(v.SUMMARY_SCHEMA).option("recursiveFileLookup", "true").parquet(run)
-    found = found.join(F.broadcast(spark.createDataFrame([(n,) for n in names], "table_name string")), "table_name", "left_semi")
+    found = found.join(spark.createDataFrame([(n,) for n in names], "table_name string"), "table_name", "left_semi")
     if fail_on_mismatch and not found.where("status <> 'verified'").isEmpty():
         raise CheckFailed("source and target differ")
     return found

@@ -112,7 +112,7 @@ def full_run(source: dict[str, DataFrame], target: dict[str, DataFrame], keys: d
             return v.columns_of(spark, tables)
         names_back = {**{n: n for n in tables}, **names_back}
         known = spark.createDataFrame([(a, b) for a, b in names_back.items() if b in tables] or [("", "")], "table_name string, known string")
-        return given.join(F.broadcast(known), "table_name").drop("table_name").withColumnRenamed("known", "table_name")  # as many rows as the run has tables
+        return given.join(known, "table_name").drop("table_name").withColumnRenamed("known", "table_name")
 
     s_cols, t_cols = catalog(source_columns, {n: source[n] for n in names}, {}), catalog(target_columns, renamed, back)
     missing = v.compare_tables(s_cols.select("table_name").distinct(), t_cols.select("table_name").distinct(), ["table_name"])

@@ -75,10 +75,15 @@ class BucketTable:
         out.write(bytearray(json.dumps(content).encode()))
         out.close()
 
-    def batches(self) -> list[int]:
-        """Batches that are complete and not in the newest version."""
+    def _known(self) -> dict:
         head = self.head()
-        through = head["through"] if head else -1
+        if head is None:
+            raise ValueError(f"no table below {self.path}; create it first")
+        return head
+
+    def batches(self, head: dict | None = None) -> list[int]:
+        """Batches that are complete and not in the version (the newest one)."""
+        through = (head or self._known())["through"]
         found = [int(n.partition("=")[2]) for n in self._names("sums") if n.startswith("batch_id=")]
         return sorted(n for n in found if n > through and self._files(f"sums/batch_id={n}/_SUCCESS")[1].exists(self._files(f"sums/batch_id={n}/_SUCCESS")[0]))
 
@@ -107,13 +112,16 @@ class BucketTable:
     def _folders(self, head: dict, among: list[int] | None = None) -> list[str]:
         return [f"{self.path}/{f}" for f in sorted(self._manifest(head, among).values())]
 
-    def stored(self, among: list[int] | None = None, before: int | None = None) -> DataFrame:
-        """Newest state of every key, deleted ones included, from the files of the asked buckets and the batches after the version."""
-        head = self.head()
+    def stored(self, among: list[int] | None = None, before: int | None = None, head: dict | None = None) -> DataFrame:
+        """Newest state of every key, deleted ones included, from the files of the asked buckets and the batches after the version.
+
+        One version is read throughout, whatever is folded meanwhile.
+        """
+        head = head or self._known()
         schema = self._schema(head)
         folders = self._folders(head, among)
         rows = self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
-        later = [f"{self.path}/batches/batch_id={n}" for n in self.batches() if before is None or n < before]
+        later = [f"{self.path}/batches/batch_id={n}" for n in self.batches(head) if before is None or n < before]
         if later:
             taken = self.spark.read.schema(schema).parquet(*later)
             rows = rows.select(schema.names).unionByName(taken if among is None else taken.where(F.col("bucket").isin(among)))
@@ -147,11 +155,12 @@ class BucketTable:
         Deleted keys stay, so that a late older change cannot bring one back; below position ``forget`` nothing comes any more, and
         they go.
         """
-        head, batches = self.head(), self.batches()
+        head = self._known()
+        batches = self.batches(head)
         if not batches:
             return 0
         touched = self._touched(batches)
-        rows = self.stored(touched, batches[-1] + 1)
+        rows = self.stored(touched, batches[-1] + 1, head)
         if forget is not None:
             rows = rows.where((F.col("op") != "D") | (F.col("seq") >= forget))
         token = uuid.uuid4().hex
@@ -169,7 +178,7 @@ class BucketTable:
 
     def take(self, batch: DataFrame, batch_id: int) -> None:
         """Keep a micro-batch and bring the checksums up to it. A batch that comes again replaces what it left, or is in a version already."""
-        head = self.head()
+        head = self._known()
         if batch_id <= head["through"]:
             return
         schema = self._schema(head)
@@ -177,7 +186,7 @@ class BucketTable:
         self._newest(self._shaped(batch)).select([F.col(f.name).cast(f.dataType) for f in schema]).write.mode("overwrite").parquet(folder)
         new = self.spark.read.schema(schema).parquet(folder).select("bucket", "key", "seq", "op", "hash")
         touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
-        old = self.stored(touched, batch_id).select("bucket", "key", *[F.col(c).alias(f"old_{c}") for c in ("seq", "op", "hash")])
+        old = self.stored(touched, batch_id, head).select("bucket", "key", *[F.col(c).alias(f"old_{c}") for c in ("seq", "op", "hash")])
         both = new.join(old, [new["bucket"] == old["bucket"], new["key"].eqNullSafe(old["key"])], "left").where("old_seq is null or old_seq < seq")
 
         def sums(live: Column, value: Column) -> list[Column]:
@@ -195,9 +204,9 @@ class BucketTable:
 
     def sums(self) -> DataFrame:
         """Checksum of each bucket's live rows, as of the last complete batch: a few numbers a bucket and batch are read, no rows."""
-        head = self.head()
+        head = self._known()
         parts = self.spark.read.parquet(f"{self.path}/manifests/{head['manifest']}").select("bucket", "row_count", "hash_xor", "hash_sum")
-        later = [f"{self.path}/sums/batch_id={n}" for n in self.batches()]
+        later = [f"{self.path}/sums/batch_id={n}" for n in self.batches(head)]
         if later:
             parts = parts.unionByName(self.spark.read.schema(SUMS).parquet(*later))
         return parts.groupBy("bucket").agg(F.sum("row_count").alias("row_count"), F.bit_xor("hash_xor").alias("hash_xor"), F.sum("hash_sum").cast("decimal(38,0)").alias("hash_sum"))

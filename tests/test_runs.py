@@ -26,6 +26,15 @@ def test_swapped_columns_are_found(spark, tmp_path):
     assert rows(only.findings.select("issue")) == [("missing_column",)] and only.summary is None and only.tables.count() == 0
 
 
+def test_strict_check(spark):
+    from crossover.plans.check import check
+
+    a, _ = tables(spark)
+    swapped = {"t": a.select("t", "id", "x")}
+    assert check({"t": a}, swapped, {"t": ["id"]}).passed()
+    assert rows(check({"t": a}, swapped, {"t": ["id"]}, strict=True).column_issues.select("column_name", "issue")) == [("id", "column_order"), ("t", "column_order")]
+
+
 def test_findings_samples_and_resuming(spark, tmp_path):
     a, b = tables(spark)
     sides = ({"x": a, "gone": a}, {"y": b, "more": b})

@@ -65,6 +65,22 @@ def test_two_folds_at_once(spark, tmp_path):
         t._publish(0, manifest="x", through=0, schema="")
 
 
+def test_absent_table(spark, tmp_path):
+    t = vs.BucketTable(spark, str(tmp_path / "none"), ["id"])
+    assert t.head() is None
+    with pytest.raises(ValueError):
+        t.current()
+
+
+def test_a_fold_meanwhile_changes_nothing(spark, tmp_path):
+    t = table(spark, tmp_path / "t")
+    t.take(spark.createDataFrame([(1, "x", 5, "U")], SCHEMA), 0)
+    head = t.head()
+    t.fold()
+    assert t.batches() == [] and t.batches(head) == [0]
+    assert t.stored(head=head).where("key.id = 1").first()["row"]["key"] == "x"
+
+
 def test_round_reads_differing_buckets(spark, tmp_path):
     a, b = table(spark, tmp_path / "a"), table(spark, tmp_path / "b")
     assert vs.differing(a, b) == [] and vs.check_round(a, b).count() == 0
