@@ -77,9 +77,10 @@ def ship(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="crossover-")) / "crossover_functions.zip"
+    path = Path(tempfile.mkdtemp(prefix="crossover-")) / "crossover_all.zip"
     with zipfile.ZipFile(path, "w") as z:
-        for f in (root / "crossover" / "__init__.py", *sorted((root / "crossover" / "functions").glob("*.py"))):
+        # Workers look here before any other place, so a part of the package would hide the rest.
+        for f in sorted((root / "crossover").rglob("*.py")):
             z.write(f, f.relative_to(root))
     spark.sparkContext.addPyFile(str(path))
     _SHIPPED.add(app)

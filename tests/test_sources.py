@@ -2,6 +2,9 @@
 
 import glob
 import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +67,18 @@ def test_export_with_one_long_row(spark, tmp_path):
         ex.export_csv(df, str(tmp_path / "small"), max_bytes=50_000)
 
 
+def test_export_by_workers_in_another_folder(tmp_path):
+    """Executors don't start in the repository: what they import of this package is what was sent to them."""
+    code = """import sys
+from pyspark.sql import SparkSession
+from crossover.sources import export as ex
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+ex.export_csv(spark.range(100), sys.argv[1], max_bytes=50)
+print(ex.read_export(spark, sys.argv[1], "id bigint").count())"""
+    done = subprocess.run([sys.executable, "-c", code, str(tmp_path / "out")], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(Path(ex.__file__).parents[2])}, capture_output=True, text=True)
+    assert done.stdout.split()[-1:] == ["100"], done.stderr[-2000:]
+
+
 def test_file_numbers():
     import numpy as np
 
