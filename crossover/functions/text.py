@@ -43,9 +43,17 @@ def may_match(words: list[str] | None) -> Column:
     return reduce(lambda a, b: a | b, [F.col("_low").contains(w) for w in words], F.col("_odd"))
 
 
+# The line ends that a dot in a Java regex does not stop at.
+RARE_LINE_ENDS = "\x0b\x0c\x1c\x1d\x1e"
+
+
 def lines_of_code(text: Column) -> Column:
-    """Lines that hold more than blanks: a match starts at the first visible character and eats the rest of the line."""
-    return F.regexp_count(text, F.lit(f"[^{BLANKS}][^{LINE_ENDS}]*"))
+    """Lines that hold more than blanks: a match starts at the first visible character and eats the rest of the line.
+
+    A dot is about ten times as fast as the class of all line ends, which only texts with one of the rare ends need.
+    """
+    rare = reduce(lambda a, b: a | b, [text.contains(c) for c in RARE_LINE_ENDS])
+    return F.when(rare, F.regexp_count(text, F.lit(f"[^{BLANKS}][^{LINE_ENDS}]*"))).otherwise(F.regexp_count(text, F.lit(f"[^{BLANKS}].*")))
 
 
 def trimmed(text: Column) -> Column:

@@ -133,11 +133,13 @@ def _difficulty(loc: Column, heavy: Column, has_cursor: Column, control_flow: Co
 
 def difficulty_keyword(modules: DataFrame) -> DataFrame:
     """Difficulty from plain substrings; control flow counts kinds of keywords, not uses. No text means simple."""
-    up = F.upper("definition")
+    up, loc = F.col("_up"), F.col("_loc")
     kinds = sum((up.contains(k).cast("int") for k in ("IF ", "WHILE ", "LOOP ", "CASE ")), F.lit(0))
     heavy = up.contains("PREPARE") | up.contains("EXECUTE") | up.contains("CALL ")
-    level = _difficulty(lines_of_code(F.col("definition")), heavy, up.contains("CURSOR"), kinds, up.contains("TEMPORARY"))
-    return modules.select(*OBJECT, F.when(F.col("definition").isNull(), "simple").otherwise(level).alias("difficulty"))
+    level = _difficulty(loc, heavy, up.contains("CURSOR"), kinds, up.contains("TEMPORARY"))
+    # Upper case and lines are worked out once a text, in a projection of their own.
+    once = modules.select("*", F.upper("definition").alias("_up"), lines_of_code(F.col("definition")).alias("_loc"))
+    return once.select(*OBJECT, F.when(up.isNull(), "simple").otherwise(level).alias("difficulty"))
 
 
 def difficulty_tsql(modules: DataFrame) -> DataFrame:

@@ -43,6 +43,19 @@ def test_lines(modules):
     assert got == {str(i): len([x for x in (t or "").splitlines() if x.strip()]) for i, t in enumerate(TEXTS)}
 
 
+@pytest.mark.parametrize("end", list("\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029") + ["\r\n"])
+def test_lines_of_every_end(spark, end):
+    text = end.join(["a b", "", " \t\u3000", "c\x1f", "  d"])
+    assert routine(spark, text).select(lines_of_code(F.col("definition"))).first()[0] == 3
+
+
+def test_difficulty_keyword_reads_a_text_once(spark, capsys):
+    """Upper case and lines come from a projection below; in one with the level they were worked out for each of its tests."""
+    feat.difficulty_keyword(routine(spark, "BEGIN")).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("upper(") == 1 and plan.count("size(regexp_extract_all(") == 2
+
+
 def routine(spark, text):
     return spark.createDataFrame([("db1", "routine", "s", "n", text)], "source_id string, kind string, schema_name string, name string, definition string")
 
