@@ -277,11 +277,14 @@ def recheck_keys(source: DataFrame, target: DataFrame, dirty: DataFrame, keys: l
     """State of the dirty keys: missing, extraneous, mismatched or clean."""
     from crossover.operators.validate import diff_rows
 
-    wanted = dirty.select(*keys).distinct()
-    found = diff_rows(source.join(wanted, keys, "left_semi"), target.join(wanted, keys, "left_semi"), keys, **options)
-    # A repeated key can be missing and mismatched at once; all of its findings count.
-    every = found.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("status")), ",").alias("status"))
-    return wanted.join(every, keys, "left").fillna("clean", ["status"])
+    wanted = dirty.select(*keys)  # repeated ones are sorted out behind the shuffles, not in a table of each reading task
+    # The joins get stages of their own: in one with the comparison, each task would hold the sorts and tables of all of them at once.
+    # Spark would leave out a shuffle by the keys themselves, which the joins have made.
+    s, t = (df.join(wanted, keys, "left_semi").repartition(F.xxhash64(*[F.col(f"`{k}`") for k in keys])) for df in (source, target))
+    found = diff_rows(s, t, keys, **options).select(*[F.col(f"`{k}`").cast(wanted.schema[k].dataType).alias(k) for k in keys], "status")
+    # A repeated key can be missing and mismatched at once; all of its findings count. A key without any is clean.
+    every = found.unionByName(wanted.withColumn("status", F.lit(None).cast("string"))).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("status")), ",").alias("status"))
+    return every.withColumn("status", F.when(F.col("status") == "", "clean").otherwise(F.col("status")))
 
 
 def continuous_check(changes: DataFrame, source: Callable[[], DataFrame], target: Callable[[], DataFrame], store: str, checkpoint: str, keys: list[str]) -> StreamingQuery:

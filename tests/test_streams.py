@@ -89,3 +89,15 @@ def test_status_of_a_query_that_fails(spark, tmp_path):
     last = st.latest_status(status).first()
     assert last["event"] == "failed" and not last["running"] and "broken" in last["error"] and last["batch_id"] == 0 and last["input_rows"] == 10
     assert rows(st.positions(status)) == [("s", "a", 3, 2.0, 4), ("s", "b", 9, 2.0, 6)]
+
+
+def test_recheck_joins_apart_from_the_comparison(spark, capsys):
+    """No task holds the tables of several joins and of the comparison, and none a table of all dirty keys that it reads."""
+    source = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (3, "c"), (5, "e")], "k int, v string")
+    target = spark.createDataFrame([(1, "a"), (2, "b"), (3, "x"), (4, "d"), (5, "e")], "k int, v string")
+    dirty = spark.createDataFrame([(1,), (1,), (2,), (3,), (4,), (None,), (9,)], "k int")
+    out = ch.recheck_keys(source, target, dirty, ["k"])
+    out.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("hashpartitioning(xxhash64(") == 2 and "HashAggregate(keys=[k#" not in plan.replace("ObjectHashAggregate", "")
+    assert sorted(map(tuple, out.collect()), key=str) == [(1, "clean"), (2, "missing"), (3, "mismatched"), (4, "extraneous"), (9, "clean"), (None, "clean")]
