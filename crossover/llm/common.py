@@ -11,6 +11,7 @@ import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -25,6 +26,7 @@ from crossover.session import run_folder
 NULL_ID = -(1 << 63)
 SLICE_BYTES = 1 << 20
 CHUNK_BYTES = 8 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def key_id(name: str = "doc_id") -> Column:
@@ -70,6 +72,21 @@ def written(df: DataFrame, name: str, group_rows: int | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, limit: int) -> Iterator[None]:
+    """Jobs that run meanwhile hand Python Arrow batches of about ``limit`` bytes; the default (10 000 rows, 64 MB) is held by the executor's
+    JVM and by the worker, in each twice while the next one is read."""
+    before = spark.conf.get(BATCH_BYTES, None)
+    spark.conf.set(BATCH_BYTES, limit)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_BYTES)
+        else:
+            spark.conf.set(BATCH_BYTES, before)
+
+
 def ints(a: pa.Array) -> np.ndarray:
     return a.to_numpy(zero_copy_only=False)
 

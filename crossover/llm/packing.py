@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossover.llm.bpe import CALL_BYTES, encoder
-from crossover.llm.common import batch, id_back, ints, keyed, slices, tidy, written
+from crossover.llm.common import batch, batches_of, id_back, ints, keyed, release, slices, tidy, written
 
 SIZE = 1024
 END = 2
@@ -50,6 +50,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int
             names = ("id", "v", "piece", "start", "length", "ids_crc32", "part", "rank")
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield batch(**{n: pa.array(c, k) for n, c, k in zip(names, cols, kinds)})
+            release()
 
     return keyed(docs).mapInArrow(tidy(run), PIECES)
 
@@ -143,7 +144,8 @@ def places(combinations: list[tuple[tuple[int, ...], int]], size: int = SIZE) ->
 
 def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int = END) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = written(pieces(docs, path, size, end), "pieces")
+    with batches_of(docs.sparkSession, CALL_BYTES):
+        cut = written(pieces(docs, path, size, end), "pieces")
     counts = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

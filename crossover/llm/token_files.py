@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crossover.llm.bpe import CALL_BYTES, encoder
-from crossover.llm.common import batch, id_back, ints, keyed, slices, tidy, written
+from crossover.llm.common import batch, batches_of, id_back, ints, keyed, release, slices, tidy, written
 from crossover.llm.simple8b import decode, encode
 
 END = 0
@@ -47,6 +47,7 @@ def segments(docs: DataFrame, path: str | None = None, end: int = END, segment_i
                 if size >= segment_ids:
                     yield flush()
                     before, ids, coded, size = before + size, [], [], 0
+            release()
         if ids:
             yield flush()
 
@@ -77,4 +78,6 @@ def read_documents(table: DataFrame, with_ids: bool = False) -> DataFrame:
 
 
 def token_report(docs: DataFrame, path: str | None = None) -> DataFrame:
-    return read_documents(written(segments(docs, path), "tokens"))
+    with batches_of(docs.sparkSession, CALL_BYTES):
+        table = written(segments(docs, path), "tokens")
+    return read_documents(table)

@@ -2,12 +2,14 @@
 
 import random
 
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from crossover.llm import decontaminate, language_id, line_dedup, line_quality, minhash, packing, substring_dedup, token_files
-from crossover.llm.common import id_back, read
+from crossover.llm import bpe, decontaminate, language_id, line_dedup, line_quality, minhash, packing, substring_dedup, token_files
+from crossover.llm.common import BATCH_BYTES, id_back, read, written
 from tests.conftest import SMALL, rows
 from tests.llm import brute
 
@@ -207,6 +209,28 @@ def test_packing(odd, none, small, small_rows):
     assert packing.pack(none).count() == 0
 
 
+def test_bounded_batches(spark, small, monkeypatch):
+    """Token ids are made from small Arrow batches, and the session's setting comes back."""
+    seen, before = [], spark.conf.get(BATCH_BYTES)
+    for module in (packing, token_files):
+        monkeypatch.setattr(module, "written", lambda df, name: seen.append(spark.conf.get(BATCH_BYTES)) or written(df, name))
+    packing.pack(small)
+    token_files.token_report(small)
+    assert [int(x) for x in seen] == [bpe.CALL_BYTES] * 2 and spark.conf.get(BATCH_BYTES) == before
+
+
+def test_whole_texts_in_parts(monkeypatch):
+    """Texts that go to the library whole go there in parts of bounded size, with the same ids."""
+    encoder, calls = bpe.PieceEncoder(public_tokenizers.path(packing.TOKENIZER)), []
+    texts = [f"two  spaces {i} " + "word " * (i % 7) for i in range(500)] + ["plain text", None, ""]
+    want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    plain = encoder._encode
+    monkeypatch.setattr(bpe, "WHOLE_BYTES", 1000)
+    monkeypatch.setattr(encoder, "_encode", lambda some: calls.append(sum(map(len, some))) or plain(some))
+    assert [x.tolist() for x in encoder.encode(pa.array(texts))] == want
+    assert len(calls) > 10 and max(calls) < 1100
+
+
 def test_plan_of_lengths():
     import numpy as np
 
