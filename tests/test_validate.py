@@ -145,6 +145,18 @@ def test_run_check_goes_on(spark, tmp_path):
         run_check({"a": a}, {"a": b}, {}, path, "three", fail_on_mismatch=True)
 
 
+def test_run_check_beside_an_earlier_call(spark, tmp_path):
+    """Results of two calls with one token in one plan: the later one has all its tables, whatever the order."""
+    from crossover.plans.check import run_check
+
+    path, tables, keys = str(tmp_path / "beside"), {n: spark.range(5).toDF("k") for n in ("a", "b c", "_d")}, {n: ["k"] for n in ("a", "b c", "_d")}
+    first = run_check({"a": tables["a"]}, tables, keys, path, "one").select(F.lit(1).alias("call"), "table_name", "status")
+    second = run_check(tables, tables, keys, path, "one").select(F.lit(2).alias("call"), "table_name", "status")
+    want = sorted([(1, "a", "verified"), *[(2, n, "verified") for n in tables]], key=str)
+    assert rows(first.unionByName(second)) == want == rows(second.unionByName(first))
+    assert rows(run_check(tables, tables, keys, path, "one", include=["none"])) == []
+
+
 def test_types_may_differ(spark):
     s = spark.sql("""select 5 as k, 'a  ' as name, cast(1.50 as decimal(10,2)) as d, true as flag, timestamp '2024-01-01 10:00:00' as at, cast(1.5 as float) as f,
                      named_struct('m', map('x', 1, 'y', 2), 't', 'q ') as n""")
