@@ -7,6 +7,8 @@ had no room for. All of them are Spark's own aggregates, and a row of sketches t
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from urllib.parse import quote
 
@@ -63,6 +65,21 @@ def store_shard(df: DataFrame, path: str, table: str, shard: str, target: dict[s
     sketch_columns(df, target).withColumn("table_name", F.lit(table)).coalesce(1).write.mode("overwrite").parquet(f"{path}/{quote(table, safe='')}/shard={quote(str(shard), safe='')}")
 
 
+def store_shards(shards: Iterable[tuple[str, str, DataFrame]], path: str, targets: dict[str, dict[str, str]] | None = None, concurrency: int = 16) -> None:
+    """Keep the sketches of many shards (table, shard, rows) side by side, a Spark job each: a shard ends in one task, in whose time the others use the
+    executors. A shard that comes again is stored again, in the order given."""
+    chains: dict[tuple[str, str], list[DataFrame]] = {}
+    for table, shard, df in shards:
+        chains.setdefault((table, shard), []).append(df)
+
+    def one(key: tuple[str, str]) -> None:
+        for df in chains[key]:
+            store_shard(df, path, *key, (targets or {}).get(key[0]))
+
+    with ThreadPoolExecutor(concurrency) as pool:
+        list(pool.map(one, sorted(chains, key=lambda key: -len(chains[key]))))  # the longest first
+
+
 def merge_sketches(sketches: DataFrame) -> DataFrame:
     """One row of sketches for each table and column."""
     ends = [fn(f"{side}_{n}").alias(f"{side}_{n}") for side, fn in (("min", F.min), ("max", F.max)) for n in _EXTREMES]

@@ -353,9 +353,8 @@ def column_profile_merged(f):
     """Profiles out of the stored sketches of four shards a table; a shard that is stored again replaces itself. The distinct count lies within
     a tenth of the exact one."""
     path, targets = run_folder(f.spark, "sketches"), {"lineitem": {"l_partkey": "tinyint unsigned", "l_returnflag": "varchar(1)"}, "documents": {}, "pages": {"url": "varchar(20)"}}
-    for t, key in (("lineitem", "l_orderkey"), ("documents", "doc_id"), ("pages", "page_id")):
-        for shard in (0, 1, 2, 3, 2):
-            sk.store_shard(f[t].where(F.col(key) % 4 == shard), path, t, str(shard), targets[t])
+    keys = {"lineitem": "l_orderkey", "documents": "doc_id", "pages": "page_id"}
+    sk.store_shards([(t, str(shard), f[t].where(F.col(key) % 4 == shard)) for t, key in keys.items() for shard in (0, 1, 2, 3, 2)], path, targets)
     merged = sk.stored_profile(f.spark, path, list(targets))
     exact = prof.profile_tables({t: f[t] for t in targets}, distinct="exact").select("table_name", "column_name", F.col("distinct_count").alias("exact"))
     plain = F.col("kind") != "double"

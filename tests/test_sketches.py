@@ -1,5 +1,7 @@
 """Profiles out of merged sketches, overflow of targets, conforming of the largest numbers."""
 
+from threading import Barrier
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +32,22 @@ def test_merged_profile_is_that_of_one_pass(spark, tmp_path):
     assert sk.stored_profile(spark, str(tmp_path), ["t 1"]).where("column_name = 'n'").first()["row_count"] == 30_001
 
 
+def test_shards_side_by_side(monkeypatch):
+    """Shards are stored at the same time, one that comes again after its first time."""
+    both, done = Barrier(3), []
+
+    def store(df, path, table, shard, target):
+        if df != "again":
+            both.wait(20)
+        done.append((df, path, table, shard, target))
+
+    monkeypatch.setattr(sk, "store_shard", store)
+    sk.store_shards([("a", "0", "x"), ("a", "1", "y"), ("b", "0", "z"), ("a", "0", "again")], "p", {"a": {"c": "int"}})
+    assert sorted(d[:1] + d[2:4] for d in done) == [("again", "a", "0"), ("x", "a", "0"), ("y", "a", "1"), ("z", "b", "0")]
+    order = [d[0] for d in done]
+    assert order.index("x") < order.index("again") and {(d[2], str(d[4])) for d in done} == {("a", "{'c': 'int'}"), ("b", "None")}
+
+
 def test_overflow_of_every_kind_of_target(spark):
     df = spark.sql("select * from values (1, '123456', 'abc', 'ä', timestamp_ntz'2024-01-01 00:00:00.5'), (2, '12', 'abcd', 'ää', timestamp_ntz'2024-01-01 00:00:01'), "
                    "(300, '1.5', null, null, null) as t(a, d, v, b, t)").withColumn("d", F.col("d").cast("decimal(10,1)"))
