@@ -28,6 +28,13 @@ class Frames:
                 self._made[name] = self.spark.sql(sql, **{n: self[n] for n in needs})
         return self._made[name]
 
+    def dealt(self, **keys: str) -> Frames:
+        """The frames over tables dealt by a column each. A window by that column needs no exchange of its own then, in which the texts
+        made before it would move as well."""
+        out = Frames(self.spark, self.folder)
+        out._made = {table: self[table].repartition(key) for table, key in keys.items()}
+        return out
+
 
 def _with_fixtures(names: tuple[str, ...], sql: str) -> str:
     ctes: dict[str, str] = {}

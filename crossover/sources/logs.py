@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossover.sources.schemas import REPORT, REPORT_SECTIONS, RUN_EVENT, USAGE_LINE
+from crossover.sources.schemas import REPORT_SECTIONS, REPORT_SUMMARY, RUN_EVENT, USAGE_LINE
 
 
 def _line_order() -> Column:
@@ -64,9 +64,12 @@ def read_report(spark: SparkSession, path: str, multiline: bool = True) -> dict[
 
     ``modules`` holds routines, triggers, views and events in the form that the text operators read.
     """
-    docs = spark.read.schema(REPORT).option("multiLine", multiline).json(path)
-    base = docs.select(F.col("source.host").alias("source_id"), "summary", "schema_inventory")
-    frames = {n: base.select("source_id", F.inline(f"schema_inventory.{n}")) for n in REPORT_SECTIONS}
+    def docs(part: str) -> DataFrame:
+        """The documents with one part of them, so that the others are passed over and not built."""
+        return spark.read.schema(f"source struct<host string>, {part}").option("multiLine", multiline).json(path)
+
+    host = F.col("source.host").alias("source_id")
+    frames = {n: docs(f"schema_inventory struct<{n} array<struct<{fields}>>>").select(host, F.inline(f"schema_inventory.{n}")) for n, fields in REPORT_SECTIONS.items()}
     for n in ("tables", "columns", "indexes"):
         frames[n] = frames[n].withColumn("schema_name", F.coalesce("schema_name", "table_schema")).drop("table_schema")
     named = {"foreign_keys": {"constraint_schema": "schema_name", "constraint_name": "fk_name", "referenced_table_schema": "ref_schema", "referenced_table_name": "ref_table"},
@@ -78,7 +81,7 @@ def read_report(spark: SparkSession, path: str, multiline: bool = True) -> dict[
     for n, lists in (("indexes", ["columns"]), ("foreign_keys", ["columns", "ref_columns"])):
         frames[n] = frames[n].withColumns({c: F.split(c, r"\s*,\s*") for c in lists})
     frames["modules"] = _modules(frames)
-    frames["summary"] = base.select("source_id", "summary.*")
+    frames["summary"] = docs(f"summary struct<{REPORT_SUMMARY}>").select(host, "summary.*")
     return frames
 
 

@@ -35,7 +35,9 @@ REPORT_SECTIONS = {
     "charset_usage": "character_set_name string, collation_name string, column_count bigint",
 }
 
-REPORT = ("version string, source struct<host string>, summary struct<overall_score int, rating string, table_count bigint, total_data_size_gb double>, "
+REPORT_SUMMARY = "overall_score int, rating string, table_count bigint, total_data_size_gb double"
+
+REPORT = (f"version string, source struct<host string>, summary struct<{REPORT_SUMMARY}>, "
           "schema_inventory struct<" + ", ".join(f"{n} array<struct<{f}>>" for n, f in REPORT_SECTIONS.items()) + ">")
 
 MANIFEST = ("run_token string, table_name string, shard int, row_count bigint, status string, recorded_at timestamp, message string")

@@ -2,8 +2,10 @@
 
 import glob
 import os
+import re
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import pytest
@@ -200,6 +202,39 @@ def test_report_sections_come_in_small_documents(spark, tmp_path, monkeypatch):
     assert max(most[:3]) <= lines and max(most[3:]) == 1
 
 
+def test_report_sections_give_disk_back(spark, tmp_path, monkeypatch):
+    """What the report shuffled and stored on its way is gone before it is read, and it is written in parts."""
+    from crossover.queries import load
+
+    FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def shuffles():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")
+        return set(re.findall(r"\bshuffle_\d+_", blocks))
+
+    def read(*args, real=lg.read_report, **kw):
+        ends = time.time() + 5
+        while (left := shuffles() - before) and time.time() < ends:  # they are removed in the background
+            time.sleep(0.1)
+        assert not left and not list((tmp_path / "report_entries").rglob("part-*"))
+        return real(*args, **kw)
+
+    monkeypatch.setattr(load, "run_folder", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(lg, "read_report", read)
+    before, setting = shuffles(), spark.conf.get(FREE, None)
+    load.read_report_sections(load_frames(spark))
+    writes = {re.sub(r"part-\d+-|-c\d+.*", "", p.name) for p in (tmp_path / "report").glob("part-*")}
+    assert len(writes) > 8 and spark.conf.get(FREE, None) == setting
+
+
+def test_windows_over_dealt_tables_move_no_texts(spark):
+    f = load_frames(spark)
+    dealt = f.dealt(lineitem="l_orderkey")["cat_fk_columns"]
+    above, *below = dealt._jdf.queryExecution().executedPlan().toString().split("Exchange ")
+    assert len(below) == 1 and "concat(" in above and "concat(" not in below[0]
+    assert rows(dealt) == rows(f["cat_fk_columns"])
+
+
 def load_frames(spark):
     from crossover.queries.registry import Frames
 
